@@ -227,32 +227,37 @@ def e08_stage3(v):
 
 
 def _failed(v, p):
-    failed = root_cause.failed_statements(_parsed(v), p["contention"], p["insights"], p["txn_id_map"])
-    return root_cause.with_arguments(failed, v.exceptions())
+    parsed = root_cause.materialise(_parsed(v).drop("exception_str"), "parsed")
+    failed = root_cause.failed_statements(parsed, p["contention"], p["insights"], p["txn_id_map"])
+    return root_cause.with_arguments(failed, parsed)
 
 
 def e09_failed_statement(v):
-    return _failed(v, v.persisted()).drop("test_run", "option")
+    return _failed(v, v.stored()).drop("test_run", "option")
+
+
+def _picked(v, p):
+    failed = root_cause.materialise(_failed(v, p), "failed")
+    return root_cause.materialise(root_cause.pick_transactions(failed, p["txn_stats"]), "picks")
 
 
 def e12_txn_pick(v):
-    p = v.persisted()
-    return root_cause.pick_transactions(root_cause.materialise(_failed(v, p), "failed"), p["txn_stats"])
+    return _picked(v, v.stored())
 
 
 def e13_stmt_order(v):
-    p = v.persisted()
-    return root_cause.statement_order(e12_txn_pick(v), p["txn_stats"])
+    p = v.stored()
+    return root_cause.statement_order(_picked(v, p), p["txn_stats"])
 
 
 def e14_asof_stmt(v):
-    p = v.persisted()
-    ordered = root_cause.materialise(e13_stmt_order(v), "ordered")
+    p = v.stored()
+    ordered = root_cause.statement_order(_picked(v, p), p["txn_stats"])
     return root_cause.statement_versions(ordered, p["stmt_stats"])
 
 
 def _inspected(v):
-    return root_cause.inspect_contention(v.exceptions(), ordered=False, **v.persisted())
+    return root_cause.inspect_contention(v.exceptions(), ordered=False, **v.stored())
 
 
 def e17_root_cause(v):
@@ -339,7 +344,8 @@ def a17_blocking(v):
 
 
 def a18_failed_txns(v):
-    return reports.failed_transactions(v.txn_stats(), v.stmt_stats(), v.latest(), EVERYTHING)
+    rates = reports.failed_transactions(v.txn_stats(), v.stmt_stats(), v.latest(), EVERYTHING)
+    return rates.withColumn("failed_txn_ratio", F.round("failed_txn_ratio", 6))
 
 
 def a19_write_hotspots(v):

@@ -82,19 +82,19 @@ def latest_at_or_before(
     over its slots, and AQE may split a slot further since nothing above the
     join relies on its partitioning.
     """
-    pts = (
-        points.select(*keys, F.col(point_ts).alias("_point"))
-        .distinct()
-        .withColumn("_slot", time_slot(F.col("_point"), slot_seconds))
+    pts = points.select(
+        *keys,
+        time_slot(F.col(point_ts), slot_seconds).alias("_slot"),
+        F.col(point_ts).alias("_point"),
     )
     asked = probes.withColumn("_slot", time_slot(F.col(bound), slot_seconds))
     point_type = points.schema[point_ts].dataType
-    unasked = asked.select(*keys, "_slot").distinct().withColumn("_point", F.lit(None).cast(point_type))
+    slots = asked.select(*keys, "_slot").withColumn("_point", F.lit(None).cast(point_type))
     by_key = Window.partitionBy(*keys).orderBy("_slot")
     lookup = (
-        pts.unionByName(unasked)
+        pts.unionByName(slots)
         .groupBy(*keys, "_slot")
-        .agg(F.collect_list("_point").alias("_points"), F.max("_point").alias("_last"))
+        .agg(F.collect_set("_point").alias("_points"), F.max("_point").alias("_last"))
         .withColumn("_older", F.max("_last").over(by_key.rowsBetween(Window.unboundedPreceding, -1)))
         .drop("_last")
     )

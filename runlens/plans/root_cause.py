@@ -26,6 +26,9 @@ from runlens.session import materialise
 
 CONFLICT_WINDOW_SECONDS = 60
 LATEST_TXN_HOURS = 2
+# A transaction with most of the failures may have many different error texts;
+# they are searched in this many parts.
+ERROR_PARTS = 16
 
 FAILED_COLUMNS = (
     "collection_ts",
@@ -56,7 +59,9 @@ def parse_exceptions(exceptions: DataFrame, time_type: str = "timestamp") -> Dat
 
 # ------------------------------------------------------------------ three stages
 
-def by_contention_event(parsed: DataFrame, contention: DataFrame, insights: DataFrame) -> DataFrame:
+def by_contention_event(
+    parsed: DataFrame, contention: DataFrame, insights: DataFrame, lengths: list[int] | None = None
+) -> DataFrame:
     """Stage 1: the earliest contention event on the same key within a minute.
 
     The hash join is on (run, key, id prefix), so a key on which most of the
@@ -73,7 +78,9 @@ def by_contention_event(parsed: DataFrame, contention: DataFrame, insights: Data
         F.col("app_name").alias("in_app"),
         F.col("schema_name").alias("in_schema"),
     )
-    events = with_prefixes(contention, "waiting_txn_id", prefix_lengths(x, "txn_id_prefix")).alias("c")
+    if lengths is None:
+        lengths = prefix_lengths(x, "txn_id_prefix")
+    events = with_prefixes(contention, "waiting_txn_id", lengths).alias("c")
     x = x.alias("x")
     span = F.expr(f"make_dt_interval(0, 0, 0, {CONFLICT_WINDOW_SECONDS})")
     hit = (
@@ -133,7 +140,9 @@ def by_contention_event(parsed: DataFrame, contention: DataFrame, insights: Data
     )
 
 
-def involved_transactions(parsed: DataFrame, txn_id_map: DataFrame) -> DataFrame:
+def involved_transactions(
+    parsed: DataFrame, txn_id_map: DataFrame, lengths: list[int] | None = None
+) -> DataFrame:
     """Fingerprints of the transactions whose id starts with the prefix."""
     x = parsed.where(F.col("txn_id_prefix").isNotNull()).select(
         "exception_id",
@@ -143,7 +152,9 @@ def involved_transactions(parsed: DataFrame, txn_id_map: DataFrame) -> DataFrame
         F.col("app_name").alias("in_app"),
         "schema_name",
     )
-    ids = with_prefixes(txn_id_map, "txn_id", prefix_lengths(x, "_prefix")).select(
+    if lengths is None:
+        lengths = prefix_lengths(x, "_prefix")
+    ids = with_prefixes(txn_id_map, "txn_id", lengths).select(
         "test_run", "_prefix", "txn_fingerprint_id"
     )
     return x.join(ids.distinct(), ["test_run", "_prefix"]).drop("_prefix")
@@ -152,12 +163,20 @@ def involved_transactions(parsed: DataFrame, txn_id_map: DataFrame) -> DataFrame
 def _answered(
     involved: DataFrame, candidates: DataFrame, asks: list[str], condition: Column, newest: bool
 ) -> DataFrame:
-    """First candidate insight per exception, found once per distinct question."""
+    """First candidate insight per exception, found once per distinct question.
+
+    Candidates with a ``_part`` are spread by it: each question is asked of
+    every part, and the parts' first rows are compared afterwards.
+    """
     q = involved.select("test_run", "txn_fingerprint_id", *asks).distinct()
+    on = ["test_run", "txn_fingerprint_id"]
+    if "_part" in candidates.columns:
+        q = q.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(ERROR_PARTS - 1))))
+        on.append("_part")
     direction = F.col("start_time").desc() if newest else F.col("start_time").asc()
     tie = [F.col("stmt_fingerprint_id"), F.col("insight_app"), F.col("database_name")]
     found = first_per_group(
-        q.join(candidates, ["test_run", "txn_fingerprint_id"]).where(condition),
+        q.join(candidates, on).where(condition),
         ["test_run", "txn_fingerprint_id", *asks],
         [direction, *tie],
     )
@@ -209,7 +228,7 @@ def by_failed_insight(involved: DataFrame, insights: DataFrame) -> DataFrame:
         .select(*columns, "start_time", "stmt_fingerprint_id", "database_name"),
         columns,
         [F.col("start_time"), F.col("stmt_fingerprint_id"), F.col("database_name")],
-    )
+    ).withColumn("_part", F.pmod(F.xxhash64("last_error_redactable"), F.lit(ERROR_PARTS)).cast("int"))
     pattern = F.concat(F.lit("%"), F.col("retry_error_type"), F.lit("%"))
     condition = P.like(F.col("last_error_redactable"), pattern) & _any_or_same_app()
     asked = involved.where(F.col("retry_error_type").isNotNull())
@@ -233,10 +252,11 @@ def failed_statements(
     parsed: DataFrame, contention: DataFrame, insights: DataFrame, txn_id_map: DataFrame
 ) -> DataFrame:
     """The failed statement of each exception, from the first stage that has one."""
-    involved = involved_transactions(parsed, txn_id_map)
+    lengths = prefix_lengths(parsed, "txn_id_prefix")
+    involved = involved_transactions(parsed, txn_id_map, lengths)
     insights = _as_time_of(insights, contention)
     stages = [
-        by_contention_event(parsed, contention, insights),
+        by_contention_event(parsed, contention, insights, lengths),
         by_failed_insight(involved, insights),
         by_any_insight(involved, insights),
     ]
@@ -401,10 +421,11 @@ def inspect_contention(
 ) -> DataFrame:
     """All statements of the waiting and blocking transactions, per exception."""
     dtype = contention.schema["collection_ts"].dataType.simpleString()
-    parsed = parse_exceptions(exceptions, dtype)
-    # Two results feed several branches each; they are narrow and are written once.
+    # Three narrow results feed several branches each and are written once: the
+    # parsed arguments (the texts end here), the failed statements, the picks.
+    parsed = materialise(parse_exceptions(exceptions, dtype).drop("exception_str"), "parsed")
     failed = materialise(
-        with_arguments(failed_statements(parsed, contention, insights, txn_id_map), exceptions), "failed"
+        with_arguments(failed_statements(parsed, contention, insights, txn_id_map), parsed), "failed"
     )
     picks = materialise(pick_transactions(failed, txn_stats, within_run), "picks")
     versions = statement_versions(statement_order(picks, txn_stats), stmt_stats)

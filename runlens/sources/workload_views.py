@@ -9,6 +9,7 @@ statistics. The queries of the catalogue run over these views.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from runlens import schemas as S
 from runlens.operators.joins import small_table
 from runlens.plans import ingest
 from runlens.plans.runs import whole_run_slices
+from runlens.session import materialise
 
 STREAM_EVENTS = {
     "contention": ("error", "click"),
@@ -45,7 +47,7 @@ class WorkloadViews:
 
     def latest(self) -> datetime:
         """Latest event time: the fixed "now" of the reports."""
-        return self.table("events").agg(F.max("ts")).first()[0]
+        return self._latest
 
     def events(self) -> DataFrame:
         """Events with the derived attributes all views share."""
@@ -201,7 +203,18 @@ class WorkloadViews:
 
     # ---------------------------------------------------- runs, state, metrics
 
+    @cached_property
+    def _runs(self) -> DataFrame:
+        return self._derive_runs()
+
+    @cached_property
+    def _latest(self) -> datetime:
+        return self.table("events").agg(F.max("ts")).first()[0]
+
     def runs(self) -> DataFrame:
+        return self._runs
+
+    def _derive_runs(self) -> DataFrame:
         """One test run per day of data, from 00:30 to 23:00."""
         days = self.table("events").select(F.to_date("ts").alias("d")).distinct()
         return small_table(
@@ -214,7 +227,14 @@ class WorkloadViews:
             )
         )
 
+    @cached_property
+    def _state(self) -> DataFrame:
+        return self._derive_state()
+
     def state(self) -> DataFrame:
+        return self._state
+
+    def _derive_state(self) -> DataFrame:
         """Watermarks: the latest event read per run and stream. Some runs have
         none yet, and some are read to the very end."""
         stream_of = F.array_compact(
@@ -300,6 +320,10 @@ class WorkloadViews:
             "txn_stats": ingest.tag_with_runs(self.txn_stats(), slices, "txn_stats"),
         }
 
+    def stored(self) -> dict[str, DataFrame]:
+        """The same tables written out, as the root-cause jobs find them."""
+        return {name: materialise(df, name) for name, df in self.persisted().items()}
+
     # ------------------------------------------------------------ catalog tables
 
     def catalog(self) -> dict[str, DataFrame]:
