@@ -10,9 +10,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-METRICS = T.StructType.fromDDL(
+from runlens.schemas import flat_schema
+
+METRICS = flat_schema(
     "ts TIMESTAMP, stream STRING, test_run STRING, rows BIGINT, errors BIGINT, "
     "duration_ms BIGINT, lag_seconds DOUBLE, backfilled BIGINT"
 )

@@ -68,7 +68,7 @@ def empty_tables(spark) -> dict[str, DataFrame]:
     }
     tagged = {**S.STREAM_SCHEMAS, "txn_id_map": S.TXN_ID_MAP}
     for name, schema in tagged.items():
-        full = S._schema("test_run STRING")
+        full = S.flat_schema("test_run STRING")
         for f in schema.fields:
             full = full.add(f)
         out[name] = spark.createDataFrame([], full)

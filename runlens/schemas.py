@@ -24,18 +24,34 @@ SOURCE_NAMES = {
 # ------------------------------------------------------------ end fixed values
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "STRING": T.StringType(),
+    "BIGINT": T.LongType(),
+    "DOUBLE": T.DoubleType(),
+    "BOOLEAN": T.BooleanType(),
+    "BINARY": T.BinaryType(),
+    "TIMESTAMP": T.TimestampType(),
+    "TIMESTAMP_NTZ": T.TimestampNTZType(),
+    "INTERVAL DAY TO SECOND": T.DayTimeIntervalType(),
+    "ARRAY<STRING>": T.ArrayType(T.StringType()),
+    "ARRAY<BIGINT>": T.ArrayType(T.LongType()),
+}
+
+
+def flat_schema(columns: str) -> T.StructType:
+    """A schema from ``name TYPE, name TYPE``; needs no session, unlike DDL text."""
+    pairs = (column.strip().split(" ", 1) for column in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[dtype]) for name, dtype in pairs])
 
 
-RUNS = _schema(
+RUNS = flat_schema(
     "test_run STRING, database_name STRING, start_time TIMESTAMP, end_time TIMESTAMP, "
     "agg_grace_interval INTERVAL DAY TO SECOND"
 )
 
-INGEST_STATE = _schema("test_run STRING, stream STRING, watermark_ts TIMESTAMP, updated_at TIMESTAMP")
+INGEST_STATE = flat_schema("test_run STRING, stream STRING, watermark_ts TIMESTAMP, updated_at TIMESTAMP")
 
-CONTENTION = _schema(
+CONTENTION = flat_schema(
     "collection_ts TIMESTAMP, blocking_txn_id STRING, blocking_txn_fingerprint_id STRING, "
     "waiting_txn_id STRING, waiting_txn_fingerprint_id STRING, "
     "contention_duration INTERVAL DAY TO SECOND, contending_key BINARY, contending_pretty_key STRING, "
@@ -43,7 +59,7 @@ CONTENTION = _schema(
     "schema_name STRING, table_name STRING, index_name STRING, contention_type STRING"
 )
 
-INSIGHTS = _schema(
+INSIGHTS = flat_schema(
     "session_id STRING, txn_id STRING, txn_fingerprint_id STRING, stmt_id STRING, "
     "stmt_fingerprint_id STRING, problem STRING, causes ARRAY<STRING>, query STRING, status STRING, "
     "start_time TIMESTAMP_NTZ, end_time TIMESTAMP_NTZ, full_scan BOOLEAN, user_name STRING, "
@@ -54,18 +70,18 @@ INSIGHTS = _schema(
     "query_tags STRING"
 )
 
-TXN_STATS = _schema(
+TXN_STATS = flat_schema(
     "aggregated_ts TIMESTAMP, fingerprint_id STRING, app_name STRING, metadata STRING, "
     "statistics STRING, aggregation_interval INTERVAL DAY TO SECOND"
 )
 
-STMT_STATS = _schema(
+STMT_STATS = flat_schema(
     "aggregated_ts TIMESTAMP, fingerprint_id STRING, transaction_fingerprint_id STRING, "
     "plan_hash STRING, app_name STRING, metadata STRING, statistics STRING, sampled_plan STRING, "
     "aggregation_interval INTERVAL DAY TO SECOND, index_recommendations ARRAY<STRING>"
 )
 
-TXN_ID_MAP = _schema("txn_id STRING, txn_fingerprint_id STRING")
+TXN_ID_MAP = flat_schema("txn_id STRING, txn_fingerprint_id STRING")
 
 # Source tables by stream; the persisted form of each adds ``test_run``.
 STREAM_SCHEMAS = {
@@ -76,12 +92,12 @@ STREAM_SCHEMAS = {
 }
 
 CATALOG_SCHEMAS = {
-    "tables": _schema("table_id BIGINT, database_name STRING, schema_name STRING, name STRING"),
-    "table_indexes": _schema("descriptor_id BIGINT, index_id BIGINT, index_name STRING"),
-    "index_usage_statistics": _schema(
+    "tables": flat_schema("table_id BIGINT, database_name STRING, schema_name STRING, name STRING"),
+    "table_indexes": flat_schema("descriptor_id BIGINT, index_id BIGINT, index_name STRING"),
+    "index_usage_statistics": flat_schema(
         "table_id BIGINT, index_id BIGINT, total_reads BIGINT, last_read TIMESTAMP"
     ),
-    "table_row_statistics": _schema("table_name STRING, estimated_row_count BIGINT"),
+    "table_row_statistics": flat_schema("table_name STRING, estimated_row_count BIGINT"),
 }
 
 EVENT_TIME = {
@@ -173,15 +189,15 @@ FINGERPRINTS = {
 
 # Partial schemas of the JSON documents. Numbers are read as DOUBLE since the
 # writers also use the form 4E+1 for whole numbers.
-STATEMENT_METADATA = _schema("query STRING, querySummary STRING, db STRING, fullScan BOOLEAN")
-TRANSACTION_METADATA = _schema("stmtFingerprintIDs ARRAY<STRING>")
-STATISTICS = _schema(
+STATEMENT_METADATA = "query STRING, querySummary STRING, db STRING, fullScan BOOLEAN"
+TRANSACTION_METADATA = "stmtFingerprintIDs ARRAY<STRING>"
+STATISTICS = (
     "statistics STRUCT<cnt: DOUBLE, failureCount: DOUBLE, runLat: STRUCT<mean: DOUBLE>, "
     "svcLat: STRUCT<mean: DOUBLE>, rowsRead: STRUCT<mean: DOUBLE>, rowsWritten: STRUCT<mean: DOUBLE>>, "
     "execution_statistics STRUCT<cnt: DOUBLE, contentionTime: STRUCT<mean: DOUBLE>>"
 )
 
-EXCEPTIONS = _schema(
+EXCEPTIONS = flat_schema(
     "exception_id BIGINT, exception_str STRING, test_run STRING, app_name STRING, "
     "schema_name STRING, option STRING"
 )
