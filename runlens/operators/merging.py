@@ -45,7 +45,8 @@ def upsert(
     old, new = target.alias("old"), source.alias("new")
     condition = None
     for k in keys:
-        term = F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}"))
+        # as in a unique constraint, a NULL in the key never conflicts
+        term = F.col(f"old.{k}") == F.col(f"new.{k}")
         condition = term if condition is None else condition & term
     joined = old.withColumn("_old", F.lit(True)).alias("old").join(
         new.withColumn("_new", F.lit(True)).alias("new"), condition, "full_outer"

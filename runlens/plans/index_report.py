@@ -81,18 +81,26 @@ def scored(recs: DataFrame) -> DataFrame:
 def aggregated(recs: DataFrame) -> DataFrame:
     """Totals and the statements, applications and texts behind each recommendation.
 
-    The texts are cut and made distinct in the map-side part of collect_set,
-    so what travels is bounded by the different values and not by the rows.
+    Summed per statement, application and text first: a recommendation that
+    most rows carry is spread over them, and only their distinct values meet
+    in its final row.
     """
     sums = ["total_latency_sec", "total_contention_sec", "total_rows_read", "total_rows_written"]
-    distinct = lambda c, name: F.array_sort(F.collect_set(c)).alias(name)
-    out = scored(recs).groupBy(*TARGET).agg(
+    parts = scored(recs).groupBy(
+        *TARGET, "fingerprint_id", "app_name", F.substring("query", 1, 200).alias("sample")
+    ).agg(
         F.sum("execution_count_f").alias("total_executions"),
         *[F.sum(c).alias(c) for c in sums],
         F.bool_or("full_scan").alias("involves_full_scan"),
+    )
+    distinct = lambda c, name: F.array_sort(F.collect_set(c)).alias(name)
+    out = parts.groupBy(*TARGET).agg(
+        F.sum("total_executions").alias("total_executions"),
+        *[F.sum(c).alias(c) for c in sums],
+        F.bool_or("involves_full_scan").alias("involves_full_scan"),
         distinct("fingerprint_id", "related_fingerprints"),
         distinct("app_name", "related_applications"),
-        distinct(F.substring("query", 1, 200), "sample_queries"),
+        distinct("sample", "sample_queries"),
     )
     per_execution = lambda c: F.try_divide(F.col(c), F.nullif("total_executions", F.lit(0.0)))
     return out.withColumns(

@@ -38,12 +38,16 @@ def _not_internal() -> Column:
 
 
 def user_statements(stats: DataFrame, now: Now, lookback_hours: int) -> DataFrame:
-    """Recent statistics of user statements, with parsed ``m`` and ``s``."""
+    """Recent statistics of user statements, with parsed ``m`` and ``s``.
+
+    The filter looks for its one JSON path; the documents are parsed once,
+    for the rows that are left.
+    """
+    db = F.coalesce(F.get_json_object("metadata", "$.db"), F.lit(""))
     return (
         recent(stats, "aggregated_ts", now, lookback_hours)
-        .where(_not_internal())
+        .where(_not_internal() & ~db.isin(*S.SYSTEM_DATABASES))
         .withColumns({"m": statement_metadata(), "s": statistics()})
-        .where(~F.coalesce(F.col("m.db"), F.lit("")).isin(*S.SYSTEM_DATABASES))
     )
 
 
@@ -104,8 +108,8 @@ def full_scans(stats: DataFrame, now: Now = None, lookback_hours: int = 3, k: in
         _ms("s.statistics.runLat.mean").alias("mean_run_ms"),
         F.col("index_recommendations"),
     ]
-    scans = user_statements(stats, now, lookback_hours).where(F.col("m.fullScan"))
-    return _top_statements(scans, columns, "total_rows_read", k)
+    scanning = stats.where(F.get_json_object("metadata", "$.fullScan") == "true")
+    return _top_statements(user_statements(scanning, now, lookback_hours), columns, "total_rows_read", k)
 
 
 def slow_performers(stats: DataFrame, test_run: str | None, app_name: str | None = None, k: int | None = 5) -> DataFrame:

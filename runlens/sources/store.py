@@ -8,12 +8,16 @@ first written aside in full, and a replay continues from it.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens import schemas as S
+from runlens.functions.values import days, instant
 from runlens.plans.metrics import METRICS
+from runlens.plans.runs import register_runs
 
 PARTITIONS = ("test_run", "batch_id")
 
@@ -56,6 +60,11 @@ class Store:
         found = [int(n.split("=", 1)[1]) for n in names if n.startswith("batch_id=")]
         return sorted(n for n in found if self.exists(f"{path}/batch_id={n}/_SUCCESS"))
 
+    def _partition(self, column: str, value: str) -> str:
+        """The folder name Spark gives to a partition value."""
+        names = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        return names.getPartitionPathString(column, value)
+
     # -------------------------------------------------------------------- tables
 
     def read(self, table: str, with_batch: bool = False) -> DataFrame:
@@ -100,12 +109,53 @@ class Store:
         self.remove(staged)
         return True
 
-    def delete_run(self, test_run: str) -> None:
-        """Drop a run's partitions from the tables that follow it."""
-        from urllib.parse import quote
+    # -------------------------------------------------------------- run registry
+
+    def runs(self) -> DataFrame:
+        done = self.numbers(self.path("_runs"))
+        if not done:
+            return self.spark.createDataFrame([], S.RUNS)
+        return self.spark.read.schema(S.RUNS).parquet(self.path("_runs", f"batch_id={done[-1]}"))
+
+    def register(self, new: DataFrame) -> DataFrame:
+        """Add runs to the registry; returns those that were refused."""
+        done = self.numbers(self.path("_runs"))
+        registry, refused = register_runs(self.runs(), new)
+        registry.coalesce(1).write.mode("overwrite").parquet(
+            self.path("_runs", f"batch_id={done[-1] + 1 if done else 0}")
+        )
+        return refused
 
+    # ----------------------------------------------------------------- clean-up
+
+    def expire(self, now: datetime, keep_days: int = S.RETENTION_DAYS) -> int:
+        """Drop the partitions whose rows are all past their retention time.
+
+        The rest of a partly expired one is hidden by ``retention.unexpired``
+        until it is complete. Returns the number of dropped partitions.
+        """
+        dropped = 0
+        for table in S.ALL_STREAMS:
+            latest = self.read(table, True).groupBy(*PARTITIONS).agg(F.max(S.EVENT_TIME[table]).alias("ts"))
+            for row in latest.where(F.col("ts") <= instant(now) - days(keep_days)).toLocalIterator():
+                self.remove(self.path(table, self._partition("test_run", row[0]), f"batch_id={row[1]}"))
+                dropped += 1
+        return dropped
+
+    def reset(self) -> None:
+        """Remove all tables, the registry and the state."""
+        for table in (*S.ALL_STREAMS, "txn_id_map", "_runs", "_state", "_pending", "_metrics", "_staging"):
+            self.remove(self.path(table))
+
+    def delete_run(self, test_run: str) -> None:
+        """Drop a run and its partitions in the tables that follow it; its
+        ingest state stays until it expires."""
         for table in (*S.ALL_STREAMS, "txn_id_map"):
-            self.remove(self.path(table, f"test_run={quote(test_run, safe=' ')}"))
+            self.remove(self.path(table, self._partition("test_run", test_run)))
+        done = self.numbers(self.path("_runs"))
+        if done:
+            left = self.runs().where(F.col("test_run") != test_run)
+            left.coalesce(1).write.mode("overwrite").parquet(self.path("_runs", f"batch_id={done[-1] + 1}"))
 
     # --------------------------------------------------------------- ingest state
 
