@@ -14,11 +14,11 @@ def small_table(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
     """Fix a table that is expected to be small, after checking that it is.
 
     At most ``max_rows`` rows come to the driver; they return as a local
-    table whose size the planner knows, so it is broadcast without a hint. A
-    table beyond the bound is returned as it was and joins by shuffle.
+    relation whose size the planner knows, so it is broadcast without a hint.
+    A table beyond the bound is returned as it was and joins by shuffle.
     """
-    rows = df.take(max_rows + 1)
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return df
     return df.sparkSession.createDataFrame(rows, df.schema)
 

@@ -73,10 +73,19 @@ def test_prefix_join_has_no_nested_loop(spark):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
 
-def test_small_table_checks_its_bound(spark):
+def test_small_table_checks_its_bound_and_is_broadcast(spark):
     df = spark.range(50)
-    assert joins.small_table(df, 50)._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() in ("LocalRelation", "LogicalRDD", "Project")
     assert joins.small_table(df, 49) is df
+    fixed = joins.small_table(df, 50)
+    assert fixed._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LocalRelation"
+    big = spark.range(10**7).withColumn("v", F.rand())
+    plan = big.join(fixed, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    slices = R.runs(spark, "a", "b").select("test_run", "start_time", "end_time")
+    events = big.select((F.lit(R.at(0)) + F.make_dt_interval(secs=F.col("id") % 9999)).alias("ts"))
+    plan = joins.interval_join(events, joins.small_table(slices), "ts", "start_time", "end_time")
+    plan = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
 
 def test_insert_ignore_and_upsert(spark):
