@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +55,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Several independent results at once: their jobs share the cluster."""
+    for df in frames.values():
+        shared_folder(df.sparkSession)
+    with ThreadPoolExecutor(max_workers=max(1, len(frames))) as pool:
+        written = pool.map(lambda item: materialise(item[1], item[0]), frames.items())
+        return dict(zip(frames, written))

@@ -18,7 +18,7 @@ from runlens import schemas as S
 from runlens.operators.joins import small_table
 from runlens.plans import ingest
 from runlens.plans.runs import whole_run_slices
-from runlens.session import materialise
+from runlens.session import materialise_all
 
 STREAM_EVENTS = {
     "contention": ("error", "click"),
@@ -41,9 +41,12 @@ class WorkloadViews:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     def latest(self) -> datetime:
         """Latest event time: the fixed "now" of the reports."""
@@ -322,7 +325,7 @@ class WorkloadViews:
 
     def stored(self) -> dict[str, DataFrame]:
         """The same tables written out, as the root-cause jobs find them."""
-        return {name: materialise(df, name) for name, df in self.persisted().items()}
+        return materialise_all(self.persisted())
 
     # ------------------------------------------------------------ catalog tables
 
