@@ -519,7 +519,7 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     o_orderpriority
   FROM (SELECT *, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) AS hit FROM orders)"""),
     "a25b_predicate_update": ((), """
-  SELECT * REPLACE (CASE WHEN c_mktsegment = 'MACHINERY' THEN 'CRDB' ELSE c_name END AS c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey) FROM customer"""),
+  SELECT * REPLACE (CASE WHEN c_mktsegment = 'MACHINERY' THEN 'renamed' ELSE c_name END AS c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey) FROM customer"""),
     "m01_stream_totals": (("metrics",), """
   SELECT stream, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(errors) AS BIGINT) AS errors, count(*) AS batches, CAST(sum(duration_ms) AS BIGINT) AS duration_ms
   FROM metrics GROUP BY 1"""),

@@ -390,7 +390,7 @@ def a25_keyed_update(v):
 
 def a25b_predicate_update(v):
     return sampling.update_where(
-        v.table("customer"), F.col("c_mktsegment") == "MACHINERY", {"c_name": F.lit("CRDB")}
+        v.table("customer"), F.col("c_mktsegment") == "MACHINERY", {"c_name": F.lit("renamed")}
     )
 
 

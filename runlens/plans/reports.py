@@ -316,12 +316,10 @@ def write_hotspots(stats: DataFrame, now: Now = None, lookback_hours: int = 2) -
         .groupBy("qry")
         .agg(F.sum("rows").alias("rows"))
         .withColumn("table_identifier", P.written_table(F.col("qry")))
-        .where(
-            F.col("table_identifier").isNotNull()
-            & ~F.col("table_identifier").like("system.%")
-            & ~F.col("table_identifier").like("crdb_internal.%")
-        )
+        .where("table_identifier IS NOT NULL")
     )
+    for schema in S.SYSTEM_DATABASES:
+        named = named.where(~F.col("table_identifier").like(f"{schema}.%"))
     return (
         named.groupBy("table_identifier")
         .agg(F.round(F.sum("rows")).cast("bigint").alias("approx_rows_written"))

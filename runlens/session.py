@@ -29,16 +29,20 @@ def build_session(app_name: str = "runlens", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str | None:
     """The cluster's folder for cut lineage, or a throw-away one in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         return None
-    folder = tempfile.mkdtemp(prefix="runlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="runlens-")
+    return _local_folders[context.applicationId]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -37,7 +37,9 @@ class Ingest:
 
     ``registry`` returns the registered runs. ``slice_seconds`` limits a batch
     to short slices; by default a batch takes all that is due, with the same
-    rows in the end.
+    rows in the end. ``agg_mode="hour_aligned"`` lets the slices of the
+    statistics begin at the full hour, so that a bucket which was refreshed
+    since the last batch, or began before the run, is read and updated.
     """
 
     def __init__(
@@ -49,7 +51,11 @@ class Ingest:
         safety_delay: int = runs.SAFETY_DELAY_SECONDS,
         backfill_every: int = BACKFILL_EVERY,
         backfill_hours: int = backfill.WINDOW_HOURS,
+        agg_mode: str = "slice",
     ):
+        if agg_mode not in ("slice", "hour_aligned"):
+            raise ValueError(f"unknown agg_mode {agg_mode!r}")
+        self.agg_mode = agg_mode
         self.store = store
         self.registry = registry
         self.clock = clock
@@ -132,6 +138,8 @@ class Ingest:
             slices = runs.due_slices(active, state, now, [stream], self.slice_seconds, self.safety_delay)
             mine = state.where(F.col("stream") == stream)
             moved = runs.set_watermarks(mine, slices.withColumn("watermark_ts", F.col("to_ts")), now)
+            if self.agg_mode == "hour_aligned" and stream in S.AGG_STREAMS:
+                slices = slices.withColumn("from_ts", F.date_trunc("hour", "from_ts"))
             full = moved.join(slices, ["test_run", "stream"], "left")
             self.store.write_state(stream, full, batch_id)
         return self.store.state_snapshot(stream, batch_id)

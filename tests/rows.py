@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Row
 from pyspark.sql import types as T
 
 from runlens import schemas as S

@@ -1,9 +1,7 @@
 from datetime import timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
-from runlens import schemas as S
 from runlens.sources.store import Store
 from runlens.sources.tables import binary_fingerprints, read_stream_table, stream_table
 from runlens.streaming.ingest import Ingest
@@ -173,3 +171,18 @@ def test_all_streams_and_delete_run(spark, tmp_path):
     assert len(marks) == 8
     store.delete_run("r1")
     assert all(d.where("test_run = 'r1'").count() == 0 and d.count() == 1 for d in store.tables().values())
+
+
+def test_hour_aligned_statistics_take_refreshed_buckets(spark, tmp_path):
+    registry = R.runs(spark, "r1", start=600, end=7200)
+    versions = [R.stmt_stats(spark, [{"metadata": m}, {"aggregated_ts": R.at(3600), "metadata": m}]) for m in ('{"query": "1"}', '{"query": "2"}')]
+    got = {}
+    for mode in ("slice", "hour_aligned"):
+        store = Store(spark, f"{tmp_path}/{mode}")
+        for now, source in zip((2000, 3000), versions):
+            ingest_at(spark, store, registry, now, agg_mode=mode).run_once("stmt_stats", source)
+        got[mode] = R.rows_of(store.read("stmt_stats"), "metadata")
+    # the bucket that began before the run is outside every plain slice
+    assert got == {"slice": [], "hour_aligned": [('{"query": "2"}',)]}
+    with pytest.raises(ValueError):
+        ingest_at(spark, store, registry, 1, agg_mode="nonsense")
