@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from llm.components import components
 from llm.minhash_sets import band_hashes, shingle_sets, sketches
 from llm.scratch import keep
+from llm.streams import runs
 
 BANDS, ROWS = 40, 6
 BLOCK = 256
@@ -106,29 +107,6 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return pairs.join(named("v"), "v").join(named("u"), "u").mapInArrow(_confirm(size, percent), "u long, v long")
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal keys from a stream sorted by them, one table each."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.zeros(batch.num_rows, dtype=bool)
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            key = tuple(c[a] for c in columns)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _across(size: int, percent: int):
     """Links between documents of different components within one block pair of a bucket."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import language_id, near_duplicates, packing, substring_dedup, url_filter
+from llm import chat_format, fingerprints, language_id, near_duplicates, packing, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -49,6 +49,17 @@ def packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_sequences(_table(spark, folder, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def chat(spark: SparkSession, folder: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{probe}'), (-1L, 1L, 'assistant', '{probe}') AS t(conv_id, turn, role, text)")
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_format.digests(chat_format.format_conversations(rows))
+
+
+def spotsigs(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edited_pairs(_table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -58,9 +69,11 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash": minhash,
+        "op5_chat": chat,
         "op6_substrings": substrings,
         "op7_languages": languages,
         "op8_urls": urls,
+        "op9_spotsigs": spotsigs,
         "op10_packing": packed,
         "pipeline": pipeline,
     }

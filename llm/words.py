@@ -18,6 +18,8 @@ CHUNK = 2_000_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: ASCII but letters and digits
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -111,15 +113,15 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def words(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int = CHUNK) -> Iterator[Words]:
-    """The words of every text; ``lower`` folds A-Z only."""
+def words(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int = CHUNK, breaks: np.ndarray = _SPACE) -> Iterator[Words]:
+    """The words of every text; ``lower`` folds A-Z only; ``breaks``: which bytes stand between words."""
     whole, all_offsets = text_bytes(column)
     for first, last in chunks(all_offsets, size):
         offsets = all_offsets[first : last + 1] - all_offsets[first]
         data = whole[all_offsets[first] : all_offsets[last]]
         if lower:
             data = _LOWER[data]
-        inside = ~_SPACE[data]
+        inside = ~breaks[data]
         opens, closes = inside.copy(), inside.copy()
         opens[1:] &= ~inside[:-1]
         closes[:-1] &= ~inside[1:]
