@@ -1,3 +1,15 @@
 """SQL for the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (
+            SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+        ), m AS (
+            SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND first > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND first > page_id THEN first END AS refers_to
+        FROM m
+    """,
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import chat_format, fingerprints, language_id, near_duplicates, packing, substring_dedup, url_filter
+from llm import archives, chat_format, fingerprints, language_id, near_duplicates, packing, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +20,22 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages").select(
+        F.col("page_id").cast("string").alias("key"),
+        F.col("url"),
+        F.lit(None).cast("string").alias("date"),
+        F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"),
+    )
+    return archives.round_trip(pages).select(
+        F.col("key").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to_key").cast("long").alias("refers_to"),
+    )
+
+
 def minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, folder, "documents"), shingle=3, percent=85)
 
@@ -68,6 +84,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": warc,
         "op2_minhash": minhash,
         "op5_chat": chat,
         "op6_substrings": substrings,

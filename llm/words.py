@@ -55,12 +55,20 @@ class _Powers:
 _POWERS = tuple(_Powers(b) for b in _BASE)
 
 
+class Runs:
+    """Hashes of runs values[start:end]; equal runs have equal hashes wherever they stand."""
+
+    def __init__(self, values: np.ndarray, which: int = 0):
+        up, self.down = _POWERS[which].get(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+
+    def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A hash of each run values[start:end]; equal runs have equal hashes wherever they stand."""
-    up, down = _POWERS[which].get(len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return Runs(values, which).hash(starts, ends)
 
 
 @dataclass
