@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import archives, chat_format, fingerprints, language_id, near_duplicates, packing, substring_dedup, url_filter
+from llm import archives, chat_format, fingerprints, language_id, near_duplicates, packing, search, sentencepieces, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,6 +65,19 @@ def packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_sequences(_table(spark, folder, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def pieces(spark: SparkSession, folder: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    encoded = sentencepieces.encode(_table(spark, folder, "documents"), path)
+    return sentencepieces.decode(encoded, path).select(
+        "doc_id", "n_ids", "ids_crc32", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256")
+    )
+
+
+def bm25(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return search.top_k(docs, docs.filter(F.col("doc_id") % 100 == 0))
+
+
 def chat(spark: SparkSession, folder: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     more = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{probe}'), (-1L, 1L, 'assistant', '{probe}') AS t(conv_id, turn, role, text)")
@@ -86,6 +99,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc,
         "op2_minhash": minhash,
+        "op3_sentencepiece": pieces,
+        "op4_search": bm25,
         "op5_chat": chat,
         "op6_substrings": substrings,
         "op7_languages": languages,

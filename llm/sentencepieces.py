@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ MARK = "▁"
 _CHUNK = 4_000_000
 _LOW = 0x250
 _SLOTS = 1 << 20
+_KEPT = 400_000
 _MERGES, _UNIGRAM = 2, 1
 
 
@@ -97,6 +99,7 @@ class PieceModel:
                 self.low_pairs[a, b] = True
         self._step_key = np.full(_SLOTS, -1, np.int64)
         self._step_good = np.zeros(_SLOTS, bool)
+        self._seen, self._seen_ids, self._seen_begin = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int64)
         # what each id stands for when decoding
         out = [p.piece.replace(MARK, " ").encode() if p.type == kind.NORMAL else b"" for p in model.pieces]
         for value, i in enumerate(self.byte_id.tolist()):
@@ -202,11 +205,17 @@ class PieceModel:
         cut[rows[:-1][rows[:-1] < len(codes)]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(codes))
-        _, one, back = np.unique(_runs(codes).hash(starts, ends), return_index=True, return_inverse=True)
+        keys, one, back = np.unique(_runs(codes).hash(starts, ends), return_index=True, return_inverse=True)
         sizes = ends[one] - starts[one]
-        parts, owners, counts = [], [], np.zeros(len(one), np.int64)
-        for length in np.unique(sizes).tolist():
-            same = np.flatnonzero(sizes == length)
+        known = np.minimum(np.searchsorted(self._seen, keys), max(len(self._seen) - 1, 0))
+        old = np.flatnonzero(self._seen[known] == keys) if len(self._seen) else np.zeros(0, np.int64)
+        fresh = np.ones(len(one), bool)
+        fresh[old] = False
+        ids, begin = gather(self._seen_ids, self._seen_begin, known[old])
+        parts, owners, counts = [ids], [np.repeat(old, np.diff(begin))], np.zeros(len(one), np.int64)
+        counts[old] = np.diff(begin)
+        for length in np.unique(sizes[fresh]).tolist():
+            same = np.flatnonzero((sizes == length) & fresh)
             chars = codes[starts[one[same]][:, None] + np.arange(length)]
             ids, each = self._solve(chars)
             if length == 1:
@@ -215,10 +224,21 @@ class PieceModel:
             owners.append(np.repeat(same, each))
             counts[same] = each
         order = np.argsort(np.concatenate(owners), kind="stable")
-        solved = np.concatenate(parts)[order]
-        ids, begin = gather(solved, np.concatenate([[0], np.cumsum(counts)]), back)
+        solved, begin = np.concatenate(parts)[order], np.concatenate([[0], np.cumsum(counts)])
+        self._remember(keys[fresh], *gather(solved, begin, np.flatnonzero(fresh)))
+        ids, begin = gather(solved, begin, back)
         return ids, begin[np.searchsorted(starts, rows)]
 
+    def _remember(self, keys: np.ndarray, ids: np.ndarray, begin: np.ndarray) -> None:
+        """Keep solved segments for later texts, up to a fixed number."""
+        if len(self._seen) >= _KEPT or not len(keys):
+            return
+        every = np.concatenate([self._seen, keys])
+        order = np.argsort(every)
+        joined = np.concatenate([self._seen_begin, begin[1:] + self._seen_begin[-1]])
+        self._seen_ids, self._seen_begin = gather(np.concatenate([self._seen_ids, ids]), joined, order)
+        self._seen = every[order]
+
     def _bytes(self, ids: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Single characters: the unknown ones as their bytes, or as the unknown piece."""
         out = [
@@ -274,14 +294,15 @@ def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for batch in batches:
-            crcs = [zlib.crc32(np.asarray(x.values.to_numpy(), "<u4").tobytes()) for x in batch.column(1)]
+            crcs = [zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) for x in batch.column(1)]
             texts = pa.array(pieces.decode(batch.column(1)), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64()), texts], ["id", "ids_crc32", "text"])
+            counts = pc.cast(pc.list_value_length(batch.column(1)), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(crcs, pa.int64()), texts], ["id", "n_ids", "ids_crc32", "text"])
 
     return run
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """``(id, ids_crc32, text)``: the texts of lists of ids, and a checksum of the ids (unsigned 32 bits, little-endian)."""
+    """``(id, n_ids, ids_crc32, text)``: the texts of lists of ids, their number and a checksum of them (unsigned 32 bits, little-endian)."""
     rows = encoded.select(F.col(id_col).alias("id"), "ids")
-    return rows.mapInArrow(_decoded(path), "id long, ids_crc32 long, text string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_decoded(path), "id long, n_ids long, ids_crc32 long, text string").withColumnRenamed("id", id_col)
