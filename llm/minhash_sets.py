@@ -12,13 +12,13 @@ from llm.words import mix, run_hashes, words
 ROUNDS = 64  # tries of the densification before it looks for the next filled bin in order
 
 
-def shingle_sets(texts: pa.Array, size: int, chunk: int = 2_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Per chunk: its first row, all sets one after the other, where each begins.
 
     A set holds the sorted distinct hashes of the ``size``-word shingles of the
     text, A-Z folded; of a shorter text the whole sequence; of no words nothing.
     """
-    for w in words(texts, lower=True, size=chunk):
+    for w in words(texts, lower=True):
         rows = w.last - w.first
         at, hashes = w.windows(size)
         owner = w.row[at]

@@ -40,6 +40,7 @@ WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 
+_BATCH = 3000  # documents whose anchors a map task holds at a time
 _NO_ID = np.iinfo(np.int64).min
 _NOTE = "block int, note binary"
 _ROWS, _PASS = 0, 1
@@ -81,9 +82,7 @@ def _firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _anchors(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cover = np.isin(np.arange(PERIOD), COVER)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(k, _BATCH) for b in batches for k in range(0, b.num_rows, _BATCH)):
             ids, home = _ids(batch.column(0)), batch.column(1).to_numpy()
             parts: list[tuple] = []
             for w in words(batch.column(2)):
