@@ -75,7 +75,9 @@ def arc_version_block(version: int, name: str, date: str) -> bytes:
 
 
 def parse_arc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Offset, named fields and document of each record; the version block says how lines are read."""
+    """Offset, named fields and document of each record; the version block says how lines are read. No bytes: none."""
+    if not data:
+        return
     head = data.index(b"\n") + 1
     size = int(data[:head].rsplit(b" ", 1)[1])
     version_line, names = data[head : head + size].split(b"\n", 2)[:2]
@@ -314,6 +316,8 @@ def _read_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raise ValueError(f"payload digest of {fields['WARC-Record-ID']} does not hold")
                 size = int(http_field(headers, b"Content-Length")) if again else len(payload)
                 rows.append((fields["WARC-Type"], fields["WARC-Record-ID"], fields.get("WARC-Target-URI"), fields["WARC-Date"], http_field(headers, _KEY), size, digest, fields.get("WARC-Refers-To"), fields.get(_FROM), None if again else payload))
+            if not rows:
+                continue
             names = [x.split(" ")[0] for x in _WARC.split(", ")]
             kinds = [pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string() for n in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 8192
+SIZES = (2, 3, 4)
 MOST_LABELLED = 500
-STEPS, RATE, RIDGE = 200, 0.3, 0.001
+STEPS, RATE, RIDGE = 400, 0.3, 0.001
 THRESHOLD = 0.5
 
 #: (host, path prefix, verdict); a rule fits its host and all subdomains, the longest one wins.
@@ -67,13 +68,20 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(part(1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), part(2)
 
 
+def _bucket(mark: str, buckets: int):
+    def of(gram: Column) -> Column:  # one parameter: a second would be the place in the array
+        return F.pmod(F.xxhash64(F.lit(mark), gram), F.lit(buckets)).cast("int")
+
+    return of
+
+
 def grams(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
-    """Hash buckets of all 3- and 4-grams of host and path, marked at their ends."""
+    """Hash buckets of all n-grams of host and path, marked at their ends."""
     out = []
     for mark, text in (("h", F.concat(F.lit("."), host, F.lit("."))), ("p", F.concat(path, F.lit("$")))):
-        for size in (3, 4):
+        for size in SIZES:
             found = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1))
-            out.append(F.transform(found, lambda g, m=mark: F.pmod(F.xxhash64(F.lit(m), g), F.lit(buckets)).cast("int")))
+            out.append(F.transform(found, _bucket(mark, buckets)))
     return F.concat(*out)
 
 
