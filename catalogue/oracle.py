@@ -499,7 +499,7 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
   SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders)
   WHERE pos >= floor({OFFSET_DRAW} * n / 10) AND pos < floor({OFFSET_DRAW} * n / 10) + 16"""),
     "a23_latency": (("ev",), """
-  SELECT op, count(DISTINCT user_id) AS threads, max(n) AS ops, max(cents) AS max, max(n) / 3600.0::DOUBLE AS ops_per_second,
+  SELECT op, count(DISTINCT user_id) AS threads, max(n) AS ops, CAST(sum(cents) AS DOUBLE) / count(*) AS mean, max(cents) AS max, max(n) / 3600.0::DOUBLE AS ops_per_second,
     max(cents) FILTER (pos = (n * 50 + 99) // 100) AS p50, max(cents) FILTER (pos = (n * 90 + 99) // 100) AS p90,
     max(cents) FILTER (pos = (n * 95 + 99) // 100) AS p95, max(cents) FILTER (pos = (n * 99 + 99) // 100) AS p99
   FROM (SELECT event_type AS op, user_id, cents, row_number() OVER (PARTITION BY event_type ORDER BY cents) AS pos,

@@ -7,20 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_TABLE_ROWS = 10_000
-
-
-def small_table(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Fix a table that is expected to be small, after checking that it is.
-
-    At most ``max_rows`` rows come to the driver; they return as a local
-    relation whose size the planner knows, so it is broadcast without a hint.
-    A table beyond the bound is returned as it was and joins by shuffle.
-    """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(rows, df.schema)
+# Ids are compared by their first characters as a join key, then in full.
+LONG_PREFIX = 8
 
 
 def time_slot(ts: Column, width_seconds: int) -> Column:
@@ -74,60 +62,50 @@ def latest_at_or_before(
 ) -> DataFrame:
     """As-of lookup: for each probe the latest ``point_ts <= bound`` of its key.
 
-    Probes without a match are dropped. One equi-join on (keys, time slot):
-    the right side holds, per key and slot, the different points in that slot
-    (a handful, as points are stamps of an aggregation interval) and the
-    latest point of any earlier slot. It has at most one row per key and slot
-    whatever the number of probes, so a key that holds most probes is spread
-    over its slots, and AQE may split a slot further since nothing above the
-    join relies on its partitioning.
+    Probes without a match are dropped. Probes and points are put in one order
+    per (keys, time slot), where each probe takes the last point before it; if the
+    slot has none, the latest point of an earlier slot counts, found on one row
+    per key and slot. Nothing is gathered into arrays, a key that holds most
+    probes is spread over its slots, and equal probes are looked up once.
     """
-    pts = points.select(
-        *keys,
-        time_slot(F.col(point_ts), slot_seconds).alias("_slot"),
-        F.col(point_ts).alias("_point"),
-    )
-    asked = probes.withColumn("_slot", time_slot(F.col(bound), slot_seconds))
     point_type = points.schema[point_ts].dataType
-    slots = asked.select(*keys, "_slot").withColumn("_point", F.lit(None).cast(point_type))
-    by_key = Window.partitionBy(*keys).orderBy("_slot")
-    lookup = (
-        pts.unionByName(slots)
-        .groupBy(*keys, "_slot")
-        .agg(F.collect_set("_point").alias("_points"), F.max("_point").alias("_last"))
-        .withColumn("_older", F.max("_last").over(by_key.rowsBetween(Window.unboundedPreceding, -1)))
+    slot = lambda c: time_slot(F.col(c), slot_seconds)
+    pts = points.select(*keys, slot(point_ts).alias("_slot"), F.col(point_ts).alias("_at"), F.col(point_ts).alias("_point"))
+    asked = probes.select(*keys, F.col(bound).alias("_bound")).distinct()
+    slots = asked.select(*keys, slot("_bound").alias("_slot"), F.col("_bound").cast(point_type).alias("_at"), "_bound")
+    none = lambda df, c, t: df.withColumn(c, F.lit(None).cast(t))
+    union = none(pts.distinct(), "_bound", probes.schema[bound].dataType).unionByName(none(slots, "_point", point_type))
+    in_slot = Window.partitionBy(*keys, "_slot").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    within = union.withColumn("_within", F.max("_point").over(in_slot)).where("_bound IS NOT NULL")
+    by_key = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    older = (
+        union.groupBy(*keys, "_slot").agg(F.max("_point").alias("_last"))
+        .withColumn("_older", F.max("_last").over(by_key))
         .drop("_last")
     )
-    within = F.array_max(F.filter("_points", lambda p: p <= F.col(bound)))
-    return (
-        asked.join(lookup, [*keys, "_slot"])
-        .withColumn(out, F.coalesce(within, F.col("_older")))
+    found = (
+        within.join(older, [*keys, "_slot"])
+        .withColumn(out, F.coalesce("_within", "_older"))
         .where(F.col(out).isNotNull())
-        .select(*probes.columns, out)
+        .select(*keys, "_bound", out)
     )
+    return probes.join(found.withColumnRenamed("_bound", bound), [*keys, bound]).select(*probes.columns, out)
 
 
-def prefix_lengths(df: DataFrame, prefix: str, longest: int = 36) -> list[int]:
-    """The different lengths of a prefix column; at most ``longest`` numbers.
+def prefix_join(ids: DataFrame, probes: DataFrame, id_column: str, prefix_column: str, equal: Sequence[str]) -> DataFrame:
+    """Rows of ``ids`` and ``probes`` whose id starts with the prefix, case of the id ignored.
 
-    A prefix longer than the ids themselves matches nothing and is left out.
+    The equi-join is on ``equal`` and the first ``LONG_PREFIX`` characters, for
+    shorter prefixes on the first one; the whole prefix is a residual. So a
+    prefix may have any length, no row is repeated, and a garbled short prefix
+    does not widen the key of the others. Column names of both sides other than
+    ``equal`` must differ.
     """
-    length = F.length(prefix)
-    rows = df.where(length.between(1, longest)).select(length.alias("n")).distinct().collect()
-    return sorted(r["n"] for r in rows)
-
-
-def with_prefixes(df: DataFrame, id_column: str, lengths: Sequence[int]) -> DataFrame:
-    """Add ``_prefix``: the id cut to each of the given lengths.
-
-    Joining it to a prefix column by equality is the test "id starts with
-    prefix", as a hash join. Usually all prefixes have one length and no row
-    is repeated.
-    """
-    text = F.lower(F.col(id_column))
-    if len(lengths) == 1:
-        return df.withColumn("_prefix", F.substring(text, 1, lengths[0])).where(
-            F.length("_prefix") == lengths[0]
-        )
-    cuts = F.array(*[F.when(F.length(text) >= n, F.substring(text, 1, n)) for n in lengths])
-    return df.withColumn("_prefix", F.explode(F.array_compact(cuts)))
+    size = F.length(prefix_column)
+    parts = []
+    for chars, asked in ((LONG_PREFIX, size >= LONG_PREFIX), (1, (size >= 1) & (size < LONG_PREFIX))):
+        left = ids.withColumns({"_text": F.lower(id_column), "_key": F.substring(F.lower(id_column), 1, chars)})
+        right = probes.where(asked).withColumn("_key", F.substring(prefix_column, 1, chars))
+        met = left.join(right, [*equal, "_key"]).where(F.col("_text").startswith(F.col(prefix_column)))
+        parts.append(met.drop("_text", "_key"))
+    return parts[0].unionByName(parts[1])

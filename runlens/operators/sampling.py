@@ -7,8 +7,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from runlens.operators.joins import small_table
+from pyspark.sql import types as T
 
 Draw = Callable[[int], Column]
 
@@ -33,21 +32,24 @@ def random_sample(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     return df.orderBy(order, F.col(key)).limit(k)
 
 
-def offset_slice(
-    df: DataFrame, key: str, offset: int, k: int, parts: int = 1024, small: int = 100_000
-) -> DataFrame:
+def offset_slice(df: DataFrame, key: str, offset: int, k: int, parts: int = 1024, small: int = 100_000) -> DataFrame:
     """The ``k`` rows after the first ``offset`` in the order of a whole-number key.
 
     ``OFFSET n`` alone would bring the first n rows to one task. Here the key
     range is narrowed first: each pass counts the rows in ``parts`` equal
     ranges and moves to the one where the offset falls, until few enough rows
-    are left to skip. The key filter reaches the scan, so later passes and the
-    final read touch only the row groups around the slice.
+    are left to skip. The final read is closed at the range in which the slice
+    ends, so it touches only the row groups around the slice. Rows with a NULL
+    key are not part of the order. Rows that share one key are skipped by their
+    number within that key, in any order, as they are equal to it.
     """
+    if not isinstance(df.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise ValueError(f"{key} must be a whole-number column")
     bounds = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(key).alias("n")).first()
     if not bounds["n"] or offset >= bounds["n"]:
         return df.limit(0)
     lo, hi, n, skip = int(bounds["lo"]), int(bounds["hi"]), bounds["n"], offset
+    end = hi
     while n > small and lo < hi:
         width = -(-(hi - lo + 1) // parts)
         counted = (
@@ -57,13 +59,18 @@ def offset_slice(
             .orderBy("part")
             .collect()
         )
-        for row in counted:
-            if skip < row["count"]:
-                break
-            skip -= row["count"]
-        lo, n = lo + row["part"] * width, row["count"]
-        hi = min(hi, lo + width - 1)
-    rest = df.where(F.col(key) >= lo).orderBy(key)
+        at = 0
+        while skip >= counted[at]["count"]:
+            skip -= counted[at]["count"]
+            at += 1
+        held, last = counted[at]["count"] - skip, at
+        while held < k and last + 1 < len(counted):
+            last += 1
+            held += counted[last]["count"]
+        if held >= k:
+            end = min(end, lo + (counted[last]["part"] + 1) * width - 1)
+        lo, hi, n = lo + counted[at]["part"] * width, min(hi, lo + (counted[at]["part"] + 1) * width - 1), counted[at]["count"]
+    rest = df.where(F.col(key).between(lo, end)).orderBy(key)
     return rest.offset(skip).limit(k) if skip else rest.limit(k)
 
 
@@ -77,13 +84,12 @@ def update_keyed(
 ) -> DataFrame:
     """Apply ``changes`` to the rows whose key is in ``keys``; others stay.
 
-    ``keys`` is fixed to a local table if it is small, so that the big table
-    is not shuffled; a larger key set joins by shuffle. Without ``keys`` every
-    row changes (combine with :func:`update_where`).
+    How the keys meet the table is left to the planner, by their size at run
+    time. Without ``keys`` every row changes (combine with :func:`update_where`).
     """
     if keys is None:
         return df.withColumns(changes)
-    picked = small_table(keys.select(F.col(key).alias("_picked")).where("_picked IS NOT NULL").distinct())
+    picked = keys.select(F.col(key).alias("_picked")).where("_picked IS NOT NULL").distinct()
     joined = df.join(picked, df[key] == picked["_picked"], "left")
     hit = F.col("_picked").isNotNull()
     return joined.withColumns(

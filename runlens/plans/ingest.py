@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from runlens import schemas as S
 from runlens.operators.joins import interval_join
 from runlens.operators.merging import insert_ignore, upsert
+from runlens.operators.ranking import first_per_group
 
 INSIGHT_ORDER = ("start_time", "stmt_id", "txn_id")
 
@@ -60,10 +61,24 @@ def new_txn_ids(tagged: DataFrame, target: DataFrame | None) -> DataFrame:
     return fresh.join(target.select("test_run", "txn_id"), ["test_run", "txn_id"], "left_anti")
 
 
+def _newest_first() -> list[Column]:
+    """Versions of one bucket: its execution count only grows; equal counts end in a fixed order."""
+    count = F.get_json_object("statistics", "$.statistics.cnt").cast("bigint")
+    return [count.desc_nulls_last(), F.xxhash64("statistics", "metadata")]
+
+
+def newest_statistics(tagged: DataFrame, stream: str) -> DataFrame:
+    """One row per key: the newest version of each bucket. A NULL in the key never conflicts."""
+    keys = list(S.KEYS[stream])
+    whole = F.lit(True)
+    for k in keys:
+        whole &= F.col(k).isNotNull()
+    return first_per_group(tagged.where(whole), keys, _newest_first()).unionByName(tagged.where(~whole))
+
+
 def merged_statistics(tagged: DataFrame, target: DataFrame, stream: str) -> DataFrame:
     """The statistics table after an upsert; the first row's interval is kept."""
-    order = [F.col("aggregated_ts").desc(), F.xxhash64("statistics", "metadata")]
-    return upsert(tagged, target, S.KEYS[stream], S.UPDATED_COLUMNS[stream], order)
+    return upsert(newest_statistics(tagged, stream), target, S.KEYS[stream], S.UPDATED_COLUMNS[stream])
 
 
 def normalised_recommendations(col: str | Column, dtype: T.DataType) -> Column:

@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from runlens import schemas as S
 from runlens.functions import patterns as P
 from runlens.functions.values import same, statement_metadata, transaction_metadata
-from runlens.operators.joins import latest_at_or_before, prefix_lengths, with_prefixes
+from runlens.operators.joins import latest_at_or_before, prefix_join
 from runlens.operators.ranking import first_per_group
-from runlens.session import materialise
+from runlens.session import materialise, shared_folder
 
 CONFLICT_WINDOW_SECONDS = 60
 LATEST_TXN_HOURS = 2
@@ -59,9 +59,7 @@ def parse_exceptions(exceptions: DataFrame, time_type: str = "timestamp") -> Dat
 
 # ------------------------------------------------------------------ three stages
 
-def by_contention_event(
-    parsed: DataFrame, contention: DataFrame, insights: DataFrame, lengths: list[int] | None = None
-) -> DataFrame:
+def by_contention_event(parsed: DataFrame, contention: DataFrame, insights: DataFrame) -> DataFrame:
     """Stage 1: the earliest contention event on the same key within a minute.
 
     The hash join is on (run, key, id prefix), so a key on which most of the
@@ -71,51 +69,33 @@ def by_contention_event(
         F.col("txn_id_prefix").isNotNull() & F.col("contention_key").isNotNull() & F.col("conflict_ts").isNotNull()
     ).select(
         "exception_id",
-        F.col("test_run"),
-        F.col("contention_key"),
-        F.col("txn_id_prefix"),
-        F.col("conflict_ts"),
+        "test_run",
+        F.col("contention_key").alias("contending_pretty_key"),
+        "txn_id_prefix",
+        "conflict_ts",
         F.col("app_name").alias("in_app"),
         F.col("schema_name").alias("in_schema"),
     )
-    if lengths is None:
-        lengths = prefix_lengths(x, "txn_id_prefix")
-    events = with_prefixes(contention, "waiting_txn_id", lengths).alias("c")
-    x = x.alias("x")
     span = F.expr(f"make_dt_interval(0, 0, 0, {CONFLICT_WINDOW_SECONDS})")
     hit = (
-        events.join(
-            x,
-            (F.col("c.test_run") == F.col("x.test_run"))
-            & (F.col("c.contending_pretty_key") == F.col("x.contention_key"))
-            & (F.col("c._prefix") == F.col("x.txn_id_prefix"))
-            & F.col("c.collection_ts").between(F.col("x.conflict_ts"), F.col("x.conflict_ts") + span)
-            & (F.col("x.in_schema").isNull() | (F.col("c.schema_name") == F.col("x.in_schema"))),
-        )
-        .select(
-            "x.exception_id",
-            "x.in_app",
-            "c.test_run",
-            "c.collection_ts",
-            "c.waiting_txn_id",
-            "c.blocking_txn_id",
-            "c.blocking_txn_fingerprint_id",
-            "c.waiting_txn_fingerprint_id",
-            "c.waiting_stmt_fingerprint_id",
-            "c.database_name",
-            "c.schema_name",
-            "c.table_name",
-            "c.index_name",
-            "c.contention_type",
-        )
+        prefix_join(contention, x, "waiting_txn_id", "txn_id_prefix", ["test_run", "contending_pretty_key"])
+        .where(F.col("collection_ts").between(F.col("conflict_ts"), F.col("conflict_ts") + span))
+        .where(F.col("in_schema").isNull() | (F.col("schema_name") == F.col("in_schema")))
     )
     first = first_per_group(
         hit, ["exception_id"], [F.col(c) for c in ("collection_ts", "waiting_txn_id", "blocking_txn_id")]
     )
-    # Of the matching insights only the application matters, that of the first.
+    # Of the matching insights only the application matters, that of the first;
+    # insights of other statements do not take part.
+    asked = ["test_run", "txn_fingerprint_id", "stmt_fingerprint_id"]
+    wanted = first.select(
+        "test_run",
+        F.col("waiting_txn_fingerprint_id").alias("txn_fingerprint_id"),
+        F.col("waiting_stmt_fingerprint_id").alias("stmt_fingerprint_id"),
+    ).distinct()
     apps = first_per_group(
-        insights.select("test_run", "txn_fingerprint_id", "stmt_fingerprint_id", "app_name", "start_time", "stmt_id"),
-        ["test_run", "txn_fingerprint_id", "stmt_fingerprint_id"],
+        insights.select(*asked, "app_name", "start_time", "stmt_id").join(wanted, asked, "left_semi"),
+        asked,
         [F.col("start_time"), F.col("stmt_id"), F.col("app_name")],
     ).select(
         "test_run",
@@ -140,24 +120,15 @@ def by_contention_event(
     )
 
 
-def involved_transactions(
-    parsed: DataFrame, txn_id_map: DataFrame, lengths: list[int] | None = None
-) -> DataFrame:
-    """Fingerprints of the transactions whose id starts with the prefix."""
-    x = parsed.where(F.col("txn_id_prefix").isNotNull()).select(
-        "exception_id",
-        "test_run",
-        F.col("txn_id_prefix").alias("_prefix"),
-        "retry_error_type",
-        F.col("app_name").alias("in_app"),
-        "schema_name",
-    )
-    if lengths is None:
-        lengths = prefix_lengths(x, "_prefix")
-    ids = with_prefixes(txn_id_map, "txn_id", lengths).select(
-        "test_run", "_prefix", "txn_fingerprint_id"
+def involved_transactions(parsed: DataFrame, txn_id_map: DataFrame) -> DataFrame:
+    """Fingerprints of the transactions whose id starts with the prefix, once per exception and fingerprint."""
+    asked = parsed.where(F.col("txn_id_prefix").isNotNull()).select("test_run", "txn_id_prefix").distinct()
+    ids = txn_id_map.select("test_run", "txn_id", "txn_fingerprint_id")
+    found = prefix_join(ids, asked, "txn_id", "txn_id_prefix", ["test_run"]).drop("txn_id").distinct()
+    x = parsed.select(
+        "exception_id", "test_run", "txn_id_prefix", "retry_error_type", F.col("app_name").alias("in_app"), "schema_name"
     )
-    return x.join(ids.distinct(), ["test_run", "_prefix"]).drop("_prefix")
+    return x.join(found, ["test_run", "txn_id_prefix"]).drop("txn_id_prefix")
 
 
 def _answered(
@@ -252,11 +223,10 @@ def failed_statements(
     parsed: DataFrame, contention: DataFrame, insights: DataFrame, txn_id_map: DataFrame
 ) -> DataFrame:
     """The failed statement of each exception, from the first stage that has one."""
-    lengths = prefix_lengths(parsed, "txn_id_prefix")
-    involved = involved_transactions(parsed, txn_id_map, lengths)
+    involved = involved_transactions(parsed, txn_id_map)
     insights = _as_time_of(insights, contention)
     stages = [
-        by_contention_event(parsed, contention, insights, lengths),
+        by_contention_event(parsed, contention, insights),
         by_failed_insight(involved, insights),
         by_any_insight(involved, insights),
     ]
@@ -313,38 +283,55 @@ def _app_rule(app: Column) -> Column:
     )
 
 
-def pick_transactions(failed: DataFrame, txn_stats: DataFrame, within_run: bool = False) -> DataFrame:
+def pick_transactions(
+    failed: DataFrame, txn_stats: DataFrame, within_run: bool = False, own_stats: DataFrame | None = None
+) -> DataFrame:
     """The latest statistics row per exception and role.
 
     The row is the latest over all runs up to two hours after the failure, and
     counts only if it belongs to the exception's run: a newer row of another
     run hides it. ``within_run`` looks at the exception's run alone.
+    ``own_stats`` is ``txn_stats`` cut to the runs of the exceptions.
+
+    Exceptions that ask the same (fingerprint, rule, application, bound) are
+    one question. Where any application will do, the newest stamp is looked up
+    without it.
     """
     legs = transaction_roles(failed).withColumn(
         "bound", F.col("collection_ts") + F.expr(f"make_dt_interval(0, {LATEST_TXN_HOURS}, 0, 0)")
     )
-    scope = ["test_run"] if within_run else []
-    slim = txn_stats.select("test_run", "fingerprint_id", "app_name", "aggregated_ts")
-    # One group of applications per fingerprint; the rule is a residual.
-    apps = slim.select(*scope, "fingerprint_id", "app_name").distinct()
-    asked = (
-        legs.join(apps, [*scope, "fingerprint_id"])
+    asks = ["test_run", "fingerprint_id", "rule", "failed_app", "bound"]
+    questions = legs.select(*asks).where("bound IS NOT NULL").distinct()
+    columns = ["test_run", "fingerprint_id", "app_name", "aggregated_ts"]
+    slim = txn_stats.select(*columns).where("app_name IS NOT NULL")
+    own = slim if own_stats is None else own_stats.select(*columns).where("app_name IS NOT NULL")
+    if within_run:
+        slim = own
+    keys = [*(["test_run"] if within_run else []), "fingerprint_id"]
+    known = questions.where("failed_app IS NOT NULL")
+
+    def latest(asked: DataFrame, by: list[str]) -> DataFrame:
+        return latest_at_or_before(asked, slim, by, "bound", "aggregated_ts", "aggregated_ts")
+
+    any_app = latest(questions.where("rule = 'any_app'"), keys)
+    same_app = latest(known.where("rule = 'same_app'").withColumn("app_name", F.col("failed_app")), [*keys, "app_name"])
+    others = known.where("rule = 'diff_app'").join(slim.select(*keys, "app_name").distinct(), keys)
+    diff_app = latest(others.where("app_name <> failed_app").select(*asks, "app_name"), [*keys, "app_name"])
+    newest = diff_app.groupBy(*asks).agg(F.max("aggregated_ts").alias("aggregated_ts"))
+    stamped = any_app.unionByName(same_app.select(*asks, "aggregated_ts")).unionByName(newest)
+    # of the run's own rows with that stamp the first application counts
+    answers = (
+        stamped.join(own, ["test_run", "fingerprint_id", "aggregated_ts"])
         .where(_app_rule(F.col("app_name")))
-        .select("exception_id", "test_run", "role", "fingerprint_id", "app_name", "bound")
-    )
-    at = latest_at_or_before(
-        asked, slim, [*scope, "fingerprint_id", "app_name"], "bound", "aggregated_ts", "aggregated_ts"
+        .groupBy(*asks, "aggregated_ts")
+        .agg(F.min("app_name").alias("app_name"))
     )
-    # Rows of the exception's own run come first where several share the time.
-    own = slim.withColumn("_own", F.lit(True))
-    ranked = at.join(own, ["test_run", "fingerprint_id", "app_name", "aggregated_ts"], "left")
-    best = first_per_group(
-        ranked,
-        ["exception_id", "role"],
-        [F.col("aggregated_ts").desc(), F.col("_own").asc_nulls_last(), F.col("app_name")],
-    )
-    return best.where("_own").select(
-        "exception_id", "role", "test_run", "fingerprint_id", "app_name", "aggregated_ts"
+    one, two = legs.alias("l"), answers.alias("a")
+    match = F.col("l.failed_app").eqNullSafe(F.col("a.failed_app"))
+    for c in ("test_run", "fingerprint_id", "rule", "bound"):
+        match &= F.col(f"l.{c}") == F.col(f"a.{c}")
+    return one.join(two, match).select(
+        "l.exception_id", "l.role", "l.test_run", "l.fingerprint_id", "a.app_name", "a.aggregated_ts"
     )
 
 
@@ -418,18 +405,29 @@ def inspect_contention(
     stmt_stats: DataFrame,
     within_run: bool = False,
     ordered: bool = True,
+    scratch: str | None = None,
 ) -> DataFrame:
-    """All statements of the waiting and blocking transactions, per exception."""
+    """All statements of the waiting and blocking transactions, per exception.
+
+    ``scratch`` is a folder that all executors share (default: the session's
+    ``spark.checkpoint.dir``). The names of the exceptions' test runs come to the
+    driver and go into every scan as a filter on the partitions; only the search
+    for the newest transaction row looks at all runs.
+    """
+    folder = scratch or shared_folder(exceptions.sparkSession)
     dtype = contention.schema["collection_ts"].dataType.simpleString()
     # Three narrow results feed several branches each and are written once: the
     # parsed arguments (the texts end here), the failed statements, the picks.
-    parsed = materialise(parse_exceptions(exceptions, dtype).drop("exception_str"), "parsed")
+    parsed = materialise(parse_exceptions(exceptions, dtype).drop("exception_str"), "parsed", folder)
+    names = [r[0] for r in parsed.select("test_run").where("test_run IS NOT NULL").distinct().collect()]
+    own = lambda df: df.where(F.col("test_run").isin(names))
+    contention, insights, txn_id_map, stmt_stats = (own(t) for t in (contention, insights, txn_id_map, stmt_stats))
     failed = materialise(
-        with_arguments(failed_statements(parsed, contention, insights, txn_id_map), parsed), "failed"
+        with_arguments(failed_statements(parsed, contention, insights, txn_id_map), parsed), "failed", folder
     )
-    picks = materialise(pick_transactions(failed, txn_stats, within_run), "picks")
-    versions = statement_versions(statement_order(picks, txn_stats), stmt_stats)
-    result = assemble(failed, picks, versions, txn_stats, stmt_stats)
+    picks = materialise(pick_transactions(failed, txn_stats, within_run, own(txn_stats)), "picks", folder)
+    versions = statement_versions(statement_order(picks, own(txn_stats)), stmt_stats)
+    result = assemble(failed, picks, versions, own(txn_stats), stmt_stats)
     if ordered:
         return result.orderBy("exception_id", "transaction_fingerprint_id", "ord", "role")
     return result
@@ -553,6 +551,10 @@ def replace_caller_results(result: DataFrame, caller_id: str, path: str) -> None
 
 
 def caller_report(spark, path: str, caller_id: str) -> DataFrame:
-    """The readable report of one caller's stored result; one partition is read."""
-    stored = spark.read.parquet(path).where(F.col("caller_id") == caller_id)
+    """The readable report of one caller's stored result; one partition is read.
+
+    The folder of the caller is read by its name, so ids such as ``7`` and
+    ``007`` stay apart.
+    """
+    stored = spark.read.parquet(f"{path.rstrip('/')}/caller_id={quote(caller_id, safe='')}")
     return report(stored).orderBy("test_run", "txn_fingerprint_id", "stmt_order")

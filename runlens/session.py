@@ -15,7 +15,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.parquet.aggregatePushdown": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
@@ -32,39 +31,33 @@ def build_session(app_name: str = "runlens", master: str | None = None, **conf:
 _local_folders: dict[str, str] = {}
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The cluster's folder for cut lineage, or a throw-away one in local mode."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's folder for cut lineage; where it is unset, a throw-away one in local mode, else an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        return None
+    if not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.applicationId not in _local_folders:
         _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="runlens-")
     return _local_folders[context.applicationId]
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialise(df: DataFrame, label: str, folder: str) -> DataFrame:
+    """Write ``df`` to ``folder``, which all executors share, and read it back.
 
     Used where one result feeds several branches of a plan: the branches read
     files (with known sizes, and safe against lost executors) in place of
-    recomputing the joins above. Without a shared folder the plan stays lazy.
+    recomputing the joins above.
     """
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
-        return df
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialise_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def materialise_all(frames: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
     """Several independent results at once: their jobs share the cluster."""
-    for df in frames.values():
-        shared_folder(df.sparkSession)
     with ThreadPoolExecutor(max_workers=max(1, len(frames))) as pool:
-        written = pool.map(lambda item: materialise(item[1], item[0]), frames.items())
+        written = pool.map(lambda item: materialise(item[1], item[0], folder), frames.items())
         return dict(zip(frames, written))

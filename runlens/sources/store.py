@@ -100,6 +100,13 @@ class Store:
             df.select(*table_schema(table).names).write.mode("overwrite").parquet(staged)
         self.resume(table, label)
 
+    def aside(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` to the store's staging folder, once per name, and read it from there."""
+        path = self.path("_aside", name)
+        if not self.exists(f"{path}/_SUCCESS"):
+            df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def resume(self, table: str, label: str) -> bool:
         """Finish a replacement that was written aside but not put in place."""
         staged = self.path("_staging", table, label)
@@ -144,7 +151,7 @@ class Store:
 
     def reset(self) -> None:
         """Remove all tables, the registry and the state."""
-        for table in (*S.ALL_STREAMS, "txn_id_map", "_runs", "_state", "_pending", "_metrics", "_staging"):
+        for table in (*S.ALL_STREAMS, "txn_id_map", "_runs", "_state", "_plan", "_pending", "_metrics", "_staging", "_aside"):
             self.remove(self.path(table))
 
     def delete_run(self, test_run: str) -> None:
@@ -163,17 +170,34 @@ class Store:
         return self.numbers(self.path("_state", stream))
 
     def state_snapshot(self, stream: str, batch_id: int) -> DataFrame:
+        return self._snapshot("_state", stream, batch_id)
+
+    def has_plan(self, stream: str, batch_id: int) -> bool:
+        return self.exists(self.path("_plan", stream, f"batch_id={batch_id}", "_SUCCESS"))
+
+    def plan(self, stream: str, batch_id: int) -> DataFrame:
+        """What a batch has set out to read, and the state after it; not yet in force."""
+        return self._snapshot("_plan", stream, batch_id)
+
+    def _snapshot(self, kind: str, stream: str, batch_id: int) -> DataFrame:
         schema = S.flat_schema(
             "test_run STRING, stream STRING, watermark_ts TIMESTAMP, updated_at TIMESTAMP, "
             "database_name STRING, from_ts TIMESTAMP, to_ts TIMESTAMP"
         )
-        return self.spark.read.schema(schema).parquet(self.path("_state", stream, f"batch_id={batch_id}"))
+        return self.spark.read.schema(schema).parquet(self.path(kind, stream, f"batch_id={batch_id}"))
+
+    def write_plan(self, stream: str, df: DataFrame, batch_id: int) -> None:
+        df.coalesce(1).write.mode("overwrite").parquet(self.path("_plan", stream, f"batch_id={batch_id}"))
 
-    def write_state(self, stream: str, df: DataFrame, batch_id: int) -> None:
+    def commit_state(self, stream: str, df: DataFrame, batch_id: int) -> None:
+        """Put the planned state in force: the last step of a batch. Older plans, states and rows put aside go."""
         df.coalesce(1).write.mode("overwrite").parquet(self.path("_state", stream, f"batch_id={batch_id}"))
         for old in self.state_batches(stream):
             if old < batch_id - 1:
                 self.remove(self.path("_state", stream, f"batch_id={old}"))
+                self.remove(self.path("_plan", stream, f"batch_id={old}"))
+        for name in (f"{stream}-{batch_id}-rows", f"{stream}-{batch_id}-hit", f"{stream}-{batch_id}-written", f"{stream}-backfill-{batch_id}-counts"):
+            self.remove(self.path("_aside", name))
 
     def state(self, before: dict[str, int] | None = None) -> DataFrame:
         """Watermarks of all streams, each after its latest batch (before a given one)."""

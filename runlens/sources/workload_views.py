@@ -15,10 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens import schemas as S
-from runlens.operators.joins import small_table
 from runlens.plans import ingest
 from runlens.plans.runs import whole_run_slices
-from runlens.session import materialise_all
+from runlens.session import materialise_all, shared_folder
 
 STREAM_EVENTS = {
     "contention": ("error", "click"),
@@ -220,7 +219,7 @@ class WorkloadViews:
     def _derive_runs(self) -> DataFrame:
         """One test run per day of data, from 00:30 to 23:00."""
         days = self.table("events").select(F.to_date("ts").alias("d")).distinct()
-        return small_table(
+        return (
             days.selectExpr(
                 "concat('run_', date_format(d, 'yyyyMMdd')) as test_run",
                 "case when day(d) % 10 = 0 then 'other' else 'schedules' end as database_name",
@@ -257,7 +256,7 @@ class WorkloadViews:
             .groupBy("d", "stream")
             .agg(F.max("ts").alias("ts"))
         )
-        return small_table(
+        return (
             latest.selectExpr(
                 "concat('run_', date_format(d, 'yyyyMMdd')) as test_run",
                 "stream",
@@ -325,7 +324,7 @@ class WorkloadViews:
 
     def stored(self) -> dict[str, DataFrame]:
         """The same tables written out, as the root-cause jobs find them."""
-        return materialise_all(self.persisted())
+        return materialise_all(self.persisted(), shared_folder(self.spark))
 
     # ------------------------------------------------------------ catalog tables
 

@@ -4,12 +4,14 @@ What a batch may read is decided by the ingest state and not by Spark's event
 time watermark: rows behind the slice were never going to be read, rows ahead
 of it must stay for a later batch. So a batch
 
-1. fixes its slices and the state after it (a replay finds them and keeps them),
+1. plans its slices and the state after it (a repeat finds the plan and keeps it),
 2. takes the kept and the new rows that fall into the slices and merges them,
-3. keeps the rows that a registered run will need later.
+3. keeps the rows that a registered run will need later,
+4. commits: the state, with the moved watermarks, is written last.
 
 Every step writes under the batch's own number or from content written aside,
-so a batch that is repeated after a failure leaves the same tables.
+so a batch that is repeated after a failure leaves the same tables. Until a
+batch is committed no watermark moves and the next one has the same number.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from runlens import schemas as S
 from runlens.functions.values import instant
-from runlens.operators.joins import interval_join, small_table
+from runlens.operators.joins import interval_join
 from runlens.plans import backfill, ingest, runs
 from runlens.plans.metrics import METRICS
 from runlens.sources.store import Store
@@ -87,7 +89,10 @@ class Ingest:
     def run_once(
         self, stream: str, source: DataFrame, backfill_source: Callable[[], DataFrame] | None = None
     ) -> int:
-        """One batch over a source that can be read again; returns its number."""
+        """One batch over a source that can be read again; returns its number.
+
+        A batch that failed is repeated: it keeps its number and its slices.
+        """
         done = self.store.state_batches(stream)
         batch_id = done[-1] + 1 if done else 0
         self.process(stream, source, batch_id, keep=False, backfill_source=backfill_source)
@@ -107,15 +112,16 @@ class Ingest:
             raise ValueError(f"unknown stream {stream!r}")
         began, now = time.monotonic(), self.clock()
         try:
-            state = self._fixed_state(stream, batch_id, now)
-            slices = small_table(state.where("to_ts IS NOT NULL").select("test_run", "stream", "database_name", "from_ts", "to_ts"))
+            plan = self._planned(stream, batch_id, now)
+            slices = plan.where("to_ts IS NOT NULL").select("test_run", "stream", "database_name", "from_ts", "to_ts")
             rows = source
             if keep:
                 kept = self.store.pending(stream, batch_id)
                 rows = source if kept is None else source.unionByName(kept)
-            self._merge(stream, self._near(rows, slices, stream), slices, batch_id)
+            near = self._near(rows, slices, stream)
+            written = self._merge(stream, near, slices, batch_id)
             if keep:
-                self.store.write_pending(stream, self._needed_later(rows, state, stream), batch_id)
+                self.store.write_pending(stream, self._needed_later(rows, plan, stream), batch_id)
             changed = None
             if (
                 stream == "contention"
@@ -124,14 +130,15 @@ class Ingest:
                 and (batch_id + 1) % self.backfill_every == 0
             ):
                 changed = self.backfill(backfill_source(), now, f"backfill-{batch_id}")
+            self._record(stream, batch_id, plan, written, now, time.monotonic() - began, changed)
+            self.store.commit_state(stream, plan, batch_id)
         except Exception:
             self._record_error(stream, now)
             raise
-        self._record(stream, batch_id, slices, now, time.monotonic() - began, changed)
 
-    def _fixed_state(self, stream: str, batch_id: int, now: datetime) -> DataFrame:
-        """State after this batch with its slices, decided once per batch number."""
-        if batch_id not in self.store.state_batches(stream):
+    def _planned(self, stream: str, batch_id: int, now: datetime) -> DataFrame:
+        """Slices of this batch and the state after it, decided once per batch number."""
+        if not self.store.has_plan(stream, batch_id):
             registry = self.registry()
             state = self.store.state(before={stream: batch_id})
             active = runs.active_runs(registry, state, now)
@@ -140,9 +147,9 @@ class Ingest:
             moved = runs.set_watermarks(mine, slices.withColumn("watermark_ts", F.col("to_ts")), now)
             if self.agg_mode == "hour_aligned" and stream in S.AGG_STREAMS:
                 slices = slices.withColumn("from_ts", F.date_trunc("hour", "from_ts"))
-            full = moved.join(slices, ["test_run", "stream"], "left")
-            self.store.write_state(stream, full, batch_id)
-        return self.store.state_snapshot(stream, batch_id)
+            full = moved.join(slices, ["test_run", "stream"], "full_outer")
+            self.store.write_plan(stream, full, batch_id)
+        return self.store.plan(stream, batch_id)
 
     def _near(self, rows: DataFrame, slices: DataFrame, stream: str) -> DataFrame:
         """Cut the source to the time the slices span, as a filter for the scan."""
@@ -154,41 +161,50 @@ class Ingest:
         lo, hi = (F.lit(t).cast("timestamp").cast(dtype) for t in (span["lo"], span["hi"]))
         return rows.where((ts >= lo) & (ts < hi))
 
-    def _merge(self, stream: str, rows: DataFrame, slices: DataFrame, batch_id: int) -> None:
+    def _merge(self, stream: str, rows: DataFrame, slices: DataFrame, batch_id: int) -> DataFrame:
+        """Write the batch's rows; returns the number of rows per run, updated and mapped ones too."""
         store = self.store
+        others = F.col("batch_id") != batch_id
+        names = [r[0] for r in slices.select("test_run").distinct().collect()]
+        mine = lambda table: store.read(table, True).where(F.col("test_run").isin(names) & others)
+        if stream in S.AGG_STREAMS:
+            return self._merge_statistics(stream, ingest.tag_with_runs(rows, slices, stream), slices, names, batch_id)
+        tables = [stream]
         if stream == "contention":
             store.write_batch(stream, ingest.new_contention(rows, slices), batch_id)
-        elif stream == "insights":
-            others = F.col("batch_id") != batch_id
-            tagged = ingest.visible_insights(rows, slices)
-            store.write_batch(
-                stream, ingest.new_insights(tagged, store.read(stream, True).where(others)), batch_id
-            )
-            store.write_batch(
-                "txn_id_map",
-                ingest.new_txn_ids(tagged, store.read("txn_id_map", True).where(others)),
-                batch_id,
-            )
         else:
-            self._merge_statistics(stream, ingest.tag_with_runs(rows, slices, stream), slices, batch_id)
+            tagged = ingest.visible_insights(rows, slices)
+            store.write_batch(stream, ingest.new_insights(tagged, mine(stream)), batch_id)
+            store.write_batch("txn_id_map", ingest.new_txn_ids(tagged, mine("txn_id_map")), batch_id)
+            tables.append("txn_id_map")
+        counts = None
+        for table in tables:
+            own = F.col("test_run").isin(names) & (F.col("batch_id") == batch_id)
+            part = store.read(table, True).where(own).select("test_run")
+            counts = part if counts is None else counts.unionByName(part)
+        # written aside, as a backfill may replace the partitions before they are recorded
+        return store.aside(counts.groupBy("test_run").agg(F.count(F.lit(1)).alias("rows")), f"{stream}-{batch_id}-written")
 
-    def _merge_statistics(self, stream: str, tagged: DataFrame, slices: DataFrame, batch_id: int) -> None:
+    def _merge_statistics(
+        self, stream: str, tagged: DataFrame, slices: DataFrame, names: list[str], batch_id: int
+    ) -> DataFrame:
+        """Upsert: one row per key of the batch, the newest version."""
         store, label = self.store, str(batch_id)
-        if store.resume(stream, label):
-            return
         keys = list(S.KEYS[stream])
-        existing = store.read(stream, True).where(F.col("batch_id") != batch_id)
-        span = self._near(existing, slices, stream)
-        hit = small_table(
-            span.select(*keys, "batch_id").join(tagged.select(*keys), keys, "left_semi")
-            .select("test_run", "batch_id").distinct()
-        )
-        if hit.isEmpty():
-            store.write_batch(stream, tagged, batch_id)
-            return
-        affected = existing.join(hit, ["test_run", "batch_id"], "left_semi").select(*existing.columns)
-        numbered = tagged.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        store.replace_partitions(stream, ingest.merged_statistics(numbered, affected, stream), label)
+        # the deduplicated batch is written aside first: it is read for the keys, the merge and the count
+        fresh = store.aside(ingest.newest_statistics(tagged, stream), f"{stream}-{batch_id}-rows")
+        if not store.resume(stream, label):
+            existing = store.read(stream, True).where(F.col("test_run").isin(names) & (F.col("batch_id") != batch_id))
+            span = self._near(existing, slices, stream)
+            hit = span.select(*keys, "batch_id").join(fresh.select(*keys), keys, "left_semi")
+            hit = store.aside(hit.select("test_run", "batch_id").distinct(), f"{stream}-{batch_id}-hit")
+            if hit.isEmpty():
+                store.write_batch(stream, fresh, batch_id)
+            else:
+                affected = existing.join(hit, ["test_run", "batch_id"], "left_semi").select(*existing.columns)
+                numbered = fresh.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+                store.replace_partitions(stream, ingest.merged_statistics(numbered, affected, stream), label)
+        return fresh.groupBy("test_run").agg(F.count(F.lit(1)).alias("rows"))
 
     def _needed_later(self, rows: DataFrame, state: DataFrame, stream: str) -> DataFrame:
         """Rows between what a run has read now and the end of what it may read."""
@@ -206,15 +222,16 @@ class Ingest:
         else:
             equal = []
             spans = spans.agg(F.min("from_ts").alias("from_ts"), F.max("to_ts").alias("to_ts")).where("from_ts IS NOT NULL")
-        kept = interval_join(rows, small_table(spans), S.EVENT_TIME[stream], "from_ts", "to_ts", equal)
+        kept = interval_join(rows, spans, S.EVENT_TIME[stream], "from_ts", "to_ts", equal)
         return kept.select(*S.STREAM_SCHEMAS[stream].names)
 
     # ------------------------------------------------------------------ backfill
 
-    def backfill(self, source: DataFrame, now: datetime, label: str) -> DataFrame:
+    def backfill(self, source: DataFrame, now: datetime, label: str, both_columns: bool = False) -> DataFrame:
         """Replace placeholder fingerprints; returns changed rows per run.
 
-        Only partitions with a changed row are rewritten.
+        Only partitions with a changed row are rewritten. ``both_columns`` as in
+        ``plans.backfill.backfilled``.
         """
         store = self.store
         none = store.spark.createDataFrame([], "test_run string, rows bigint")
@@ -222,24 +239,24 @@ class Ingest:
             return none
         target = store.read("contention", True)
         recent = target.where(F.col("collection_ts") >= instant(now) - F.expr(f"make_dt_interval(0, {self.backfill_hours}, 0, 0)"))
-        done = backfill.backfilled(recent, source, now, self.backfill_hours).where("changed")
-        counts = small_table(done.groupBy("test_run", "batch_id").agg(F.count(F.lit(1)).alias("rows")))
+        done = backfill.backfilled(recent, source, now, self.backfill_hours, both_columns).where("changed")
+        # written aside, as the partitions they are counted from get replaced
+        counts = store.aside(done.groupBy("test_run", "batch_id").agg(F.count(F.lit(1)).alias("rows")), f"contention-{label}-counts")
         if counts.isEmpty():
             return none
         affected = target.join(counts.select("test_run", "batch_id"), ["test_run", "batch_id"], "left_semi")
         affected = affected.select(*target.columns)
-        new = backfill.backfilled(affected, source, now, self.backfill_hours).drop("changed")
+        new = backfill.backfilled(affected, source, now, self.backfill_hours, both_columns).drop("changed")
         store.replace_partitions("contention", new, label)
         return counts.groupBy("test_run").agg(F.sum("rows").alias("rows"))
 
     # ------------------------------------------------------------------- metrics
 
-    def _record(self, stream, batch_id, slices, now, took, changed) -> None:
-        """One metrics row per run of the batch."""
-        written = self.store.read(stream, True).where(F.col("batch_id") == batch_id)
-        counts = written.groupBy("test_run").agg(F.count(F.lit(1)).alias("rows"))
-        lags = runs.watermark_lag(slices, now).select("test_run", "lag_seconds")
-        rows = lags.join(counts, "test_run", "left")
+    def _record(self, stream, batch_id, plan, written, now, took, changed) -> None:
+        """One metrics row per run that is active or has been read, also where nothing was due."""
+        at = F.coalesce("to_ts", "watermark_ts").alias("to_ts")
+        lags = runs.watermark_lag(plan.select("test_run", "stream", at), now).select("test_run", "lag_seconds")
+        rows = lags.join(written, "test_run", "left")
         if changed is not None:
             rows = rows.join(changed.withColumnRenamed("rows", "fixed"), "test_run", "full_outer")
         else:

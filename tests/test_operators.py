@@ -62,32 +62,18 @@ def test_latest_at_or_before(spark):
     assert R.rows_of(got.select("id", F.col("found").cast("timestamp_ntz"))) == sorted(want, key=repr)
 
 
-def test_prefix_join_has_no_nested_loop(spark):
-    ids = spark.createDataFrame([("abcd1",), ("ABce2",), ("ab",), ("xyz",)], "id string")
-    prefixes = spark.createDataFrame([("abc",), ("ab",), ("x" * 40,), (None,)], "p string")
-    lengths = joins.prefix_lengths(prefixes, "p")
-    assert lengths == [2, 3]
-    got = joins.with_prefixes(ids, "id", lengths).join(prefixes, F.col("_prefix") == F.col("p"))
-    want = sorted(((p, i) for p in ("abc", "ab") for i in ("abcd1", "ABce2", "ab", "xyz") if i.lower().startswith(p)), key=repr)
-    assert R.rows_of(got, "p", "id") == want
+def test_prefix_join_takes_prefixes_of_any_length(spark):
+    long = "0123456789" * 4
+    ids = spark.createDataFrame([("abcd1",), ("ABce2",), ("ab",), ("xyz",), (long,), (long + "f",), (None,)], "id string")
+    texts = ["abc", "ab", "a", "x" * 40, long[:9], long[:37], long, long + "f", "", None]
+    prefixes = spark.createDataFrame([(1, p) for p in texts], "n int, p string")
+    got = joins.prefix_join(ids.withColumn("n", F.lit(1)), prefixes, "id", "p", ["n"])
+    known = [r.id for r in ids.collect() if r.id]
+    want = [(p, i) for p in texts if p for i in known if i.lower().startswith(p)]
+    assert R.rows_of(got, "p", "id") == sorted(want, key=repr)
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
 
-def test_small_table_checks_its_bound_and_is_broadcast(spark):
-    df = spark.range(50)
-    assert joins.small_table(df, 49) is df
-    fixed = joins.small_table(df, 50)
-    assert fixed._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LocalRelation"
-    big = spark.range(10**7).withColumn("v", F.rand())
-    plan = big.join(fixed, "id")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
-    slices = R.runs(spark, "a", "b").select("test_run", "start_time", "end_time")
-    events = big.select((F.lit(R.at(0)) + F.make_dt_interval(secs=F.col("id") % 9999)).alias("ts"))
-    plan = joins.interval_join(events, joins.small_table(slices), "ts", "start_time", "end_time")
-    plan = plan._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
-
-
 def test_insert_ignore_and_upsert(spark):
     target = spark.createDataFrame([("a", 1, "old", "x"), ("b", 1, "old", "x")], "k string, n int, v string, keep string")
     source = spark.createDataFrame(

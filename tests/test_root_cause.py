@@ -174,3 +174,6 @@ def test_results_per_caller(spark, tmp_path):
     assert [r.stmt_order for r in rc.caller_report(spark, path, "two").collect()] == [1, 2]
     rc.replace_caller_results(out.limit(0), "two", path)
     assert rc.caller_report(spark, path, "two").count() == 0
+    for caller, rows in (("7", 1), ("007", 2)):
+        rc.replace_caller_results(out.limit(rows), caller, path)
+    assert [rc.caller_report(spark, path, c).count() for c in ("7", "007")] == [1, 2]

@@ -186,3 +186,88 @@ def test_hour_aligned_statistics_take_refreshed_buckets(spark, tmp_path):
     assert got == {"slice": [], "hour_aligned": [('{"query": "2"}',)]}
     with pytest.raises(ValueError):
         ingest_at(spark, store, registry, 1, agg_mode="nonsense")
+
+
+class Failing(Store):
+    """A store that fails once, at its n-th write of a batch."""
+
+    def __init__(self, spark, root, fails_at):
+        super().__init__(spark, root)
+        self.left = fails_at
+
+    def _count(self, write, *args):
+        self.left -= 1
+        if self.left == 0:
+            raise OSError("disk is gone")
+        return write(*args)
+
+    def write_batch(self, *args):
+        return self._count(super().write_batch, *args)
+
+    def write_pending(self, *args):
+        return self._count(super().write_pending, *args)
+
+    def aside(self, *args):
+        return self._count(super().aside, *args)
+
+    def replace_partitions(self, *args):
+        return self._count(super().replace_partitions, *args)
+
+    def commit_state(self, *args):
+        return self._count(super().commit_state, *args)
+
+
+@pytest.mark.parametrize("fails_at", [1, 2, 3, 4])
+def test_a_failed_batch_loses_and_repeats_nothing(spark, tmp_path, fails_at):
+    registry = R.runs(spark, "r1", end=600)
+    store = Failing(spark, f"{tmp_path}/store", fails_at)
+    src = R.insights(spark, [{"start_time": R.at(t), "txn_id": f"t{t}", "stmt_fingerprint_id": R.fp(t)} for t in (5, 6, 7)])
+    with pytest.raises(OSError):
+        ingest_at(spark, store, registry, 105).run_once("insights", src)
+    assert store.state().count() == 0
+    assert ingest_at(spark, store, registry, 905).run_once("insights", src) == 0
+    assert ingest_at(spark, store, registry, 905).run_once("insights", src) == 1
+    assert R.rows_of(store.read("insights"), "txn_id") == [("t5",), ("t6",), ("t7",)]
+    assert R.rows_of(store.read("txn_id_map"), "txn_id") == [("t5",), ("t6",), ("t7",)]
+
+
+@pytest.mark.parametrize("fails_at", [1, 2, 3, 4])
+def test_a_failed_stream_loses_and_repeats_nothing(spark, tmp_path, fails_at):
+    registry = R.runs(spark, "r1", end=600)
+    store = Failing(spark, f"{tmp_path}/store", fails_at)
+    path = landed(tmp_path, R.contention(spark, [{"collection_ts": R.at(t), "waiting_txn_id": f"w{t}"} for t in (10, 20, 400)]), "contention", 0)
+    source = lambda: stream_table(spark, "contention", path)
+    with pytest.raises(Exception, match="disk is gone"):
+        ingest_at(spark, store, registry, 105).start("contention", source(), f"{tmp_path}/cp", every=None).awaitTermination()
+    for now in (905, 906):
+        ingest_at(spark, store, registry, now).start("contention", source(), f"{tmp_path}/cp", every=None).awaitTermination()
+    ingest_at(spark, store, registry, 905).process("contention", R.contention(spark, []), 1, keep=True)
+    assert R.rows_of(store.read("contention"), "waiting_txn_id") == [("w10",), ("w20",), ("w400",)]
+
+
+@pytest.mark.parametrize("fails_at", [1, 2, 3, 4])
+def test_versions_of_a_bucket_in_one_batch(spark, tmp_path, fails_at):
+    """The newest version wins, also over what is stored, and keys stay unique."""
+    registry = R.runs(spark, "r1", end=7200)
+    store = Failing(spark, f"{tmp_path}/store", 99)
+    versions = [{"statistics": R.statement_doc(cnt=n), "aggregated_ts": R.at(t)} for t in (1, 2) for n in (7, 70, 9)]
+    ingest_at(spark, store, registry, 905).run_once("stmt_stats", R.stmt_stats(spark, versions[:3]))
+    store.left = fails_at
+    job = ingest_at(spark, store, registry, 7200, agg_mode="hour_aligned")
+    later = R.stmt_stats(spark, [*versions, {"statistics": R.statement_doc(cnt=71), "aggregated_ts": R.at(1)}])
+    with pytest.raises(OSError):
+        job.run_once("stmt_stats", later)
+    job.run_once("stmt_stats", later)
+    got = R.rows_of(store.read("stmt_stats").selectExpr("aggregated_ts", "get_json_object(statistics, '$.statistics.cnt') as cnt"), "cnt")
+    assert got == [("70",), ("71",)]
+    counted = [r.rows for r in store.metrics().collect() if not r.errors]
+    assert sorted(counted) == [1, 2]
+
+
+def test_idle_batches_leave_zero_rows(spark, tmp_path):
+    registry = R.runs(spark, "r1", end=600)
+    store = Store(spark, f"{tmp_path}/store")
+    src = R.contention(spark, [{"collection_ts": R.at(10)}])
+    for now in (105, 105, 105):
+        ingest_at(spark, store, registry, now).run_once("contention", src)
+    assert sorted((r.test_run, r.rows, r.lag_seconds) for r in store.metrics().collect()) == [("r1", 0, 5.0), ("r1", 0, 5.0), ("r1", 1, 5.0)]
