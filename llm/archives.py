@@ -171,7 +171,7 @@ def _write_files(files: DataFrame, folder: str, line_end: str) -> None:
     """A file for each row of ``files(content binary)``."""
     files.select(F.col("content").cast("string")).write.option("lineSep", line_end).option("maxRecordsPerFile", 1).option(
         "compression", "gzip"
-    ).text(folder)
+    ).option("zlib.compress.level", "THREE").text(folder)
 
 
 def _arcs(file_bytes: int):
