@@ -289,17 +289,18 @@ cte("existing", "reads")("""
 cte("usage_doc", "existing")("""
   SELECT database_name, schema_name, table_name,
     '[' || string_agg('{"index_name":"' || index_name || '","index_id":' || index_id || ',"total_reads":' || coalesce(total_reads, 0) ||
-      ',"last_read":null}', ',' ORDER BY coalesce(total_reads, 0) DESC, index_name) || ']' AS existing_index_usage
+      ',"last_read":' || coalesce('"' || strftime(last_read, '%Y-%m-%d %H:%M:%S.%f') || '"', 'null') || '}', ',' ORDER BY coalesce(total_reads, 0) DESC, index_name) || ']' AS existing_index_usage
   FROM existing GROUP BY 1, 2, 3""")
 cte("metrics", "ev")("""
   SELECT ts, CASE WHEN event_type IN ('error', 'click') THEN 'contention' WHEN event_type = 'view' THEN 'insights'
       WHEN event_type = 'purchase' THEN 'stmt_stats' ELSE 'txn_stats' END AS stream, 'run_' || (user_id % 4) AS test_run,
     CASE WHEN k % 3 = 0 THEN 0 ELSE k END AS rows, CASE WHEN k % 10 = 7 THEN 1 ELSE 0 END AS errors, cents AS duration_ms,
     CAST(k * 3 AS DOUBLE) AS lag_seconds, CASE WHEN event_type = 'click' AND event_id % 10 = 0 THEN 1 ELSE 0 END AS backfilled,
-    CAST(ceil(epoch_us(ts) / 60000000) AS BIGINT) AS step FROM ev""")
+    CAST(ceil(epoch_us(ts) / 60000000) AS BIGINT) AS step FROM ev
+  WHERE NOT (event_type NOT IN ('error', 'click', 'view', 'purchase') AND day(ts) > 20 OR user_id % 4 = 3 AND day(ts) > 10)""")
 
 
-def alert(name: str, severity: str, series: str, value: str, gauge: bool, cond: str, in_range: int, held: int) -> str:
+def alert(name: str, severity: str, series: str, value: str, gauge: bool, cond: str, in_range: int, held: int, to_end: bool = False) -> str:
     """Every minute: look back over the range, then over the held time."""
     keys = [s.strip() for s in series.split(",")]
     on = " AND ".join(f"g.{k} = m.{k}" for k in keys)
@@ -309,10 +310,11 @@ def alert(name: str, severity: str, series: str, value: str, gauge: bool, cond:
         if gauge
         else f"coalesce(sum(v) OVER (PARTITION BY {series} ORDER BY step ROWS BETWEEN {in_range - 1} PRECEDING AND CURRENT ROW), 0)"
     )
+    end = "(SELECT max(step) FROM metrics)" if to_end else "max(step)"
     w = f"OVER (PARTITION BY {series} ORDER BY step ROWS BETWEEN {held} PRECEDING AND CURRENT ROW)"
     return f"""
   , m AS (SELECT {series}, step, {measured} AS v FROM metrics GROUP BY ALL),
-  g AS (SELECT {series}, unnest(range(min(step), max(step) + 1)) AS step FROM m GROUP BY {series}),
+  g AS (SELECT {series}, unnest(range(min(step), {end} + 1)) AS step FROM m GROUP BY {series}),
   l AS (SELECT g.*, v FROM g LEFT JOIN m ON {on} AND g.step = m.step),
   h AS (SELECT {series}, step, coalesce({looked} {cond}, false) AS holds FROM l),
   f AS (SELECT *, bool_and(holds) {w} AND count(*) {w} = {held + 1} AS firing FROM h),
@@ -370,11 +372,11 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     "i20_older_active_runs": (("older", "clock"), """
   SELECT test_run, last_copy_time, last_agg_copy_time FROM older CROSS JOIN clock WHERE now >= start_time
     AND (last_copy_time IS NULL OR last_copy_time < end_time OR last_agg_copy_time IS NULL OR last_agg_copy_time < end_time)"""),
-    "i22_hour_window": (("older", "clock"), """
+    "i22_hour_window": (("older", "clock", "txn_stats"), """
   SELECT test_run, database_name, from_ts, CASE WHEN from_ts < date_trunc('hour', to_raw) THEN date_trunc('hour', to_raw) ELSE to_raw END AS to_ts
   FROM (SELECT *, coalesce(last_agg_copy_time, start_time) AS from_raw, date_trunc('hour', coalesce(last_agg_copy_time, start_time)) AS from_ts,
           least(now - INTERVAL 10 SECOND, end_time + INTERVAL 10 MINUTE) AS to_raw FROM older CROSS JOIN clock)
-  WHERE from_raw < to_raw AND now - from_ts >= INTERVAL 70 MINUTE"""),
+  WHERE from_raw < to_raw AND epoch_us(now) - epoch_us(from_ts) >= (SELECT max(aggregation_interval) FROM txn_stats) * 7 / 6"""),
     "i24_load_counts": (("counts",), "SELECT * FROM counts"),
     "i25_load_summary": (("summary",), "SELECT * FROM summary"),
     "s10_summary_json": (("summary",), """
@@ -385,6 +387,12 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     array_to_string(list_transform(recs, lambda r: '{"rec":"' || r || '"}'), '|') AS docs FROM stmt_stats"""),
     "r01_expire": (("contention", "latest"), """
   SELECT contention.* FROM contention CROSS JOIN latest WHERE collection_ts > ts + INTERVAL 75 DAY - INTERVAL 90 DAY"""),
+    "r01b_expire_all": (("runs", "state", "latest", "p_contention", "p_insights", "p_map", "p_stmt", "p_txn"), """
+  SELECT table_name, CAST(sum(CASE WHEN stamp IS NULL OR stamp > ts + INTERVAL 75 DAY - INTERVAL 90 DAY THEN 1 ELSE 0 END) AS BIGINT) AS rows FROM (
+    SELECT 'runs' AS table_name, end_time AS stamp FROM runs UNION ALL SELECT 'ingest_state', updated_at FROM state
+    UNION ALL SELECT 'contention', collection_ts FROM p_contention UNION ALL SELECT 'insights', start_time FROM p_insights
+    UNION ALL SELECT 'txn_id_map', NULL FROM p_map UNION ALL SELECT 'stmt_stats', aggregated_ts FROM p_stmt
+    UNION ALL SELECT 'txn_stats', aggregated_ts FROM p_txn) CROSS JOIN latest GROUP BY 1"""),
     "r02_cascade": (("runs", "state", "p_contention", "p_insights", "p_map", "p_stmt", "p_txn"), """
   SELECT table_name, test_run, count(*) AS rows FROM (
     SELECT 'runs' AS table_name, test_run FROM runs UNION ALL SELECT 'contention', test_run FROM p_contention
@@ -526,16 +534,20 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     "m03_durations": (("metrics",), """
   SELECT stream, CAST(le_ms AS BIGINT) AS le_ms, count(*) FILTER (le_ms IS NULL OR duration_ms <= le_ms) AS batches
   FROM metrics CROSS JOIN (SELECT unnest([5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000, NULL]) AS le_ms) GROUP BY 1, 2"""),
+    "m04_active_runs": (("runs", "state", "clock"), """
+  SELECT count(*) AS active_runs
+  FROM runs CROSS JOIN clock LEFT JOIN (SELECT test_run, min(watermark_ts) AS min_watermark FROM state GROUP BY 1) USING (test_run)
+  WHERE now >= start_time AND (now <= closes OR min_watermark IS NULL OR min_watermark < closes)"""),
     "m05_watermark_lag": (("due", "clock"), """
   SELECT test_run, stream, all_ts AS to_ts, CAST(epoch_us(now) - epoch_us(all_ts) AS DOUBLE) / 1000000 AS lag_seconds FROM due CROSS JOIN clock WHERE all_ts > from_ts"""),
     "m06_backfilled": (("p_contention", "contention_later"), f"""
   SELECT test_run, count(*) AS rows FROM p_contention t JOIN contention_later s USING (collection_ts, blocking_txn_id, waiting_txn_id)
   WHERE (t.blocking_txn_fingerprint_id = '{ZERO}' AND s.blocking_txn_fingerprint_id <> '{ZERO}')
      OR (t.waiting_txn_fingerprint_id = '{ZERO}' AND s.waiting_txn_fingerprint_id <> '{ZERO}') GROUP BY 1"""),
-    "m07_alert_errors": (("metrics",), alert("IngestErrors", "warning", "stream", "errors", False, "> 0", 5, 2)),
-    "m08_alert_lag": (("metrics",), alert("WatermarkLagHigh", "warning", "stream, test_run", "lag_seconds", True, "> 180", 5, 5)),
-    "m09_alert_idle": (("metrics",), alert("NotIngesting", "warning", "stream", "rows", False, "= 0", 10, 10)),
-    "m10_alert_backfill": (("metrics",), alert("BackfillStuck", "info", "test_run", "backfilled", False, "= 0", 30, 60)),
+    "m07_alert_errors": (("metrics",), alert("ObsDaemonIngestErrors", "warning", "stream", "errors", False, "> 0", 5, 2)),
+    "m08_alert_lag": (("metrics",), alert("ObsDaemonWatermarkLagHigh", "warning", "stream, test_run", "lag_seconds", True, "> 180", 5, 5)),
+    "m09_alert_idle": (("metrics",), alert("ObsDaemonNotIngesting", "warning", "stream", "rows", False, "= 0", 10, 10, True)),
+    "m10_alert_backfill": (("metrics",), alert("ObsDaemonBackfillStuck", "info", "test_run", "backfilled", False, "= 0", 30, 60, True)),
 }
 
 cte("older", "runs", "state")("""

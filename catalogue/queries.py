@@ -134,7 +134,7 @@ def i20_older_active_runs(v):
 
 
 def i22_hour_window(v):
-    return runs.hour_windows(_older_runs(v), F.expr("INTERVAL '1' HOUR"), _run_now(v))
+    return runs.hour_windows(_older_runs(v), runs.longest_interval(v.txn_stats()), _run_now(v))
 
 
 def _counts(v):
@@ -174,6 +174,20 @@ def r01_expire(v):
     return retention.unexpired(v.contention(), "contention", v.latest() + timedelta(days=75))
 
 
+def r01b_expire_all(v):
+    """Rows that every table with a retention time keeps."""
+    now = v.latest() + timedelta(days=75)
+    tables = {"runs": v.runs(), "ingest_state": v.state(), **v.persisted()}
+    parts = [
+        retention.unexpired(df, name, now).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+        for name, df in tables.items()
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def r02_cascade(v):
     tables = {"runs": v.runs(), "ingest_state": v.state(), **v.persisted()}
     deleted = v.runs().where("database_name = 'other'")
@@ -321,15 +335,13 @@ def a10_existing_indexes(v):
 
 
 def a11_index_usage(v):
-    # the timestamps of the document are compared by a10; here they are left out
-    return index_report.index_usage(a10_existing_indexes(v).withColumn("last_read", F.lit(None).cast("string")))
+    return index_report.index_usage(a10_existing_indexes(v))
 
 
 def a14_index_report(v):
     c = v.catalog()
-    usage = c["index_usage_statistics"].withColumn("last_read", F.lit(None).cast("string"))
     return index_report.index_opportunities(
-        v.stmt_stats(), c["tables"], c["table_indexes"], usage, v.latest(), WEIGHTS
+        v.stmt_stats(), c["tables"], c["table_indexes"], c["index_usage_statistics"], v.latest(), WEIGHTS
     )
 
 
@@ -423,12 +435,20 @@ def m08_alert_lag(v):
     return metrics.alerts(v.metrics(), metrics.LAG_HIGH, 60)
 
 
+def _last_sample(v):
+    return v.metrics().agg(F.max("ts").alias("ts")).scalar()
+
+
+def m04_active_runs(v):
+    return metrics.active_runs_gauge(runs.active_runs(v.runs(), v.state(), _run_now(v)))
+
+
 def m09_alert_idle(v):
-    return metrics.alerts(v.metrics(), metrics.NOT_INGESTING, 60)
+    return metrics.alerts(v.metrics(), metrics.NOT_INGESTING, 60, _last_sample(v))
 
 
 def m10_alert_backfill(v):
-    return metrics.alerts(v.metrics(), metrics.BACKFILL_STUCK, 60)
+    return metrics.alerts(v.metrics(), metrics.BACKFILL_STUCK, 60, _last_sample(v))
 
 
 def _registered() -> dict[str, Callable]:

@@ -127,14 +127,14 @@ def existing_indexes(tables: DataFrame, indexes: DataFrame, usage: DataFrame) ->
 
 
 def index_usage(existing: DataFrame) -> DataFrame:
-    """The indexes of a table as one JSON array, most read first."""
+    """The indexes of a table as one JSON array, most read first; times as text with microseconds."""
     reads = F.coalesce("total_reads", F.lit(0))
     entry = F.struct(
         (-reads).alias("_order"),
         F.col("index_name").alias("index_name"),
         F.col("index_id").alias("index_id"),
         reads.alias("total_reads"),
-        F.col("last_read").alias("last_read"),
+        F.date_format("last_read", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_read"),
     )
     bare = lambda e: F.struct(*[e[c].alias(c) for c in ("index_name", "index_id", "total_reads", "last_read")])
     return existing.groupBy("database_name", "schema_name", "table_name").agg(

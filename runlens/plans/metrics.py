@@ -34,10 +34,10 @@ class Rule:
 
 
 # ---------------------------------------------------------------- fixed values
-INGEST_ERRORS = Rule("IngestErrors", ("stream",), "errors", "increase", 300, 120, "warning")
-LAG_HIGH = Rule("WatermarkLagHigh", ("stream", "test_run"), "lag_seconds", "above_180", 300, 300, "warning")
-NOT_INGESTING = Rule("NotIngesting", ("stream",), "rows", "none", 600, 600, "warning")
-BACKFILL_STUCK = Rule("BackfillStuck", ("test_run",), "backfilled", "none", 1800, 3600, "info")
+INGEST_ERRORS = Rule("ObsDaemonIngestErrors", ("stream",), "errors", "increase", 300, 120, "warning")
+LAG_HIGH = Rule("ObsDaemonWatermarkLagHigh", ("stream", "test_run"), "lag_seconds", "above_180", 300, 300, "warning")
+NOT_INGESTING = Rule("ObsDaemonNotIngesting", ("stream",), "rows", "none", 600, 600, "warning")
+BACKFILL_STUCK = Rule("ObsDaemonBackfillStuck", ("test_run",), "backfilled", "none", 1800, 3600, "info")
 RULES = (INGEST_ERRORS, LAG_HIGH, NOT_INGESTING, BACKFILL_STUCK)
 LAG_LIMIT_SECONDS = 180
 # ------------------------------------------------------------ end fixed values
@@ -78,19 +78,26 @@ def _step_number(ts: Column, step: int) -> Column:
     return F.ceil(F.unix_micros(ts.cast("timestamp")) / F.lit(step * 1_000_000))
 
 
-def evaluate(metrics: DataFrame, rule: Rule, step_seconds: int = 15) -> DataFrame:
+def active_runs_gauge(active: DataFrame) -> DataFrame:
+    """The number of active runs, one row; zero if there is none."""
+    return active.agg(F.count(F.lit(1)).alias("active_runs"))
+
+
+def evaluate(metrics: DataFrame, rule: Rule, step_seconds: int = 15, until: Column | None = None) -> DataFrame:
     """State of a rule at every evaluation step of each series.
 
     Columns: the series, ``step`` (steps since the epoch), ``holds`` and
-    ``firing``. Evaluation runs from the first to the last sample of a series.
-    Looking back is bounded by range + held time, so each series is cut into
-    days that are evaluated apart, with the end of the day before repeated as
-    context: a series with most of the samples is spread over its days.
+    ``firing``. Evaluation runs from the first sample of a series to ``until``
+    (a time, such as now; default: its last sample), so that a series which fell
+    silent is still evaluated. Looking back is bounded by range + held time, so
+    each series is cut into days (or longer chunks, if a rule looks back
+    further) that are evaluated apart, with the end of the one before repeated
+    as context: a series with most of the samples is spread over its chunks.
     """
     series = list(rule.series)
     step, in_range, held = step_seconds, rule.range_seconds // step_seconds, rule.for_seconds // step_seconds
-    chunk = CHUNK_SECONDS // step_seconds
     context = in_range + held + 1
+    chunk = max(CHUNK_SECONDS // step_seconds, context)
     gauge = rule.condition == "above_180"
     value = F.col(rule.value)
     if gauge:
@@ -105,6 +112,8 @@ def evaluate(metrics: DataFrame, rule: Rule, step_seconds: int = 15) -> DataFram
     )
     # evaluation steps of a series, generated day by day
     span = sampled.groupBy(*series).agg(F.min("step").alias("first"), F.max("step").alias("last"))
+    if until is not None:
+        span = span.withColumn("last", F.greatest("last", _step_number(until, step)))
     days = span.withColumn(
         "day", F.explode(F.sequence(F.floor(F.col("first") / chunk), F.floor(F.col("last") / chunk)))
     )
@@ -144,9 +153,9 @@ def evaluate(metrics: DataFrame, rule: Rule, step_seconds: int = 15) -> DataFram
     )
 
 
-def alerts(metrics: DataFrame, rule: Rule, step_seconds: int = 15) -> DataFrame:
+def alerts(metrics: DataFrame, rule: Rule, step_seconds: int = 15, until: Column | None = None) -> DataFrame:
     """The times at which a rule starts to fire."""
-    state = evaluate(metrics, rule, step_seconds).where("firing AND NOT _before")
+    state = evaluate(metrics, rule, step_seconds, until).where("firing AND NOT _before")
     dtype = metrics.schema["ts"].dataType
     return state.select(
         F.lit(rule.name).alias("alert"),

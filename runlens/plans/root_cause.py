@@ -12,8 +12,6 @@ per different question and the answers are joined back by equality.
 
 from __future__ import annotations
 
-from urllib.parse import quote
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -396,7 +394,20 @@ RESULT_COLUMNS = (
 )
 
 
-def inspect_contention(
+def inspect_contention(exceptions: DataFrame, contention: DataFrame, insights: DataFrame, txn_id_map: DataFrame,
+                       txn_stats: DataFrame, stmt_stats: DataFrame, **kwargs) -> DataFrame:
+    """All statements of the waiting and blocking transactions, per exception.
+
+    ``within_run`` as in :func:`pick_transactions`; ``ordered`` sorts the result;
+    ``scratch`` is a folder that all executors share (default: the session's
+    ``spark.checkpoint.dir``). The names of the exceptions' test runs come to the
+    driver and go into every scan as a filter on the partitions; only the search
+    for the newest transaction row looks at all runs.
+    """
+    return _inspect(exceptions, contention, insights, txn_id_map, txn_stats, stmt_stats, **kwargs)[1]
+
+
+def _inspect(
     exceptions: DataFrame,
     contention: DataFrame,
     insights: DataFrame,
@@ -406,14 +417,7 @@ def inspect_contention(
     within_run: bool = False,
     ordered: bool = True,
     scratch: str | None = None,
-) -> DataFrame:
-    """All statements of the waiting and blocking transactions, per exception.
-
-    ``scratch`` is a folder that all executors share (default: the session's
-    ``spark.checkpoint.dir``). The names of the exceptions' test runs come to the
-    driver and go into every scan as a filter on the partitions; only the search
-    for the newest transaction row looks at all runs.
-    """
+) -> tuple[DataFrame, DataFrame]:
     folder = scratch or shared_folder(exceptions.sparkSession)
     dtype = contention.schema["collection_ts"].dataType.simpleString()
     # Three narrow results feed several branches each and are written once: the
@@ -429,8 +433,8 @@ def inspect_contention(
     versions = statement_versions(statement_order(picks, own(txn_stats)), stmt_stats)
     result = assemble(failed, picks, versions, own(txn_stats), stmt_stats)
     if ordered:
-        return result.orderBy("exception_id", "transaction_fingerprint_id", "ord", "role")
-    return result
+        result = result.orderBy("exception_id", "transaction_fingerprint_id", "ord", "role")
+    return failed, result
 
 
 def with_arguments(failed: DataFrame, exceptions: DataFrame) -> DataFrame:
@@ -504,18 +508,16 @@ def assemble(
 def inspect_one(spark, exception_str: str, test_run: str, tables: dict[str, DataFrame], app_name: str | None = None,
                 schema_name: str | None = None, option: str = "same_app", **kwargs) -> DataFrame:
     """The one-message form: the 23 result columns, ordered by transaction and statement."""
-    one = spark.createDataFrame(
-        [(0, exception_str, test_run, app_name, schema_name, option)], S.EXCEPTIONS
-    )
-    return inspect_contention(
-        one,
-        tables["contention"],
-        tables["insights"],
-        tables["txn_id_map"],
-        tables["txn_stats"],
-        tables["stmt_stats"],
-        **kwargs,
-    ).select(*RESULT_COLUMNS)
+    return inspect_parts(spark, exception_str, test_run, tables, app_name, schema_name, option, **kwargs)["result"]
+
+
+def inspect_parts(spark, exception_str: str, test_run: str, tables: dict[str, DataFrame], app_name: str | None = None,
+                  schema_name: str | None = None, option: str = "same_app", **kwargs) -> dict[str, DataFrame]:
+    """``result`` and ``failed``, the statement that failed, of one message."""
+    one = spark.createDataFrame([(0, exception_str, test_run, app_name, schema_name, option)], S.EXCEPTIONS)
+    names = ("contention", "insights", "txn_id_map", "txn_stats", "stmt_stats")
+    failed, result = _inspect(one, *(tables[n] for n in names), **kwargs)
+    return {"failed": failed.select("test_run", *FAILED_COLUMNS), "result": result.select(*RESULT_COLUMNS)}
 
 
 # ------------------------------------------------------------- results per caller
@@ -545,16 +547,16 @@ def report(result: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def replace_caller_results(result: DataFrame, caller_id: str, path: str) -> None:
-    """Store a caller's result in place of the one before, also when it is empty."""
-    result.write.mode("overwrite").parquet(f"{path.rstrip('/')}/caller_id={quote(caller_id, safe='')}")
+def answer_caller(store, caller_id: str, exception_str: str, test_run: str, **kwargs) -> DataFrame:
+    """Resolve one message and keep result and failed statement under the caller's id; returns the report."""
+    tables = store.tables()
+    parts = inspect_parts(store.spark, exception_str, test_run, tables, **kwargs)
+    store.write_caller("caller_failed_statement", caller_id, parts["failed"])
+    store.write_caller("caller_contention_results", caller_id, parts["result"])
+    return caller_report(store, caller_id)
 
 
-def caller_report(spark, path: str, caller_id: str) -> DataFrame:
-    """The readable report of one caller's stored result; one partition is read.
-
-    The folder of the caller is read by its name, so ids such as ``7`` and
-    ``007`` stay apart.
-    """
-    stored = spark.read.parquet(f"{path.rstrip('/')}/caller_id={quote(caller_id, safe='')}")
+def caller_report(store, caller_id: str) -> DataFrame:
+    """The readable report of one caller's stored result; one folder is read."""
+    stored = store.caller("caller_contention_results", caller_id)
     return report(stored).orderBy("test_run", "txn_fingerprint_id", "stmt_order")

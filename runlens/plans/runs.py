@@ -151,6 +151,11 @@ def older_slice_end(end: Column, now: datetime | Column | None = None) -> Column
     return F.least(instant(now) - seconds(10), end + seconds(600))
 
 
+def longest_interval(stats: DataFrame) -> Column:
+    """The longest aggregation interval of the statistics, as a value found when the query runs."""
+    return stats.agg(F.max("aggregation_interval").alias("longest")).scalar()
+
+
 def hour_windows(
     runs: DataFrame, longest_interval: Column, now: datetime | Column | None = None
 ) -> DataFrame:

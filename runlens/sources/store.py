@@ -9,17 +9,20 @@ first written aside in full, and a replay continues from it.
 from __future__ import annotations
 
 from datetime import datetime
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens import schemas as S
 from runlens.functions.values import days, instant
 from runlens.plans.metrics import METRICS
+from runlens.plans.retention import unexpired
 from runlens.plans.runs import register_runs
 
 PARTITIONS = ("test_run", "batch_id")
+CALLER_TABLES = ("caller_contention_results", "caller_failed_statement")
 
 
 def table_schema(table: str) -> T.StructType:
@@ -77,8 +80,10 @@ class Store:
         names = ["test_run", *[n for n in schema.names if n not in PARTITIONS]]
         return df.select(*names, *(["batch_id"] if with_batch else []))
 
-    def tables(self) -> dict[str, DataFrame]:
-        return {t: self.read(t) for t in (*S.ALL_STREAMS, "txn_id_map")}
+    def tables(self, now: datetime | None = None) -> dict[str, DataFrame]:
+        """The ingested tables; with ``now`` without rows past their retention time."""
+        out = {t: self.read(t) for t in (*S.ALL_STREAMS, "txn_id_map")}
+        return out if now is None else {t: unexpired(df, t, now) for t, df in out.items()}
 
     def _overwrite(self, df: DataFrame, table: str) -> None:
         (
@@ -136,29 +141,69 @@ class Store:
     # ----------------------------------------------------------------- clean-up
 
     def expire(self, now: datetime, keep_days: int = S.RETENTION_DAYS) -> int:
-        """Drop the partitions whose rows are all past their retention time.
+        """Drop what is past its retention time, in every table that has one.
 
-        The rest of a partly expired one is hidden by ``retention.unexpired``
-        until it is complete. Returns the number of dropped partitions.
+        Of the ingested tables whole partitions go, once all their rows are past
+        it; ``unexpired`` hides the rest. Expired runs go with their partitions,
+        as when they are deleted. State and callers' results lose the rows.
+        Returns the number of dropped partitions.
         """
+        limit = instant(now) - days(keep_days)
         dropped = 0
         for table in S.ALL_STREAMS:
             latest = self.read(table, True).groupBy(*PARTITIONS).agg(F.max(S.EVENT_TIME[table]).alias("ts"))
-            for row in latest.where(F.col("ts") <= instant(now) - days(keep_days)).toLocalIterator():
+            for row in latest.where(F.col("ts") <= limit).toLocalIterator():
                 self.remove(self.path(table, self._partition("test_run", row[0]), f"batch_id={row[1]}"))
                 dropped += 1
+        for row in self.runs().where(F.col(S.TTL_COLUMN["runs"]) <= limit).collect():
+            self.delete_run(row["test_run"])
+        for stream in S.ALL_STREAMS:
+            for n in self.state_batches(stream)[-1:]:
+                self._filter_folder(
+                    self.state_snapshot(stream, n), self.path("_state", stream, f"batch_id={n}"),
+                    F.col(S.TTL_COLUMN["ingest_state"]) <= limit,
+                )
+        for table in CALLER_TABLES:
+            self._filter_callers(table, F.col(S.TTL_COLUMN[table]) <= limit)
         return dropped
 
+    def _filter_folder(self, df: DataFrame, path: str, gone: Column) -> None:
+        """Take the rows out of a folder for which ``gone`` holds (NULL: they stay)."""
+        gone = F.coalesce(gone, F.lit(False))
+        if not df.where(gone).isEmpty():
+            name = "filter-" + path.removeprefix(self.root).strip("/").replace("/", "-")
+            left = self.aside(df.where(~gone), name)
+            left.write.mode("overwrite").parquet(path)
+            self.remove(self.path("_aside", name))
+
+    # ---------------------------------------------------------- callers' results
+
+    def write_caller(self, table: str, caller_id: str, df: DataFrame) -> None:
+        """Put a caller's rows in place of those before, also when there are none."""
+        df.write.mode("overwrite").parquet(self.path(table, f"caller_id={quote(caller_id, safe='')}"))
+
+    def caller(self, table: str, caller_id: str) -> DataFrame:
+        """One caller's rows. The folder is read by its name: ids ``7`` and ``007`` stay apart."""
+        return self.spark.read.parquet(self.path(table, f"caller_id={quote(caller_id, safe='')}"))
+
+    def _filter_callers(self, table: str, gone: Column) -> None:
+        p, fs = self._fs(self.path(table))
+        if fs.exists(p):
+            for s in fs.listStatus(p):
+                path = self.path(table, s.getPath().getName())
+                self._filter_folder(self.spark.read.parquet(path), path, gone)
+
     def reset(self) -> None:
         """Remove all tables, the registry and the state."""
-        for table in (*S.ALL_STREAMS, "txn_id_map", "_runs", "_state", "_plan", "_pending", "_metrics", "_staging", "_aside"):
+        for table in (*S.ALL_STREAMS, "txn_id_map", "_runs", "_state", "_plan", "_pending", "_metrics", "_staging", "_aside", *CALLER_TABLES):
             self.remove(self.path(table))
 
     def delete_run(self, test_run: str) -> None:
-        """Drop a run and its partitions in the tables that follow it; its
-        ingest state stays until it expires."""
+        """Drop a run, its partitions in the tables that follow it and its rows in
+        callers' results; its ingest state stays until it expires."""
         for table in (*S.ALL_STREAMS, "txn_id_map"):
             self.remove(self.path(table, self._partition("test_run", test_run)))
+        self._filter_callers("caller_contention_results", F.col("test_run") == test_run)
         done = self.numbers(self.path("_runs"))
         if done:
             left = self.runs().where(F.col("test_run") != test_run)

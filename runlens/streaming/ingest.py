@@ -75,13 +75,19 @@ class Ingest:
         checkpoint: str,
         every: str | None = "15 seconds",
         backfill_source: Callable[[], DataFrame] | None = None,
+        replay_source: Callable[[], DataFrame] | None = None,
     ) -> StreamingQuery:
         """One streaming query per stream, so that a failure stays in its stream.
 
-        ``every=None`` reads what is there and ends.
+        ``every=None`` reads what is there and ends. ``replay_source`` gives the
+        same source as a table; it is read for a run that is registered after
+        the stream has begun, since the stream keeps no rows of unknown runs.
+        Without it such a run is an error, which ends the query.
         """
         writer = source.writeStream.foreachBatch(
-            lambda df, n: self.process(stream, df, n, keep=True, backfill_source=backfill_source)
+            lambda df, n: self.process(
+                stream, df, n, keep=True, backfill_source=backfill_source, replay_source=replay_source
+            )
         ).option("checkpointLocation", checkpoint)
         writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
         return writer.queryName(f"ingest_{stream}").start()
@@ -107,6 +113,7 @@ class Ingest:
         batch_id: int,
         keep: bool,
         backfill_source: Callable[[], DataFrame] | None = None,
+        replay_source: Callable[[], DataFrame] | None = None,
     ) -> None:
         if stream not in S.ALL_STREAMS:
             raise ValueError(f"unknown stream {stream!r}")
@@ -118,8 +125,14 @@ class Ingest:
             if keep:
                 kept = self.store.pending(stream, batch_id)
                 rows = source if kept is None else source.unionByName(kept)
-            near = self._near(rows, slices, stream)
-            written = self._merge(stream, near, slices, batch_id)
+            late = self._late_runs(stream, slices, batch_id) if keep else []
+            is_late = F.col("test_run").isin(late)
+            tagged = self._tagged(stream, rows, slices.where(~is_late))
+            if late:
+                if replay_source is None:
+                    raise ValueError(f"registered after {stream} had begun, give replay_source to read their rows again: {late}")
+                tagged = tagged.unionByName(self._tagged(stream, replay_source(), slices.where(is_late)))
+            written = self._merge(stream, tagged, slices, batch_id)
             if keep:
                 self.store.write_pending(stream, self._needed_later(rows, plan, stream), batch_id)
             changed = None
@@ -161,19 +174,31 @@ class Ingest:
         lo, hi = (F.lit(t).cast("timestamp").cast(dtype) for t in (span["lo"], span["hi"]))
         return rows.where((ts >= lo) & (ts < hi))
 
-    def _merge(self, stream: str, rows: DataFrame, slices: DataFrame, batch_id: int) -> DataFrame:
+    def _late_runs(self, stream: str, slices: DataFrame, batch_id: int) -> list[str]:
+        """Runs that this batch reads for the first time although the stream has had batches before."""
+        if not any(n < batch_id for n in self.store.state_batches(stream)):
+            return []
+        before = self.store.state(before={stream: batch_id}).where(F.col("stream") == stream)
+        return [r[0] for r in slices.join(before, "test_run", "left_anti").select("test_run").distinct().collect()]
+
+    def _tagged(self, stream: str, rows: DataFrame, slices: DataFrame) -> DataFrame:
+        near = self._near(rows, slices, stream)
+        if stream == "insights":
+            return ingest.visible_insights(near, slices)
+        return ingest.tag_with_runs(near, slices, stream)
+
+    def _merge(self, stream: str, tagged: DataFrame, slices: DataFrame, batch_id: int) -> DataFrame:
         """Write the batch's rows; returns the number of rows per run, updated and mapped ones too."""
         store = self.store
         others = F.col("batch_id") != batch_id
         names = [r[0] for r in slices.select("test_run").distinct().collect()]
         mine = lambda table: store.read(table, True).where(F.col("test_run").isin(names) & others)
         if stream in S.AGG_STREAMS:
-            return self._merge_statistics(stream, ingest.tag_with_runs(rows, slices, stream), slices, names, batch_id)
+            return self._merge_statistics(stream, tagged, slices, names, batch_id)
         tables = [stream]
         if stream == "contention":
-            store.write_batch(stream, ingest.new_contention(rows, slices), batch_id)
+            store.write_batch(stream, tagged, batch_id)
         else:
-            tagged = ingest.visible_insights(rows, slices)
             store.write_batch(stream, ingest.new_insights(tagged, mine(stream)), batch_id)
             store.write_batch("txn_id_map", ingest.new_txn_ids(tagged, mine("txn_id_map")), batch_id)
             tables.append("txn_id_map")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from runlens import schemas as S
 from runlens.plans import root_cause as rc
+from runlens.sources.store import Store
 from tests import rows as R
 
 TXN, STMT1, STMT2 = "1c0d24389254fc7a", "2ab0c15b7b14e792", "67a10dfb99638ead"
@@ -164,16 +165,30 @@ def test_like_wildcard_in_table_name_and_missing_summary(spark):
     assert [r.contention for r in out] == [False, False]
 
 
+class Kept(Store):
+    def __init__(self, spark, root, tables):
+        super().__init__(spark, root)
+        self.given = tables
+
+    def tables(self, now=None):
+        return self.given
+
+
 def test_results_per_caller(spark, tmp_path):
-    out = rc.inspect_one(spark, MESSAGE, RUN, world(spark))
-    path = f"{tmp_path}/callers"
-    rc.replace_caller_results(out, "one", path)
-    rc.replace_caller_results(out, "two", path)
-    rc.replace_caller_results(out.limit(1), "one", path)
-    assert rc.caller_report(spark, path, "one").count() == 1
-    assert [r.stmt_order for r in rc.caller_report(spark, path, "two").collect()] == [1, 2]
-    rc.replace_caller_results(out.limit(0), "two", path)
-    assert rc.caller_report(spark, path, "two").count() == 0
-    for caller, rows in (("7", 1), ("007", 2)):
-        rc.replace_caller_results(out.limit(rows), caller, path)
-    assert [rc.caller_report(spark, path, c).count() for c in ("7", "007")] == [1, 2]
+    store = Kept(spark, str(tmp_path), world(spark))
+    for caller in ("7", "007"):
+        assert [r.stmt_order for r in rc.answer_caller(store, caller, MESSAGE, RUN).collect()] == [1, 2]
+        assert store.caller("caller_failed_statement", caller).count() == 1
+    rc.answer_caller(store, "7", "no such error", RUN)
+    assert [rc.caller_report(store, c).count() for c in ("7", "007")] == [0, 2]
+    assert [store.caller("caller_failed_statement", c).count() for c in ("7", "007")] == [0, 1]
+
+
+def test_scans_are_pruned_to_the_runs(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for table, df in world(spark).items():
+        store.write_batch(table, df, 0)
+    plan = rc.inspect_one(spark, MESSAGE, RUN, store.tables())._jdf.queryExecution().executedPlan().toString()
+    filters = [p for p in plan.split("PartitionFilters: ")[1:] if "test_run" in p.split("PushedFilters")[0]]
+    stored = [p for p in filters if str(tmp_path) in plan]
+    assert stored and all(RUN in p.split("PushedFilters")[0] for p in stored)

@@ -108,7 +108,7 @@ def test_statistics_upsert_in_store(spark, tmp_path):
         "test_run string, stream string, database_name string, from_ts timestamp, to_ts timestamp",
     )
     for _ in range(2):  # a replay changes nothing
-        job._merge("stmt_stats", new, slices, 1)
+        job._merge("stmt_stats", job._tagged("stmt_stats", new, slices), slices, 1)
         got = R.rows_of(store.read("stmt_stats").where("test_run = 'r1'"), "app_name", "plan_hash", "metadata", "sampled_plan", "aggregation_interval")
         assert [(a, p, s, i) for a, p, m, s, i in got] == [
             ("app", R.fp(0), "p", timedelta(minutes=10)),
@@ -271,3 +271,40 @@ def test_idle_batches_leave_zero_rows(spark, tmp_path):
     for now in (105, 105, 105):
         ingest_at(spark, store, registry, now).run_once("contention", src)
     assert sorted((r.test_run, r.rows, r.lag_seconds) for r in store.metrics().collect()) == [("r1", 0, 5.0), ("r1", 0, 5.0), ("r1", 1, 5.0)]
+
+
+def test_a_run_registered_late_is_read_from_its_start(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/store")
+    path = landed(tmp_path, R.contention(spark, [{"collection_ts": R.at(t), "waiting_txn_id": f"w{t}"} for t in (10, 20, 400)]), "contention", 0)
+    early, both = R.runs(spark, "r1", end=600), R.runs(spark, "r1", "r2", end=600)
+
+    def run(registry, now, cp, **kw):
+        q = ingest_at(spark, store, registry, now).start(
+            "contention", stream_table(spark, "contention", path), f"{tmp_path}/{cp}", every=None, **kw
+        )
+        q.awaitTermination()
+
+    run(early, 105, "cp")
+    landed(tmp_path, R.contention(spark, [{"collection_ts": R.at(500), "waiting_txn_id": "w500"}]), "contention", 1)
+    with pytest.raises(Exception, match="registered after"):
+        run(both, 905, "cp")
+    run(both, 905, "cp", replay_source=lambda: read_stream_table(spark, "contention", path))
+    got = R.rows_of(store.read("contention"), "test_run", "waiting_txn_id")
+    assert got == [(r, w) for r in ("r1", "r2") for w in ("w10", "w20", "w400", "w500")]
+
+
+def test_retention_reaches_every_table(spark, tmp_path):
+    registry = R.runs(spark, "old", end=600)
+    store = Store(spark, f"{tmp_path}/store")
+    store.register(registry.unionByName(R.runs(spark, "new", start=86400 * 60, end=86400 * 60 + 600)))
+    ingest_at(spark, store, registry, 905).run_once("contention", R.contention(spark, [{}]))
+    for caller in ("7", "007"):
+        store.write_caller("caller_contention_results", caller, R.txn_stats(spark, [{"test_run": "old"}, {"test_run": "new", "aggregated_ts": R.at(86400 * 60)}], run=True))
+        store.write_caller("caller_failed_statement", caller, R.contention(spark, [{}]))
+    store.delete_run("new")
+    assert [store.caller("caller_contention_results", c).count() for c in ("7", "007")] == [1, 1]
+    later = R.at(86400 * 91)
+    assert store.tables(later)["contention"].count() == 0
+    assert store.expire(later) == 1
+    assert store.runs().count() == 0 and store.state().count() == 0 and store.read("contention").count() == 0
+    assert all(store.caller(t, c).count() == 0 for t in ("caller_contention_results", "caller_failed_statement") for c in ("7", "007"))
