@@ -22,6 +22,7 @@ from runlens.plans.retention import unexpired
 from runlens.plans.runs import register_runs
 
 PARTITIONS = ("test_run", "batch_id")
+COMPACTED_BATCHES = 5760
 CALLER_TABLES = ("caller_contention_results", "caller_failed_statement")
 
 
@@ -121,6 +122,40 @@ class Store:
         self.remove(staged)
         return True
 
+    def compact(self, table: str, stream: str | None = None, batches: int = COMPACTED_BATCHES) -> int:
+        """Join the partitions of closed batches; returns the number of folders that went.
+
+        Of each ``batches`` consecutive batch numbers (a day of the usual ones),
+        once all are committed and no repeat can reach them, each run keeps one
+        folder under the first number. A group is joined once. The joined rows
+        are written aside in full first; a repeat after a failure goes on from there.
+        """
+        done = self.state_batches(stream or table)
+        closed = done[-1] - 1 if done else -1
+        root, fs = self._fs(self.path(table))
+        folders = [
+            (run.getPath().getName(), int(b.getPath().getName().split("=", 1)[1]))
+            for run in (fs.listStatus(root) if fs.exists(root) else [])
+            if run.getPath().getName().startswith("test_run=")
+            for b in fs.listStatus(run.getPath())
+        ]
+        removed = 0
+        for first in sorted({n - n % batches for _, n in folders if n % batches}):
+            if first + batches - 1 > closed:
+                continue
+            staged = self.path("_staging", table, f"compact-{first}")
+            if not self.exists(f"{staged}/_SUCCESS"):
+                rows = self.read(table, True).where(F.col("batch_id").between(first, first + batches - 1))
+                joined = rows.withColumn("batch_id", F.lit(first).cast("bigint")).select(*table_schema(table).names)
+                joined.hint("rebalance", "test_run").write.mode("overwrite").parquet(staged)
+            self._overwrite(self.spark.read.schema(table_schema(table)).parquet(staged).hint("rebalance", "test_run"), table)
+            for run, n in folders:
+                if first < n < first + batches:
+                    self.remove(self.path(table, run, f"batch_id={n}"))
+                    removed += 1
+            self.remove(staged)
+        return removed
+
     # -------------------------------------------------------------- run registry
 
     def runs(self) -> DataFrame:

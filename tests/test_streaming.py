@@ -308,3 +308,18 @@ def test_retention_reaches_every_table(spark, tmp_path):
     assert store.expire(later) == 1
     assert store.runs().count() == 0 and store.state().count() == 0 and store.read("contention").count() == 0
     assert all(store.caller(t, c).count() == 0 for t in ("caller_contention_results", "caller_failed_statement") for c in ("7", "007"))
+
+
+def test_compaction_bounds_the_folders_and_keeps_the_rows(spark, tmp_path):
+    registry = R.runs(spark, "r1", "r2", end=3600)
+    store = Store(spark, f"{tmp_path}/store")
+    src = R.contention(spark, [{"collection_ts": R.at(t), "waiting_txn_id": f"w{t}"} for t in range(0, 120, 10)])
+    for n in range(8):
+        ingest_at(spark, store, registry, 20 + 15 * n).run_once("contention", src)
+    folders = lambda: sorted(p.name for p in (tmp_path / "store/contention/test_run=r1").iterdir())
+    before, was = R.rows_of(store.read("contention"), "test_run", "waiting_txn_id"), len(folders())
+    assert store.compact("contention", batches=3) > 0 and store.compact("contention", batches=3) == 0
+    assert R.rows_of(store.read("contention"), "test_run", "waiting_txn_id") == before
+    assert folders() == ["batch_id=0", "batch_id=3", "batch_id=6", "batch_id=7"] and was == 8
+    ingest_at(spark, store, registry, 4000).run_once("contention", src)
+    assert len(R.rows_of(store.read("contention"))) == 24
