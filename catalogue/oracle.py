@@ -268,19 +268,19 @@ cte("recs", "stmt_stats")("""
   WHERE full_path IS NOT NULL""")
 cte("scored", "recs")("""
   SELECT *, CASE WHEN n >= 3 THEN parts[n - 2] END AS database_name, CASE WHEN n >= 2 THEN parts[n - 1] END AS schema_name,
-    parts[n] AS table_name, CAST(execution_count AS DOUBLE) AS execution_count_f,
+    parts[n] AS table_name, 
     execution_count * avg_latency_sec AS total_latency_sec, execution_count * avg_contention_sec AS total_contention_sec,
     execution_count * avg_rows_read AS total_rows_read, execution_count * avg_rows_written AS total_rows_written
   FROM (SELECT *, string_split(full_path, '.') AS parts, len(string_split(full_path, '.')) AS n FROM recs)""")
 cte("rec_totals", "scored")("""
-  SELECT database_name, schema_name, table_name, full_path, index_recommendation, sum(execution_count_f) AS total_executions,
+  SELECT database_name, schema_name, table_name, full_path, index_recommendation, CAST(sum(execution_count) AS DOUBLE) AS total_executions,
     sum(total_latency_sec) AS total_latency_sec, sum(total_contention_sec) AS total_contention_sec,
     sum(total_rows_read) AS total_rows_read, sum(total_rows_written) AS total_rows_written, bool_or(full_scan) AS involves_full_scan,
     array_to_string(list_sort(list(DISTINCT fingerprint_id)), '|') AS related_fingerprints,
     array_to_string(list_sort(list(DISTINCT app_name)), '|') AS related_applications,
     array_to_string(list_sort(list(DISTINCT substring(query, 1, 200))), '|') AS sample_queries,
-    sum(total_latency_sec) / nullif(sum(execution_count_f), 0) AS weighted_avg_latency_sec,
-    sum(total_contention_sec) / nullif(sum(execution_count_f), 0) AS weighted_avg_contention_sec
+    sum(total_latency_sec) / nullif(CAST(sum(execution_count) AS DOUBLE), 0) AS weighted_avg_latency_sec,
+    sum(total_contention_sec) / nullif(CAST(sum(execution_count) AS DOUBLE), 0) AS weighted_avg_contention_sec
   FROM scored GROUP BY 1, 2, 3, 4, 5""")
 cte("reads", "ev")("SELECT k % 4 AS t, k % 3 AS i, count(*) AS n, max(ts) AS last_read FROM ev GROUP BY 1, 2")
 cte("existing", "reads")("""
@@ -455,7 +455,7 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
   WHERE status = 'Failed' AND app_name NOT LIKE '$ internal%' ORDER BY start_time DESC, app_name, query, stmt_id LIMIT 25"""),
     "a08_index_scored": (("scored",), """
   SELECT fingerprint_id, app_name, query, full_scan, execution_count, avg_latency_sec, avg_contention_sec, avg_rows_read, avg_rows_written,
-    index_recommendation, full_path, database_name, schema_name, table_name, execution_count_f, total_latency_sec, total_contention_sec,
+    index_recommendation, full_path, database_name, schema_name, table_name, total_latency_sec, total_contention_sec,
     total_rows_read, total_rows_written FROM scored"""),
     "a09_index_agg": (("rec_totals",), "SELECT * FROM rec_totals"),
     "a10_existing_indexes": (("existing",), "SELECT * FROM existing"),

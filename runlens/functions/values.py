@@ -62,6 +62,12 @@ def is_known(fp: Column) -> Column:
     return fp.isNotNull() & (fp != F.lit(S.ZERO_FINGERPRINT))
 
 
+def exact_sum(c: str | Column) -> Column:
+    """A sum of doubles that does not depend on their order: added as decimals, and a decimal itself."""
+    column = F.col(c) if isinstance(c, str) else c
+    return F.sum(column.cast("decimal(28,9)"))
+
+
 def statement_metadata(col: str | Column = "metadata") -> Column:
     return F.from_json(col, S.STATEMENT_METADATA)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import patterns as P
-from runlens.functions.values import statement_metadata, statistics
+from runlens.functions.values import exact_sum, statement_metadata, statistics
 from runlens.plans.reports import Now, recent
 
 
@@ -69,7 +69,6 @@ def scored(recs: DataFrame) -> DataFrame:
     n = F.col("execution_count").cast("double")
     return recs.withColumns(
         {
-            "execution_count_f": n,
             "total_latency_sec": n * F.col("avg_latency_sec"),
             "total_contention_sec": n * F.col("avg_contention_sec"),
             "total_rows_read": n * F.col("avg_rows_read"),
@@ -89,14 +88,14 @@ def aggregated(recs: DataFrame) -> DataFrame:
     parts = scored(recs).groupBy(
         *TARGET, "fingerprint_id", "app_name", F.substring("query", 1, 200).alias("sample")
     ).agg(
-        F.sum("execution_count_f").alias("total_executions"),
-        *[F.sum(c).alias(c) for c in sums],
+        F.sum("execution_count").alias("total_executions"),
+        *[exact_sum(c).alias(c) for c in sums],
         F.bool_or("full_scan").alias("involves_full_scan"),
     )
     distinct = lambda c, name: F.array_sort(F.collect_set(c)).alias(name)
     out = parts.groupBy(*TARGET).agg(
-        F.sum("total_executions").alias("total_executions"),
-        *[F.sum(c).alias(c) for c in sums],
+        F.sum("total_executions").cast("double").alias("total_executions"),
+        *[F.sum(c).cast("double").alias(c) for c in sums],
         F.bool_or("involves_full_scan").alias("involves_full_scan"),
         distinct("fingerprint_id", "related_fingerprints"),
         distinct("app_name", "related_applications"),

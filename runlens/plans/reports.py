@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from runlens import schemas as S
 from runlens.functions import patterns as P
 from runlens.functions.values import (
+    exact_sum,
     hours,
     instant,
     interval_ms,
@@ -314,7 +315,7 @@ def write_hotspots(stats: DataFrame, now: Now = None, lookback_hours: int = 2) -
         .select(text.alias("qry"), (_cnt() * written).alias("rows"))
         # one text has many statistics rows: sum first, match the patterns once
         .groupBy("qry")
-        .agg(F.sum("rows").alias("rows"))
+        .agg(exact_sum("rows").alias("rows"))
         .withColumn("table_identifier", P.written_table(F.col("qry")))
         .where("table_identifier IS NOT NULL")
     )
@@ -372,7 +373,7 @@ def compare_runs(stats: DataFrame, base: str, other: str) -> DataFrame:
     sums = []
     for label, run in (("base", base), ("other", other)):
         mine = F.col("test_run") == run
-        sums += [F.sum(F.when(mine, F.col(c))).alias(f"{label}_{c}") for c in ("cnt", "run", "svc")]
+        sums += [exact_sum(F.when(mine, F.col(c))).cast("double").alias(f"{label}_{c}") for c in ("cnt", "run", "svc")]
     wide = slim.groupBy("app_name", "fingerprint_id").agg(*sums)
     for label in ("base", "other"):
         for c in ("run", "svc"):
