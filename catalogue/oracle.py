@@ -48,9 +48,10 @@ def contention(b: int, w: int) -> str:
     {tid('event_id')} AS waiting_txn_id,
     CASE WHEN event_id % {w} = 0 THEN '{ZERO}' ELSE tfp END AS waiting_txn_fingerprint_id,
     cents * 1000 AS contention_duration,
+    lower(hex('/k/' || (k % 5))) AS contending_key,
     '/Table/' || (100 + k % 5) || '/1/"' || user_id || '"/0' AS contending_pretty_key,
     {hx('event_id')} AS waiting_stmt_id, sfp AS waiting_stmt_fingerprint_id, database_name,
-    'public' AS schema_name, 't' || (k % 4) AS table_name,
+    CASE WHEN k % 4 = 3 THEN 'archive' ELSE 'public' END AS schema_name, 't' || (k % 4) AS table_name,
     CASE WHEN k % 3 = 0 THEN NULL ELSE 'idx_' || (k % 3) END AS index_name,
     CASE WHEN k % 2 = 0 THEN 'LOCK_WAIT' ELSE 'SERIALIZATION_CONFLICT' END AS contention_type
   FROM ev WHERE event_type IN ('error', 'click')"""
@@ -65,6 +66,10 @@ cte("insights", "ev")(f"""
     CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN 'HighContention' ELSE 'HighContention|HighRetryCount' END AS causes,
     CASE WHEN k % 25 = 0 THEN 'SELECT _' WHEN k % 25 = 1 THEN 'SHOW _' ELSE 'UPDATE t' || (k % 4) || ' SET a = _' END AS query,
     CASE WHEN event_type = 'error' THEN 'Failed' ELSE 'Completed' END AS status, ts AS start_time,
+    ts + INTERVAL 1500 MILLISECOND AS end_time, 'u' || (user_id % 5) AS user_name, 'g' || (k % 9) AS plan_gist,
+    CASE WHEN k % 2 = 0 THEN 'normal' ELSE 'high' END AS priority, (k % 3) || '|' || (k % 5) AS exec_node_ids, (k % 2) || '' AS kv_node_ids,
+    CASE WHEN k % 5 = 1 THEN 'creation : CREATE INDEX ON t1 (a)' ELSE '' END AS index_recommendations, k % 2 = 0 AS implicit_txn,
+    CASE WHEN k % 9 > 0 THEN k * 1000 END AS cpu_sql_nanos, CASE WHEN k % 8 = 0 THEN 'tag=' || (k % 3) END AS query_tags,
     k % 5 = 0 AS full_scan, app_name, database_name, k AS rows_read, k % 7 AS rows_written, k % 4 AS retries,
     CASE WHEN k % 4 > 0 THEN 'retry' END AS last_retry_reason,
     CASE WHEN k % 6 > 0 THEN cents * 1000 END AS contention,
@@ -85,7 +90,7 @@ def stmt_stats(half: bool) -> str:
       '}}}}, "statistics": {{"cnt": ' || cnt || ', "failureCount": ' || fails || ', "runLat": {{"mean": ' || lat // cnt ||
       '}}, "svcLat": {{"mean": ' || (2 * lat) // cnt || '}}, "rowsRead": {{"mean": ' || rr // cnt ||
       '}}, "rowsWritten": {{"mean": ' || rw // cnt || '}}}}}}' AS statistics,
-    CAST(NULL AS VARCHAR) AS sampled_plan, CAST({1800000000 if half else 3600000000} AS BIGINT) AS aggregation_interval,
+    CASE WHEN p = 1 THEN '{{"Name": "scan", "rows": ' || cnt || '}}' END AS sampled_plan, CAST({1800000000 if half else 3600000000} AS BIGINT) AS aggregation_interval,
     CASE q WHEN 0 THEN ['creation : CREATE INDEX ON schedules.public.t0 (a)', 'creation : CREATE INDEX ON public.t0 (b)']
       WHEN 1 THEN ['creation : CREATE INDEX ON t1 (a)'] WHEN 2 THEN ['no target named'] ELSE CAST([] AS VARCHAR[]) END AS recs,
     query, CASE WHEN t = 15 THEN 'system' ELSE 'schedules' END AS db, fs AS full_scan, cnt, cnt * 30 AS sampled, fails,
@@ -285,7 +290,8 @@ cte("rec_totals", "scored")("""
 cte("reads", "ev")("SELECT k % 4 AS t, k % 3 AS i, count(*) AS n, max(ts) AS last_read FROM ev GROUP BY 1, 2")
 cte("existing", "reads")("""
   SELECT 'schedules' AS database_name, 'public' AS schema_name, 't' || t AS table_name, 'idx_' || i AS index_name, i + 1 AS index_id,
-    CASE WHEN i <> 2 THEN n END AS total_reads, CASE WHEN i <> 2 THEN last_read END AS last_read FROM reads""")
+    CASE WHEN i <> 2 THEN n END AS total_reads, CASE WHEN i <> 2 THEN last_read END AS last_read FROM reads
+  UNION ALL SELECT 'schedules', 'archive', 't' || t, 'idx_0', 1, NULL, NULL FROM reads WHERE i = 0""")
 cte("usage_doc", "existing")("""
   SELECT database_name, schema_name, table_name,
     '[' || string_agg('{"index_name":"' || index_name || '","index_id":' || index_id || ',"total_reads":' || coalesce(total_reads, 0) ||
@@ -410,7 +416,8 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
   UNPIVOT (SELECT """ + ", ".join(
         f"count(*) - count({c}) AS {c}"
         for c in (
-            "session_id", "txn_id", "txn_fingerprint_id", "stmt_id", "stmt_fingerprint_id", "problem", "causes", "query", "status",
+            "end_time", "user_name", "plan_gist", "priority", "exec_node_ids", "kv_node_ids", "index_recommendations", "implicit_txn",
+            "cpu_sql_nanos", "query_tags", "session_id", "txn_id", "txn_fingerprint_id", "stmt_id", "stmt_fingerprint_id", "problem", "causes", "query", "status",
             "start_time", "full_scan", "app_name", "database_name", "rows_read", "rows_written", "retries", "last_retry_reason",
             "contention", "error_code", "last_error_redactable",
         )

@@ -32,7 +32,9 @@ def flat(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.ArrayType):
-            c = F.concat_ws("|", c)
+            c = F.concat_ws("|", c.cast("array<string>"))
+        elif isinstance(f.dataType, T.BinaryType):
+            c = F.lower(F.hex(c))
         elif isinstance(f.dataType, T.DayTimeIntervalType):
             c = interval_micros(c)
         elif isinstance(f.dataType, T.DecimalType):

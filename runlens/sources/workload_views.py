@@ -85,11 +85,12 @@ class WorkloadViews:
                 f"case when event_id % {w} = 0 then '{S.ZERO_FINGERPRINT}' else tfp end"
                 " as waiting_txn_fingerprint_id",
                 "make_dt_interval(0, 0, 0, cents / 1000.0BD) as contention_duration",
+                "encode(concat('/k/', k % 5), 'UTF-8') as contending_key",
                 "concat('/Table/', 100 + k % 5, '/1/\"', user_id, '\"/0') as contending_pretty_key",
                 f"{hx('event_id')} as waiting_stmt_id",
                 "sfp as waiting_stmt_fingerprint_id",
                 "database_name",
-                "'public' as schema_name",
+                "case when k % 4 = 3 then 'archive' else 'public' end as schema_name",
                 "concat('t', k % 4) as table_name",
                 "case when k % 3 = 0 then null else concat('idx_', k % 3) end as index_name",
                 "case when k % 2 = 0 then 'LOCK_WAIT' else 'SERIALIZATION_CONFLICT' end as contention_type",
@@ -113,12 +114,23 @@ class WorkloadViews:
                 " else concat('UPDATE t', k % 4, ' SET a = _') end as query",
                 "case when event_type = 'error' then 'Failed' else 'Completed' end as status",
                 "ts as start_time",
+                "ts + interval 1500 milliseconds as end_time",
                 "k % 5 = 0 as full_scan",
+                "concat('u', user_id % 5) as user_name",
                 "app_name",
                 "database_name",
+                "concat('g', k % 9) as plan_gist",
                 "k as rows_read",
                 "k % 7 as rows_written",
+                "case when k % 2 = 0 then 'normal' else 'high' end as priority",
                 "k % 4 as retries",
+                "array(k % 3, k % 5) as exec_node_ids",
+                "array(k % 2) as kv_node_ids",
+                "case when k % 5 = 1 then array('creation : CREATE INDEX ON t1 (a)') else cast(array() as array<string>) end"
+                " as index_recommendations",
+                "k % 2 = 0 as implicit_txn",
+                "case when k % 9 > 0 then k * 1000 end as cpu_sql_nanos",
+                "case when k % 8 = 0 then concat('tag=', k % 3) end as query_tags",
                 "case when k % 4 > 0 then 'retry' end as last_retry_reason",
                 "case when k % 6 > 0 then make_dt_interval(0, 0, 0, cents / 1000.0BD) end as contention",
                 "case when event_type = 'error' then '40001' end as error_code",
@@ -173,7 +185,7 @@ class WorkloadViews:
             f" ', \"runLat\": {{\"mean\": ', {mean('lat')}, '}}, \"svcLat\": {{\"mean\": ', {mean('lat * 2')},"
             f" '}}, \"rowsRead\": {{\"mean\": ', {mean('rr')}, '}}, \"rowsWritten\": {{\"mean\": ', {mean('rw')},"
             f" '}}}}}}') as statistics",
-            "cast(null as string) as sampled_plan",
+            "case when p = 1 then concat('{\"Name\": \"scan\", \"rows\": ', cnt, '}') end as sampled_plan",
             f"make_dt_interval(0, 0, {minutes}, 0) as aggregation_interval",
             "case q when 0 then array('creation : CREATE INDEX ON schedules.public.t0 (a)',"
             " 'creation : CREATE INDEX ON public.t0 (b)')"
@@ -346,7 +358,9 @@ class WorkloadViews:
             "schema_name",
             "concat('t', t) as name",
         )
-        indexes = events.selectExpr("100 + t as descriptor_id", "i + 1 as index_id", "concat('idx_', i) as index_name")
+        indexes = events.selectExpr("100 + t as descriptor_id", "i + 1 as index_id", "concat('idx_', i) as index_name").unionByName(
+            events.where("i = 0").selectExpr("200 + t as descriptor_id", "i + 1 as index_id", "concat('idx_', i) as index_name")
+        )
         usage = events.where("i <> 2").selectExpr(
             "100 + t as table_id", "i + 1 as index_id", "n as total_reads", "last_read"
         )
