@@ -37,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
     if configured:
         return configured
     context = spark.sparkContext
-    if not context.master.startswith("local["):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.applicationId not in _local_folders:
         _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="runlens-")
