@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from llm.words import Runs, chunks, mix, text_bytes
 
 MARK = "▁"
-_CHUNK = 4_000_000
+_CHUNK = 1_000_000
+_DECODED = 200_000
 _LOW = 0x250
 _SLOTS = 1 << 20
 _KEPT = 400_000
@@ -261,11 +262,13 @@ class PieceModel:
         """The text of each list of ids: marks become spaces, the first one goes if it was put there."""
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         offsets = column.offsets.to_numpy().astype(np.int64)
-        ids = column.values.to_numpy()[offsets[0] : offsets[-1]]
-        raw, begin = gather(self.raw, self.raw_begin, ids.astype(np.int64))
-        cut = begin[offsets - offsets[0]].tolist()
-        data = raw.tobytes()
-        texts = [data[a:b].decode(errors="replace") for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        ids = column.values.to_numpy()
+        texts: list[str] = []
+        for first, last in chunks(offsets, _DECODED):
+            raw, begin = gather(self.raw, self.raw_begin, ids[offsets[first] : offsets[last]].astype(np.int64))
+            cut = begin[offsets[first : last + 1] - offsets[first]].tolist()
+            data = raw.tobytes()
+            texts += [data[a:b].decode(errors="replace") for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return [t[1:] if self.prefix and t.startswith(" ") else t for t in texts]
 
 
