@@ -3,10 +3,10 @@
 Documents are dealt to shards of bounded size by a hash. A shard's task builds
 its inverted index once, reads the queries as a stream and prunes: the postings
 of rare terms are added up exactly; for frequent terms only block maxima (over
-``BLOCK`` documents) are added first. A document is scored in full only if its
-exact part and its block's maxima together reach the threshold, the k-th best
-score so far: the pivot test of block-max WAND, on all documents of a
-shard at once. Document frequencies, count and mean length are those of the
+``BLOCK`` documents) are added first, for many queries in one matrix product. A
+document is scored in full only if its exact part and its block's maxima
+together reach the threshold, the k-th best score so far: the pivot test of
+block-max WAND, on all documents of a shard at once. Document frequencies, count and mean length are those of the
 whole table, so scores are equal in every shard and the merge is exact.
 
 A term is a run of letters and digits (and all non-ASCII), A-Z folded. A query
@@ -30,7 +30,7 @@ from llm.scratch import blocks, keep
 from llm.words import PUNCTUATION, words
 
 K1, B = 1.2, 0.75
-SHARD, BLOCK = 8000, 64
+SHARD, BLOCK, QUERIES = 12_000, 4, 64
 FREQUENT = 1 / 16
 _SLACK = 1e-5
 
@@ -90,24 +90,20 @@ def _asked(groups: int):
     return run
 
 
-def _weigh(n: int):
-    """Of one term range: each query's terms with their idf."""
-
-    def run(asked: pa.Table, counted: pa.Table) -> pa.Table:
-        terms, ids = gather(asked["part"].to_pylist(), np.uint64, np.int64)
-        seen, count = gather(counted["part"].to_pylist(), np.uint64, np.int64)
-        every, back = np.unique(seen, return_inverse=True)
-        df = np.bincount(back, count, len(every)) if len(every) else np.zeros(0)
-        at = np.minimum(np.searchsorted(every, terms), max(len(every) - 1, 0))
-        held = every[at] == terms if len(every) else np.zeros(len(terms), bool)
-        terms, ids, df = terms[held], ids[held], df[at[held]]
-        order = np.lexsort((terms, ids))
-        terms, ids = terms[order], ids[order]
-        idf = np.log(1 + (n - df[order] + 0.5) / (df[order] + 0.5))
-        parts = [(q, pack(terms[r], idf[r])) for q, r in by_group(ids)]
-        return pa.table({"id": pa.array([q for q, _ in parts], pa.int64()), "part": pa.array([p for _, p in parts], pa.binary())})
-
-    return run
+def _weigh(asked: pa.Table, counted: pa.Table) -> pa.Table:
+    """Of one term range: each query's terms with their document frequency."""
+    terms, ids = gather(asked["part"].to_pylist(), np.uint64, np.int64)
+    seen, count = gather(counted["part"].to_pylist(), np.uint64, np.int64)
+    every, back = np.unique(seen, return_inverse=True)
+    df = np.bincount(back, count, len(every)) if len(every) else np.zeros(0)
+    at = np.minimum(np.searchsorted(every, terms), max(len(every) - 1, 0))
+    held = every[at] == terms if len(every) else np.zeros(len(terms), bool)
+    terms, ids, df = terms[held], ids[held], df[at[held]]
+    order = np.lexsort((terms, ids))
+    terms, ids = terms[order], ids[order]
+    df = df[order].astype(np.int64)
+    parts = [(q, pack(terms[r], df[r])) for q, r in by_group(ids)]
+    return pa.table({"id": pa.array([q for q, _ in parts], pa.int64()), "part": pa.array([p for _, p in parts], pa.binary())})
 
 
 class Index:
@@ -115,57 +111,63 @@ class Index:
 
     def __init__(self, ids: np.ndarray, texts: pa.Array, mean: float, block: int = BLOCK, frequent: float = FREQUENT):
         rows, terms, tf, sizes = postings(texts)
-        self.ids, self.block = ids, block
+        self.ids = ids
         impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[rows] / mean)) if len(rows) else np.zeros(0)
         order = np.argsort(terms, kind="stable")
-        self.rows, self.impact = rows[order], impact[order]
+        self.rows, self.impact = rows[order].astype(np.int32), impact[order]
         self.terms, begin = np.unique(terms[order], return_index=True)
         self.begin = np.append(begin, len(order))
-        df = np.diff(self.begin)
-        often = np.flatnonzero(df > frequent * len(ids))
+        often = np.flatnonzero(np.diff(self.begin) > frequent * len(ids))
         self.place = np.full(len(self.terms), -1)
         self.place[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), len(ids)))
+        # frequent terms: the impacts of each document, and the largest ones of each block
+        self.dense = np.zeros((len(ids), len(often)))
         for k, t in enumerate(often.tolist()):
             run = slice(self.begin[t], self.begin[t + 1])
-            self.dense[k, self.rows[run]] = self.impact[run]
-        edge = np.arange(0, max(len(ids), 1), block)
-        self.most = np.maximum.reduceat(self.dense, edge, axis=1) if len(ids) and len(often) else np.zeros((len(often), len(edge)))
+            self.dense[self.rows[run], k] = self.impact[run]
+        self.most = np.maximum.reduceat(self.dense, np.arange(0, len(ids), block), axis=0) if len(ids) else self.dense
         self.of_block = np.arange(len(ids)) // block
 
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The best k documents (numbers, rounded scores), best first; documents without a common term never rank."""
-        at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
-        held = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        at, idf = at[held], idf[held]
-        place = self.place[at]
-        rare, often = at[place < 0], place[place >= 0]
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, idf) the best k documents (numbers, rounded scores), best first.
+
+        Documents without a common term never rank.
+        """
+        weights, rare = np.zeros((len(queries), self.dense.shape[1])), []
+        for q, (terms, idf) in enumerate(queries):
+            at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
+            held = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+            at, idf = at[held], idf[held]
+            place = self.place[at]
+            weights[q, place[place >= 0]] = idf[place >= 0]
+            rare.append((at[place < 0], idf[place < 0]))
+        bounds = weights @ self.most.T
+        return [self._best(*rare[q], weights[q], bounds[q], k) for q in range(len(queries))]
+
+    def _best(self, rare: np.ndarray, idf: np.ndarray, weight: np.ndarray, most: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        k = min(k, len(self.ids))
+        if not k:
+            return np.zeros(0, np.int64), np.zeros(0)
         part = np.zeros(len(self.ids))
         if len(rare):
             size = self.begin[rare + 1] - self.begin[rare]
             ends = np.cumsum(size)
             where = np.arange(ends[-1]) + np.repeat(self.begin[rare] - (ends - size), size)
-            part = np.bincount(self.rows[where], self.impact[where] * np.repeat(idf[place < 0], size), len(self.ids))
-        weight = idf[place >= 0]
-        bound = part + (weight @ self.most[often])[self.of_block] if len(often) else part
-        k = min(k, len(self.ids))
-        if not k:
-            return np.zeros(0, np.int64), np.zeros(0)
-        # the k of the best bounds give a first threshold; whatever cannot reach it is out
-        first = np.argpartition(-bound, k - 1)[:k]
-        score = lambda docs: part[docs] + (weight @ self.dense[np.ix_(often, docs)] if len(often) else 0)
-        least = np.sort(score(first))[0]
+            part = np.bincount(self.rows[where], self.impact[where] * np.repeat(idf, size), len(self.ids))
+        bound = part + most[self.of_block]
+        score = lambda docs: part[docs] + self.dense[docs] @ weight
+        # the documents of the best bounds give a first threshold; whatever cannot reach it is out
+        some = min(len(self.ids), max(k, 64))
+        least = np.sort(score(np.argpartition(-bound, some - 1)[:some]))[-k]
         left = np.flatnonzero((bound >= least - _SLACK) & (bound > 0))
         left = left[np.argsort(-bound[left], kind="stable")]
         docs, scores, done = np.zeros(0, np.int64), np.zeros(0), 0
-        while done < len(left):
-            more = left[done : done + 4 * self.block]
-            if len(docs) >= k and bound[more[0]] < least - _SLACK:
-                break
+        while done < len(left) and (len(docs) < k or bound[left[done]] >= least - _SLACK):
+            more = left[done : done + 256]
             docs, scores = np.append(docs, more), np.append(scores, score(more))
             done += len(more)
             if len(docs) > k:
-                least = np.partition(scores, len(scores) - k)[len(scores) - k]
+                least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k])
                 stay = scores >= least - _SLACK
                 docs, scores = docs[stay], scores[stay]
         scores = np.round(scores, 6)
@@ -174,7 +176,7 @@ class Index:
         return docs[order], scores[order]
 
 
-def _search(k: int, mean: float):
+def _search(k: int, n: int, mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, index, held = None, None, []
 
@@ -193,9 +195,14 @@ def _search(k: int, mean: float):
                     continue
                 index = index or build()
                 out: list[tuple] = []
-                for query, parts in zip(group["id"].to_pylist(), group["parts"].to_pylist(), strict=True):
-                    docs, scores = index.search(*gather(parts, np.uint64, np.float64), k)
-                    out += zip([query] * len(docs), index.ids[docs].tolist(), scores.tolist(), strict=True)
+                queries, asked = group["id"].to_pylist(), []
+                for parts in group["parts"].to_pylist():
+                    terms, df = gather(parts, np.uint64, np.int64)
+                    asked.append((terms, np.log(1 + (n - df + 0.5) / (df + 0.5))))
+                for first in range(0, len(asked), QUERIES):
+                    found = index.search(asked[first : first + QUERIES], k)
+                    for query, (docs, scores) in zip(queries[first : first + QUERIES], found, strict=True):
+                        out += zip([query] * len(docs), index.ids[docs].tolist(), scores.tolist(), strict=True)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["query_id", "id", "score"])
 
@@ -225,7 +232,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     shards = max(1, -(-n // shard))
     counted = base.select("text").mapInArrow(_frequencies(groups), "grp int, part binary")
     wanted = asked.mapInArrow(_asked(groups), "grp int, part binary")
-    weighed = wanted.groupBy("grp").cogroup(counted.groupBy("grp")).applyInArrow(_weigh(n), "id long, part binary")
+    weighed = wanted.groupBy("grp").cogroup(counted.groupBy("grp")).applyInArrow(_weigh, "id long, part binary")
     ready = keep(weighed.groupBy("id").agg(F.collect_list("part").alias("parts")), "query-terms")
     streamed = base.select(
         F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"),
@@ -239,7 +246,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     found = (
         streamed.repartition(F.col("shard"))
         .sortWithinPartitions("shard", "kind", "id", "text")
-        .mapInArrow(_search(k, mean), "query_id long, id long, score double")
+        .mapInArrow(_search(k, n, mean), "query_id long, id long, score double")
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
