@@ -24,9 +24,6 @@ from runlens.session import materialise, shared_folder
 
 CONFLICT_WINDOW_SECONDS = 60
 LATEST_TXN_HOURS = 2
-# A transaction with most of the failures may have many different error texts;
-# they are searched in this many parts.
-ERROR_PARTS = 16
 
 FAILED_COLUMNS = (
     "collection_ts",
@@ -134,18 +131,18 @@ def _answered(
 ) -> DataFrame:
     """First candidate insight per exception, found once per distinct question.
 
-    Candidates with a ``_part`` are spread by it: each question is asked of
-    every part, and the parts' first rows are compared afterwards.
+    A question that names an application joins on it as well, so a transaction
+    with most of the failures is spread over its applications; the rest is left
+    to the splitting of skewed joins at run time.
     """
     q = involved.select("test_run", "txn_fingerprint_id", *asks).distinct()
     on = ["test_run", "txn_fingerprint_id"]
-    if "_part" in candidates.columns:
-        q = q.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(ERROR_PARTS - 1))))
-        on.append("_part")
+    named = q.where("in_app IS NOT NULL").withColumn("insight_app", F.col("in_app"))
+    met = named.join(candidates, [*on, "insight_app"]).unionByName(q.where("in_app IS NULL").join(candidates, on))
     direction = F.col("start_time").desc() if newest else F.col("start_time").asc()
     tie = [F.col("stmt_fingerprint_id"), F.col("insight_app"), F.col("database_name")]
     found = first_per_group(
-        q.join(candidates, on).where(condition),
+        met.where(condition),
         ["test_run", "txn_fingerprint_id", *asks],
         [direction, *tie],
     )
@@ -197,7 +194,7 @@ def by_failed_insight(involved: DataFrame, insights: DataFrame) -> DataFrame:
         .select(*columns, "start_time", "stmt_fingerprint_id", "database_name"),
         columns,
         [F.col("start_time"), F.col("stmt_fingerprint_id"), F.col("database_name")],
-    ).withColumn("_part", F.pmod(F.xxhash64("last_error_redactable"), F.lit(ERROR_PARTS)).cast("int"))
+    )
     pattern = F.concat(F.lit("%"), F.col("retry_error_type"), F.lit("%"))
     condition = P.like(F.col("last_error_redactable"), pattern) & _any_or_same_app()
     asked = involved.where(F.col("retry_error_type").isNotNull())
