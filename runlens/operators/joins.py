@@ -65,31 +65,36 @@ def latest_at_or_before(
     Probes without a match are dropped. Probes and points are put in one order
     per (keys, time slot), where each probe takes the last point before it; if the
     slot has none, the latest point of an earlier slot counts, found on one row
-    per key and slot. Nothing is gathered into arrays, a key that holds most
-    probes is spread over its slots, and equal probes are looked up once.
+    per key and slot. Nothing is gathered into arrays, and a key that holds most
+    probes is spread over its slots.
     """
     point_type = points.schema[point_ts].dataType
     slot = lambda c: time_slot(F.col(c), slot_seconds)
-    pts = points.select(*keys, slot(point_ts).alias("_slot"), F.col(point_ts).alias("_at"), F.col(point_ts).alias("_point"))
-    asked = probes.select(*keys, F.col(bound).alias("_bound")).distinct()
-    slots = asked.select(*keys, slot("_bound").alias("_slot"), F.col("_bound").cast(point_type).alias("_at"), "_bound")
-    none = lambda df, c, t: df.withColumn(c, F.lit(None).cast(t))
-    union = none(pts.distinct(), "_bound", probes.schema[bound].dataType).unionByName(none(slots, "_point", point_type))
+    extra = [c for c in probes.columns if c not in keys]
+    void = [F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in extra]
+    stamp = F.col(point_ts)
+    held = points.select(*keys, slot(point_ts).alias("_slot"), stamp.alias("_at"), stamp.alias("_point")).distinct()
+    pts = held.select("*", *void, F.lit(False).alias("_asked"))
+    asked = probes.select(
+        *keys, slot(bound).alias("_slot"), F.col(bound).cast(point_type).alias("_at"),
+        F.lit(None).cast(point_type).alias("_point"), *extra, F.lit(True).alias("_asked"),
+    ).where("_at IS NOT NULL")
     in_slot = Window.partitionBy(*keys, "_slot").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
-    within = union.withColumn("_within", F.max("_point").over(in_slot)).where("_bound IS NOT NULL")
+    within = pts.unionByName(asked).withColumn("_within", F.max("_point").over(in_slot)).where("_asked")
     by_key = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = asked.select(*keys, "_slot", "_point")
     older = (
-        union.groupBy(*keys, "_slot").agg(F.max("_point").alias("_last"))
+        held.select(*keys, "_slot", "_point").unionByName(slots)
+        .groupBy(*keys, "_slot").agg(F.max("_point").alias("_last"))
         .withColumn("_older", F.max("_last").over(by_key))
         .drop("_last")
     )
-    found = (
+    return (
         within.join(older, [*keys, "_slot"])
         .withColumn(out, F.coalesce("_within", "_older"))
         .where(F.col(out).isNotNull())
-        .select(*keys, "_bound", out)
+        .select(*probes.columns, out)
     )
-    return probes.join(found.withColumnRenamed("_bound", bound), [*keys, bound]).select(*probes.columns, out)
 
 
 def prefix_join(ids: DataFrame, probes: DataFrame, id_column: str, prefix_column: str, equal: Sequence[str]) -> DataFrame:
