@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import archives, chat_format, fingerprints, language_id, near_duplicates, packing, search, sentencepieces, substring_dedup, url_filter
+from llm import archives, chat_format, fingerprints, language_id, license_scan, near_duplicates, packing, search, sentencepieces
+from llm import substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -89,6 +90,11 @@ def spotsigs(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_pairs(_table(spark, folder, "documents"))
 
 
+def licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, folder, "documents"))
+    return found.withColumn("n_spans", F.size("spans")).drop("spans")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -107,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_urls": urls,
         "op9_spotsigs": spotsigs,
         "op10_packing": packed,
+        "op11_licenses": licenses,
         "pipeline": pipeline,
     }
 
