@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import archives, chat_format, fingerprints, language_id, license_scan, near_duplicates, packing, search, sentencepieces
-from llm import substring_dedup, url_filter
+from llm import archives, chat_format, fingerprints, language_id, license_scan, near_duplicates, packing, ranked_search
+from llm import search, sentencepieces, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -95,6 +95,10 @@ def licenses(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("n_spans", F.size("spans")).drop("spans")
 
 
+def ranked(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.rank(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_spotsigs": spotsigs,
         "op10_packing": packed,
         "op11_licenses": licenses,
+        "op13_ranked": ranked,
         "pipeline": pipeline,
     }
 
