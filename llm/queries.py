@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import archives, chat_format, fingerprints, language_id, license_scan, near_duplicates, packing, ranked_search
-from llm import search, sentencepieces, substring_dedup, url_filter
+from llm import search, sentencepieces, substring_dedup, token_alignment, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -95,6 +95,11 @@ def licenses(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("n_spans", F.size("spans")).drop("spans")
 
 
+def alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return token_alignment.align(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def ranked(spark: SparkSession, folder: str) -> DataFrame:
     return ranked_search.rank(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -118,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_spotsigs": spotsigs,
         "op10_packing": packed,
         "op11_licenses": licenses,
+        "op12_alignment": alignment,
         "op13_ranked": ranked,
         "pipeline": pipeline,
     }
