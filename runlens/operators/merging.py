@@ -6,9 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runlens.operators.ranking import first_per_group
 
+#: 128 bits of a key, in two independent halves
+KEY_DIGEST = T.StructType([T.StructField("digest_1", T.LongType()), T.StructField("digest_2", T.LongType())])
+KEY_BUCKETS = 256
+
 
 def insert_ignore(
     source: DataFrame, target: DataFrame | None, keys: dict[str, Column], order: Sequence[Column]
@@ -28,6 +33,30 @@ def insert_ignore(
     return fresh.drop(*names)
 
 
+def with_key_digest(df: DataFrame, keys: dict[str, Column], buckets: int = KEY_BUCKETS) -> DataFrame:
+    """``df`` with the digest of a key and the bucket of an index it belongs to.
+
+    As in a unique constraint a key with a NULL is in no index: its digest and bucket are NULL.
+    """
+    whole = F.lit(True)
+    for k in keys.values():
+        whole &= k.isNotNull()
+    one, two = F.xxhash64(*keys.values()), F.xxhash64(F.lit(2), *keys.values())
+    return df.withColumns(
+        {
+            "digest_1": F.when(whole, one),
+            "digest_2": F.when(whole, two),
+            "bucket": F.when(whole, F.pmod(one, F.lit(buckets))),
+        }
+    )
+
+
+def not_in_index(fresh: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows whose key digest the index does not hold; ``seen`` needs to have their buckets only."""
+    keys = ["test_run", "bucket", *KEY_DIGEST.names]
+    return fresh.join(seen.select(*keys), keys, "left_anti").select(*fresh.columns)
+
+
 def upsert(
     source: DataFrame,
     target: DataFrame,

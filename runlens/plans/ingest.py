@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from runlens import schemas as S
 from runlens.operators.joins import interval_join
-from runlens.operators.merging import insert_ignore, upsert
+from runlens.operators.merging import insert_ignore, upsert, with_key_digest
 from runlens.operators.ranking import first_per_group
 
 INSIGHT_ORDER = ("start_time", "stmt_id", "txn_id")
@@ -61,6 +61,16 @@ def new_txn_ids(tagged: DataFrame, target: DataFrame | None) -> DataFrame:
     return fresh.join(target.select("test_run", "txn_id"), ["test_run", "txn_id"], "left_anti")
 
 
+def indexed_insights(tagged: DataFrame) -> DataFrame:
+    """The first row of every insight key in a batch, with its place in the key index."""
+    return with_key_digest(new_insights(tagged, None), insight_keys())
+
+
+def indexed_txn_ids(tagged: DataFrame) -> DataFrame:
+    """One row per (run, transaction id) of a batch, with its place in the key index."""
+    return with_key_digest(new_txn_ids(tagged, None), {k: F.col(k) for k in S.KEYS["txn_id_map"]})
+
+
 def _newest_first() -> list[Column]:
     """Versions of one bucket: its execution count only grows; equal counts end in a fixed order."""
     count = F.get_json_object("statistics", "$.statistics.cnt").cast("bigint")

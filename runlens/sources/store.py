@@ -1,14 +1,17 @@
 """The tables segmented by test run, as Parquet.
 
-Layout: ``<root>/<table>/test_run=<run>/batch_id=<n>/``. A batch writes its own
-partitions and a repeated batch replaces them, so appends can be replayed.
-Changes to older rows rewrite the partitions they are in; the new content is
-first written aside in full, and a replay continues from it.
+Layout: ``<root>/<table>/write=<label>/test_run=<run>/batch_id=<n>/``. Every write has a label of its own and is
+never changed; the commits (``runlens.sources.commits``) say which parts are live. So readers see whole batches
+only, a failed write leaves nothing behind but files that ``vacuum`` removes, and a part that is replaced stays
+readable for those who have begun to read it.
 """
 
 from __future__ import annotations
 
-from datetime import datetime
+import time
+import uuid
+from collections.abc import Collection, Iterable
+from datetime import datetime, timezone
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,26 +20,62 @@ from pyspark.sql import types as T
 
 from runlens import schemas as S
 from runlens.functions.values import days, instant
+from runlens.operators.merging import KEY_DIGEST
 from runlens.plans.metrics import METRICS
 from runlens.plans.retention import unexpired
 from runlens.plans.runs import register_runs
+from runlens.sources.commits import Commit, Commits, Part
 
-PARTITIONS = ("test_run", "batch_id")
 COMPACTED_BATCHES = 5760
+REMOVED_AFTER_SECONDS = 3600  # how long a replaced part stays readable
 CALLER_TABLES = ("caller_contention_results", "caller_failed_statement")
+INDEXED = ("insights", "txn_id_map")
+#: The stream whose commits list a table's parts.
+STREAM_OF = (
+    {s: s for s in S.ALL_STREAMS}
+    | {"txn_id_map": "insights"}
+    | {f"{t}_keys": "insights" for t in INDEXED}
+    | {f"pending_{s}": s for s in S.ALL_STREAMS}
+)
+
+
+def partitions(table: str) -> tuple[str, ...]:
+    """Partition columns below ``write``; the last one is the part's number."""
+    if table.startswith("pending_"):
+        return ("slot",)
+    return ("test_run", "bucket") if table.endswith("_keys") else ("test_run", "batch_id")
+
+
+def time_column(table: str) -> str | None:
+    return S.EVENT_TIME.get(table.removeprefix("pending_"))
 
 
 def table_schema(table: str) -> T.StructType:
-    base = S.TXN_ID_MAP if table == "txn_id_map" else S.STREAM_SCHEMAS[table]
-    return T.StructType(
-        [*base.fields, T.StructField("test_run", T.StringType()), T.StructField("batch_id", T.LongType())]
-    )
+    """Columns of a table with its partition columns, ``write`` in front of them."""
+    types = {"test_run": T.StringType(), "batch_id": T.LongType(), "bucket": T.LongType(), "slot": T.LongType()}
+    if table.endswith("_keys"):
+        base = KEY_DIGEST
+    elif table == "txn_id_map":
+        base = S.TXN_ID_MAP
+    else:
+        base = S.STREAM_SCHEMAS[table.removeprefix("pending_")]
+    more = [T.StructField("write", T.StringType()), *(T.StructField(c, types[c]) for c in partitions(table))]
+    return T.StructType([*base.fields, *more])
+
+
+def micros(ts: datetime) -> int:
+    """Microseconds since the epoch; a time without zone counts as UTC."""
+    at = ts if ts.tzinfo else ts.replace(tzinfo=timezone.utc)
+    span = at - datetime(1970, 1, 1, tzinfo=timezone.utc)
+    return (span.days * 86_400 + span.seconds) * 1_000_000 + span.microseconds
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, removed_after: int = REMOVED_AFTER_SECONDS):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.removed_after = removed_after
+        self.commits = Commits(spark, f"{self.root}/_commits")
 
     # ---------------------------------------------------------------- file paths
 
@@ -69,42 +108,115 @@ class Store:
         names = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
         return names.getPartitionPathString(column, value)
 
+    def folder(self, part: Part) -> str:
+        values = [part.number] if part.test_run is None else [part.test_run, part.number]
+        names = [self._partition(c, str(v)) for c, v in zip(partitions(part.table), values, strict=True)]
+        return self.path(part.table, f"write={part.write}", *names)
+
     # -------------------------------------------------------------------- tables
 
-    def read(self, table: str, with_batch: bool = False) -> DataFrame:
-        schema = table_schema(table)
-        path = self.path(table)
-        if self.exists(path):
-            df = self.spark.read.schema(schema).parquet(path)
-        else:
-            df = self.spark.createDataFrame([], schema)
-        names = ["test_run", *[n for n in schema.names if n not in PARTITIONS]]
+    def read_parts(self, table: str, parts: Iterable[Part]) -> DataFrame:
+        """The rows of some parts, with the partition columns; only their folders are listed."""
+        schema, paths = table_schema(table), [self.folder(p) for p in parts]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.path(table)).parquet(*paths)
+
+    def read(
+        self,
+        table: str,
+        with_batch: bool = False,
+        runs: Collection[str] | None = None,
+        since: datetime | None = None,
+        until: datetime | None = None,
+        commit: Commit | None = None,
+    ) -> DataFrame:
+        """The committed rows of a table, as of now or of a commit.
+
+        ``runs`` and a span of time [since, until) choose the parts by what the commit knows of them, and cut the rows.
+        """
+        commit = commit or self.commits.latest(STREAM_OF[table])
+        lo = None if since is None and until is None else (micros(since) if since else -(1 << 63))
+        hi = None if lo is None else (micros(until) if until else 1 << 63)
+        df = self.read_parts(table, commit.of(table, runs, lo, hi))
+        ts = time_column(table)
+        if since is not None:
+            df = df.where(F.col(ts) >= instant(since))
+        if until is not None:
+            df = df.where(F.col(ts) < instant(until))
+        hidden = ("write", *partitions(table))
+        names = ["test_run", *[n for n in table_schema(table).names if n not in hidden]]
         return df.select(*names, *(["batch_id"] if with_batch else []))
 
     def tables(self, now: datetime | None = None) -> dict[str, DataFrame]:
         """The ingested tables; with ``now`` without rows past their retention time."""
-        out = {t: self.read(t) for t in (*S.ALL_STREAMS, "txn_id_map")}
+        latest = {s: self.commits.latest(s) for s in S.ALL_STREAMS}
+        out = {t: self.read(t, commit=latest[STREAM_OF[t]]) for t in (*S.ALL_STREAMS, "txn_id_map")}
         return out if now is None else {t: unexpired(df, t, now) for t, df in out.items()}
 
-    def _overwrite(self, df: DataFrame, table: str) -> None:
-        (
-            df.select(*table_schema(table).names)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*PARTITIONS)
-            .parquet(self.path(table))
+    def write(self, table: str, df: DataFrame, label: str) -> list[Part]:
+        """Write rows with their partition columns under a fresh label: parts that no reader sees before they are committed."""
+        columns, ts = partitions(table), time_column(table)
+        names = [n for n in table_schema(table).names if n != "write"]
+        path = self.path(table, f"write={label}")
+        df.select(*names).write.partitionBy(*columns).parquet(path)
+        stamp = F.unix_micros(F.col(ts).cast("timestamp")) if ts else F.lit(None).cast("bigint")
+        written = self.spark.read.schema(table_schema(table)).option("basePath", self.path(table)).parquet(path)
+        found = (
+            written.groupBy(*columns)
+            .agg(F.count(F.lit(1)).alias("rows"), F.min(stamp).alias("lo"), F.max(stamp).alias("hi"))
+            .collect()
         )
+        if not found:
+            self.remove(path)
+        return [
+            Part(table, label, r["test_run"] if "test_run" in columns else None, r[columns[-1]], r["rows"], r["lo"], r["hi"])
+            for r in found
+        ]
 
     def write_batch(self, table: str, df: DataFrame, batch_id: int) -> None:
-        """Append the rows of one batch; repeating the batch replaces them."""
-        self._overwrite(df.withColumn("batch_id", F.lit(batch_id).cast("bigint")), table)
+        """Append rows to a table and commit them, outside of ingest."""
+        parts = self.write(table, df.withColumn("batch_id", F.lit(batch_id).cast("bigint")), self.label(batch_id))
+        self.change(STREAM_OF[table], parts)
+
+    @staticmethod
+    def label(name: str | int) -> str:
+        return f"{name}-{uuid.uuid4().hex[:12]}"
+
+    def change(self, stream: str, added: Iterable[Part] = (), gone: Iterable[Part] = (), **values) -> Commit:
+        """Commit parts that come and go; parts that went long enough ago are removed from disk."""
+        now = int(time.time())
+        new = self.commits.change(stream, added, gone, now, **values)
+        old = [p for p, at in new.garbage if at <= now - self.removed_after]
+        if old:
+            for p in old:
+                self.remove(self.folder(p))
+            dropped = set(old)
+            self.commits.change(stream, garbage=lambda base: tuple(g for g in base.garbage if g[0] not in dropped))
+        return new
+
+    def vacuum(self, older_than: int = 86_400) -> int:
+        """Remove writes that were never committed or have no part left, once they are that many seconds old."""
+        removed, limit = 0, (time.time() - older_than) * 1000
+        for table, stream in STREAM_OF.items():
+            commit = self.commits.latest(stream)
+            held = {p.write for p in commit.parts if p.table == table} | {p.write for p, _ in commit.garbage if p.table == table}
+            root, fs = self._fs(self.path(table))
+            for s in fs.listStatus(root) if fs.exists(root) else []:
+                name = s.getPath().getName()
+                if name.startswith("write=") and name.removeprefix("write=") not in held and s.getModificationTime() <= limit:
+                    self.remove(self.path(table, name))
+                    removed += 1
+        return removed
 
-    def replace_partitions(self, table: str, df: DataFrame, label: str) -> None:
-        """Put whole new partitions in place; ``df`` may read the old ones."""
-        staged = self.path("_staging", table, label)
-        if not self.exists(f"{staged}/_SUCCESS"):
-            df.select(*table_schema(table).names).write.mode("overwrite").parquet(staged)
-        self.resume(table, label)
+    def hold(self, df: DataFrame, label: str, name: str) -> DataFrame:
+        """Write ``df`` to the folder of an attempt, which goes when the attempt is over, and read it from there."""
+        path = self.path("_aside", label, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def release(self, label: str) -> None:
+        self.remove(self.path("_aside", label))
 
     def aside(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` to the store's staging folder, once per name, and read it from there."""
@@ -113,48 +225,27 @@ class Store:
             df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def resume(self, table: str, label: str) -> bool:
-        """Finish a replacement that was written aside but not put in place."""
-        staged = self.path("_staging", table, label)
-        if not self.exists(f"{staged}/_SUCCESS"):
-            return False
-        self._overwrite(self.spark.read.schema(table_schema(table)).parquet(staged), table)
-        self.remove(staged)
-        return True
-
-    def compact(self, table: str, stream: str | None = None, batches: int = COMPACTED_BATCHES) -> int:
-        """Join the partitions of closed batches; returns the number of folders that went.
-
-        Of each ``batches`` consecutive batch numbers (a day of the usual ones),
-        once all are committed and no repeat can reach them, each run keeps one
-        folder under the first number. A group is joined once. The joined rows
-        are written aside in full first; a repeat after a failure goes on from there.
+    def compact(self, table: str, batches: int = COMPACTED_BATCHES) -> int:
+        """Join the parts of closed batches; returns the number of parts that went.
+
+        Of each ``batches`` consecutive batch numbers (a day of the usual ones), once all are committed, each run
+        keeps one part under the first number. One commit puts it in the place of the others.
         """
-        done = self.state_batches(stream or table)
-        closed = done[-1] - 1 if done else -1
-        root, fs = self._fs(self.path(table))
-        folders = [
-            (run.getPath().getName(), int(b.getPath().getName().split("=", 1)[1]))
-            for run in (fs.listStatus(root) if fs.exists(root) else [])
-            if run.getPath().getName().startswith("test_run=")
-            for b in fs.listStatus(run.getPath())
-        ]
-        removed = 0
-        for first in sorted({n - n % batches for _, n in folders if n % batches}):
-            if first + batches - 1 > closed:
-                continue
-            staged = self.path("_staging", table, f"compact-{first}")
-            if not self.exists(f"{staged}/_SUCCESS"):
-                rows = self.read(table, True).where(F.col("batch_id").between(first, first + batches - 1))
-                joined = rows.withColumn("batch_id", F.lit(first).cast("bigint")).select(*table_schema(table).names)
-                joined.hint("rebalance", "test_run").write.mode("overwrite").parquet(staged)
-            self._overwrite(self.spark.read.schema(table_schema(table)).parquet(staged).hint("rebalance", "test_run"), table)
-            for run, n in folders:
-                if first < n < first + batches:
-                    self.remove(self.path(table, run, f"batch_id={n}"))
-                    removed += 1
-            self.remove(staged)
-        return removed
+        stream = STREAM_OF[table]
+        commit = self.commits.latest(stream)
+        groups: dict[tuple[str, int], list[Part]] = {}
+        for p in commit.of(table):
+            first = p.number - p.number % batches
+            if first + batches - 1 < commit.batch:
+                groups.setdefault((p.test_run, first), []).append(p)
+        gone = [p for parts in groups.values() if len(parts) > 1 for p in parts]
+        if not gone:
+            return 0
+        first = F.col("batch_id") - F.col("batch_id") % batches
+        joined = self.read_parts(table, gone).withColumn("batch_id", first).hint("rebalance", "test_run", "batch_id")
+        added = self.write(table, joined, self.label("compact"))
+        self.change(stream, added, gone)
+        return len(gone) - len(added)
 
     # -------------------------------------------------------------- run registry
 
@@ -178,26 +269,23 @@ class Store:
     def expire(self, now: datetime, keep_days: int = S.RETENTION_DAYS) -> int:
         """Drop what is past its retention time, in every table that has one.
 
-        Of the ingested tables whole partitions go, once all their rows are past
-        it; ``unexpired`` hides the rest. Expired runs go with their partitions,
-        as when they are deleted. State and callers' results lose the rows.
-        Returns the number of dropped partitions.
+        Of the ingested tables whole parts go, once all their rows are past it, which
+        the commits know without a look at the rows; ``unexpired`` hides the rest. Expired
+        runs go with their parts, as when they are deleted. State and callers' results lose
+        the rows. Returns the number of dropped parts.
         """
         limit = instant(now) - days(keep_days)
+        until = micros(now) - keep_days * 86_400_000_000
         dropped = 0
-        for table in S.ALL_STREAMS:
-            latest = self.read(table, True).groupBy(*PARTITIONS).agg(F.max(S.EVENT_TIME[table]).alias("ts"))
-            for row in latest.where(F.col("ts") <= limit).toLocalIterator():
-                self.remove(self.path(table, self._partition("test_run", row[0]), f"batch_id={row[1]}"))
-                dropped += 1
+        for stream in S.ALL_STREAMS:
+            commit = self.commits.latest(stream)
+            gone = [p for p in commit.of(stream) if p.hi is not None and p.hi <= until]
+            kept = lambda base: {r: m for r, m in base.marks.items() if m[1] > until}
+            if gone or len(kept(commit)) < len(commit.marks):
+                self.change(stream, gone=gone, marks=kept)
+            dropped += len(gone)
         for row in self.runs().where(F.col(S.TTL_COLUMN["runs"]) <= limit).collect():
             self.delete_run(row["test_run"])
-        for stream in S.ALL_STREAMS:
-            for n in self.state_batches(stream)[-1:]:
-                self._filter_folder(
-                    self.state_snapshot(stream, n), self.path("_state", stream, f"batch_id={n}"),
-                    F.col(S.TTL_COLUMN["ingest_state"]) <= limit,
-                )
         for table in CALLER_TABLES:
             self._filter_callers(table, F.col(S.TTL_COLUMN[table]) <= limit)
         return dropped
@@ -230,14 +318,18 @@ class Store:
 
     def reset(self) -> None:
         """Remove all tables, the registry and the state."""
-        for table in (*S.ALL_STREAMS, "txn_id_map", "_runs", "_state", "_plan", "_pending", "_metrics", "_staging", "_aside", *CALLER_TABLES):
+        for table in (*STREAM_OF, "_commits", "_runs", "_metrics", "_aside", *CALLER_TABLES):
             self.remove(self.path(table))
 
     def delete_run(self, test_run: str) -> None:
-        """Drop a run, its partitions in the tables that follow it and its rows in
-        callers' results; its ingest state stays until it expires."""
-        for table in (*S.ALL_STREAMS, "txn_id_map"):
-            self.remove(self.path(table, self._partition("test_run", test_run)))
+        """Drop a run, its parts in the tables that follow it and its rows in callers'
+        results, from disk too; its ingest state stays until it expires."""
+        for stream in S.ALL_STREAMS:
+            gone = [p for p in self.commits.latest(stream).parts if p.test_run == test_run]
+            if gone:
+                self.change(stream, gone=gone)
+                for p in gone:
+                    self.remove(self.folder(p))
         self._filter_callers("caller_contention_results", F.col("test_run") == test_run)
         done = self.numbers(self.path("_runs"))
         if done:
@@ -246,64 +338,19 @@ class Store:
 
     # --------------------------------------------------------------- ingest state
 
-    def state_batches(self, stream: str) -> list[int]:
-        return self.numbers(self.path("_state", stream))
-
-    def state_snapshot(self, stream: str, batch_id: int) -> DataFrame:
-        return self._snapshot("_state", stream, batch_id)
-
-    def has_plan(self, stream: str, batch_id: int) -> bool:
-        return self.exists(self.path("_plan", stream, f"batch_id={batch_id}", "_SUCCESS"))
-
-    def plan(self, stream: str, batch_id: int) -> DataFrame:
-        """What a batch has set out to read, and the state after it; not yet in force."""
-        return self._snapshot("_plan", stream, batch_id)
+    def last_batch(self, stream: str) -> int:
+        """The latest committed batch, -1 before the first."""
+        return self.commits.latest(stream).batch
 
-    def _snapshot(self, kind: str, stream: str, batch_id: int) -> DataFrame:
-        schema = S.flat_schema(
-            "test_run STRING, stream STRING, watermark_ts TIMESTAMP, updated_at TIMESTAMP, "
-            "database_name STRING, from_ts TIMESTAMP, to_ts TIMESTAMP"
-        )
-        return self.spark.read.schema(schema).parquet(self.path(kind, stream, f"batch_id={batch_id}"))
-
-    def write_plan(self, stream: str, df: DataFrame, batch_id: int) -> None:
-        df.coalesce(1).write.mode("overwrite").parquet(self.path("_plan", stream, f"batch_id={batch_id}"))
-
-    def commit_state(self, stream: str, df: DataFrame, batch_id: int) -> None:
-        """Put the planned state in force: the last step of a batch. Older plans, states and rows put aside go."""
-        df.coalesce(1).write.mode("overwrite").parquet(self.path("_state", stream, f"batch_id={batch_id}"))
-        for old in self.state_batches(stream):
-            if old < batch_id - 1:
-                self.remove(self.path("_state", stream, f"batch_id={old}"))
-                self.remove(self.path("_plan", stream, f"batch_id={old}"))
-        for name in (f"{stream}-{batch_id}-rows", f"{stream}-{batch_id}-hit", f"{stream}-{batch_id}-written", f"{stream}-backfill-{batch_id}-counts"):
-            self.remove(self.path("_aside", name))
-
-    def state(self, before: dict[str, int] | None = None) -> DataFrame:
-        """Watermarks of all streams, each after its latest batch (before a given one)."""
-        out = self.spark.createDataFrame([], S.INGEST_STATE)
+    def state(self) -> DataFrame:
+        """Watermarks of all streams after their latest batches."""
+        rows = []
         for stream in S.ALL_STREAMS:
-            done = [n for n in self.state_batches(stream) if before is None or n < before.get(stream, n + 1)]
-            if done:
-                out = out.unionByName(self.state_snapshot(stream, done[-1]).select(*S.INGEST_STATE.names))
-        return out
-
-    # -------------------------------------------------------------- pending rows
-
-    def pending(self, stream: str, batch_id: int) -> DataFrame | None:
-        """Rows kept by the latest batch before ``batch_id``."""
-        done = [n for n in self.numbers(self.path("_pending", stream)) if n < batch_id]
-        if not done:
-            return None
-        path = self.path("_pending", stream, f"batch_id={done[-1]}")
-        return self.spark.read.schema(S.STREAM_SCHEMAS[stream]).parquet(path)
-
-    def write_pending(self, stream: str, df: DataFrame, batch_id: int) -> None:
-        folder = self.path("_pending", stream)
-        df.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
-        for old in self.numbers(folder):
-            if old < batch_id - 1:
-                self.remove(f"{folder}/batch_id={old}")
+            rows += [(run, stream, *marks) for run, marks in self.commits.latest(stream).marks.items()]
+        plain = self.spark.createDataFrame(rows, "test_run string, stream string, mark long, updated long")
+        return plain.select(
+            "test_run", "stream", F.timestamp_micros("mark").alias("watermark_ts"), F.timestamp_micros("updated").alias("updated_at")
+        )
 
     # ------------------------------------------------------------------- metrics
 
