@@ -17,6 +17,7 @@ number of documents; blocks of a bucket are split, so no task reads all document
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,9 +34,12 @@ from llm.words import chunks, text_bytes
 
 BLOCK = 4_000_000  # bytes of text in a block
 CHUNK = 1_000_000  # bytes encoded at once
-LINKS = 1_000_000  # links expanded at once
-FAN = 16
+SEGMENTS = 300_000  # segments whose ids a task remembers
+TOGETHER = 2_000  # new segments encoded as one text
+LINKS = 250_000  # links expanded at once
+FAN = 64
 _STEP = (1 << 32) + 1
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _BLOCKS = "block long, ids array<long>, sizes binary, a binary, b binary"
 _PAIRS = "bucket int, block long, pairs binary"
 _RESULT = (
@@ -83,16 +87,77 @@ def lengths(path_a: str, path_b: str) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
-def encode_both(texts: list[str], path_a: str, path_b: str) -> list[tuple[list[int], list[int]]]:
-    """Ids of either side; none at all where the bytes of one are not those of a space and the text."""
-    (encode_a, bytes_a), (encode_b, bytes_b) = first_tokenizer(path_a), second_tokenizer(path_b)
-    distinct = [t for t in dict.fromkeys(texts) if t]
-    found: dict[str, tuple[list[int], list[int]]] = {}
-    for text, a, b in zip(distinct, encode_a(distinct), encode_b(distinct), strict=True):
-        whole = b" " + text.encode()
-        same = b"".join(map(bytes_a.__getitem__, a)) == whole and b"".join(map(bytes_b.__getitem__, b)) == whole
-        found[text] = (a, b) if same else ([], [])
-    return [found.get(t, ([], [])) for t in texts]
+def segments(text: str) -> list[str]:
+    """Parts of a text, cut at every space between two other characters; that space is left out.
+
+    The first tokenizer always ends a token before such a space, and no piece of the second one holds a space
+    after another character, so the tokens of a text are those of its segments, each with a space in front.
+    """
+    return _BETWEEN.split(text)
+
+
+class Encoder:
+    """Encodes texts on either side; the ids of segments met before are looked up, as bytes of 32-bit numbers."""
+
+    def __init__(self, path_a: str, path_b: str):
+        (self.encode_a, self.bytes_a), (self.encode_b, self.bytes_b) = first_tokenizer(path_a), second_tokenizer(path_b)
+        self.apart = all(b" " not in known.lstrip(b" ") for known in self.bytes_b)
+        self.sizes = lengths(path_a, path_b)
+        self.seen_a: dict[str, bytes] = {}
+        self.seen_b: dict[str, bytes] = {}
+        self.unlike: set[str] = set()
+
+    def whole(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of either side; None where the bytes of one are not those of a space and the text."""
+        a, b = self.encode_a([text])[0], self.encode_b([text])[0]
+        expected = b" " + text.encode()
+        same = b"".join(map(self.bytes_a.__getitem__, a)) == expected and b"".join(map(self.bytes_b.__getitem__, b)) == expected
+        return (np.array(a, np.uint32), np.array(b, np.uint32)) if same else None
+
+    def _learn(self, segs: list[str]) -> None:
+        """Segments are encoded as one text and cut where they end; in halves if a side does not give that back."""
+        found = self.whole(" ".join(segs))
+        if found:
+            ends = np.cumsum([1 + len(s.encode()) for s in segs])
+            for ids, sizes, seen in zip(found, self.sizes, (self.seen_a, self.seen_b), strict=True):
+                at = np.cumsum(sizes[ids])
+                last = np.searchsorted(at, ends)
+                if (at[last] != ends).any():
+                    raise ValueError("a token goes on beyond its segment")
+                raw, cuts = ids.tobytes(), [0, *((last + 1) * 4).tolist()]
+                seen.update(zip(segs, [raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+        elif len(segs) == 1:
+            self.unlike.add(segs[0])
+            self.seen_a[segs[0]] = self.seen_b[segs[0]] = b""
+        else:
+            half = len(segs) // 2
+            self._learn(segs[:half])
+            self._learn(segs[half:])
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of every text; none where a side does not give the text back."""
+        nothing = (np.zeros(0, np.uint32), np.zeros(0, np.uint32))
+        if not self.apart:
+            return [(self.whole(t) or nothing) if t else nothing for t in texts]
+        parts = [segments(t) if t else [] for t in texts]
+        if len(self.seen_a) > SEGMENTS:
+            self.seen_a, self.seen_b, self.unlike = {}, {}, set()
+        new = list({s for segs in parts for s in segs} - self.seen_a.keys())
+        closed = [s for s in new if not (s[0].isspace() or s[-1].isspace())]
+        for k in range(0, len(closed), TOGETHER):
+            self._learn(closed[k : k + TOGETHER])
+        if len(closed) < len(new):  # at either end of a text: space would run on into the next segment
+            for s in new:
+                if s[0].isspace() or s[-1].isspace():
+                    self._learn([s])
+        out = []
+        for text, segs in zip(texts, parts, strict=True):
+            if self.unlike and not self.unlike.isdisjoint(segs):
+                out.append(self.whole(text) or nothing)
+                continue
+            both = (b"".join(map(seen.__getitem__, segs)) for seen in (self.seen_a, self.seen_b))
+            out.append(tuple(np.frombuffer(ids, np.uint32) for ids in both))
+        return out
 
 
 def _encode(path_a: str, path_b: str, block: int):
@@ -100,7 +165,7 @@ def _encode(path_a: str, path_b: str, block: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        number = TaskContext.get().partitionId()
+        number, encoder = TaskContext.get().partitionId(), Encoder(path_a, path_b)
         ids, sizes, sides, held = [], [], ([], []), 0
 
         def out() -> pa.RecordBatch:
@@ -121,10 +186,10 @@ def _encode(path_a: str, path_b: str, block: int):
             for first, last in chunks(offsets, CHUNK):
                 texts = [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()]
                 ids += batch.column(0).slice(first, last - first).to_pylist()
-                for a, b in encode_both(texts, path_a, path_b):
+                for a, b in encoder.encode(texts):
                     sizes.append((len(a), len(b)))
-                    sides[0].append(np.array(a, np.uint32))
-                    sides[1].append(np.array(b, np.uint32))
+                    sides[0].append(a)
+                    sides[1].append(b)
                 held += int(offsets[last] - offsets[first])
                 if held >= block:
                     yield out()

@@ -152,3 +152,17 @@ def test_perfect_hash():
         assert sorted(function.find(keys).tolist()) == list(range(len(keys))) and function.size == len(keys)
     with pytest.raises(ValueError, match="not in the hash"):
         token_alignment.verified(function, keys[np.argsort(function.find(keys))], np.array([12345], np.uint64))
+
+
+def test_segments_give_the_ids_of_whole_texts():
+    import random
+
+    encoder = token_alignment.Encoder(A, B)
+    assert encoder.apart
+    rng = random.Random(8)
+    parts = ["word", "Don't", "x,", "\n", " ", "  ", "\t", " ", "é", "日本", "12", "###", "...", "\x1c", " y", "🙂", "'s", "a\nb", ""]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    for text, (a, b) in zip(texts, encoder.encode(texts), strict=True):
+        whole = encoder.whole(text) if text else None
+        assert (a.tolist(), b.tolist()) == (([], []) if whole is None else (whole[0].tolist(), whole[1].tolist())), text
