@@ -17,7 +17,6 @@ number of documents; blocks of a bucket are split, so no task reads all document
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,16 +29,15 @@ from pyspark.sql import functions as F
 from llm.packed import by_group, gather, pack, spread, unpack
 from llm.perfect_hash import PerfectHash
 from llm.scratch import blocks, keep
+from llm.segments import SEGMENTS, TOGETHER, byte_level, open_ended, segments
 from llm.words import chunks, text_bytes
 
 BLOCK = 4_000_000  # bytes of text in a block
 CHUNK = 1_000_000  # bytes encoded at once
-SEGMENTS = 300_000  # segments whose ids a task remembers
-TOGETHER = 2_000  # new segments encoded as one text
+TOKENS = 500_000  # tokens of both sides aligned at once
 LINKS = 250_000  # links expanded at once
 FAN = 64
 _STEP = (1 << 32) + 1
-_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _BLOCKS = "block long, ids array<long>, sizes binary, a binary, b binary"
 _PAIRS = "bucket int, block long, pairs binary"
 _RESULT = (
@@ -54,11 +52,7 @@ def first_tokenizer(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in printable]
-    of_char = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
-    entries = [tokenizer.id_to_token(k) for k in range(tokenizer.get_vocab_size())]
-    known = [bytes(of_char[c] for c in e) if all(c in of_char for c in e) else e.encode() for e in entries]
+    known = byte_level([tokenizer.id_to_token(k) for k in range(tokenizer.get_vocab_size())])
 
     def encode(texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
@@ -87,17 +81,12 @@ def lengths(path_a: str, path_b: str) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
-def segments(text: str) -> list[str]:
-    """Parts of a text, cut at every space between two other characters; that space is left out.
+class Encoder:
+    """Encodes texts on either side; the ids of segments met before are looked up, as bytes of 32-bit numbers.
 
-    The first tokenizer always ends a token before such a space, and no piece of the second one holds a space
-    after another character, so the tokens of a text are those of its segments, each with a space in front.
+    That no piece of the second tokenizer holds a space after another character is checked; then its tokens end at a
+    segment's end too. Otherwise whole texts are encoded.
     """
-    return _BETWEEN.split(text)
-
-
-class Encoder:
-    """Encodes texts on either side; the ids of segments met before are looked up, as bytes of 32-bit numbers."""
 
     def __init__(self, path_a: str, path_b: str):
         (self.encode_a, self.bytes_a), (self.encode_b, self.bytes_b) = first_tokenizer(path_a), second_tokenizer(path_b)
@@ -143,12 +132,12 @@ class Encoder:
         if len(self.seen_a) > SEGMENTS:
             self.seen_a, self.seen_b, self.unlike = {}, {}, set()
         new = list({s for segs in parts for s in segs} - self.seen_a.keys())
-        closed = [s for s in new if not (s[0].isspace() or s[-1].isspace())]
+        closed = [s for s in new if not open_ended(s)]
         for k in range(0, len(closed), TOGETHER):
             self._learn(closed[k : k + TOGETHER])
-        if len(closed) < len(new):  # at either end of a text: space would run on into the next segment
+        if len(closed) < len(new):
             for s in new:
-                if s[0].isspace() or s[-1].isspace():
+                if open_ended(s):
                     self._learn([s])
         out = []
         for text, segs in zip(texts, parts, strict=True):
@@ -208,17 +197,24 @@ class Alignment:
     token of each group on either side, with their number at the end.
     """
 
-    def __init__(self, sizes: bytes, a: bytes, b: bytes, length_a: np.ndarray, length_b: np.ndarray):
-        self.n_a, self.n_b = unpack(sizes, np.int64, np.int64)
-        (a,), (b,) = unpack(a, np.uint32), unpack(b, np.uint32)
-        self.a, self.b = a.astype(np.int64), b.astype(np.int64)
-        ends_a, ends_b = np.cumsum(length_a[self.a]), np.cumsum(length_b[self.b])
+    def __init__(self, n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray, length_a: np.ndarray, length_b: np.ndarray):
+        self.n_a, self.n_b, self.a, self.b = n_a, n_b, a.astype(np.int64), b.astype(np.int64)
+        ends_a, ends_b = np.cumsum(length_a[self.a], dtype=np.int64), np.cumsum(length_b[self.b], dtype=np.int64)
         last_a = np.flatnonzero(np.isin(ends_a, ends_b, assume_unique=True, kind="sort"))
         last_b = np.searchsorted(ends_b, ends_a[last_a])
         self.a_at, self.b_at = np.append(0, last_a + 1), np.append(0, last_b + 1)
         self.docs = np.searchsorted(self.a_at, np.append(0, np.cumsum(self.n_a)))
         self.per_group = np.diff(self.a_at) * np.diff(self.b_at)
 
+    @classmethod
+    def of_block(cls, row: dict, sizes: tuple[np.ndarray, np.ndarray], tokens: int = TOKENS) -> Iterator[Alignment]:
+        """The documents of an encoded block in portions of about ``tokens`` tokens, one document at least."""
+        n_a, n_b = unpack(row["sizes"], np.int64, np.int64)
+        (a,), (b,) = unpack(row["a"], np.uint32), unpack(row["b"], np.uint32)
+        at_a, at_b = np.append(0, np.cumsum(n_a)), np.append(0, np.cumsum(n_b))
+        for first, last in chunks(at_a + at_b, tokens):
+            yield cls(n_a[first:last], n_b[first:last], a[at_a[first] : at_a[last]], b[at_b[first] : at_b[last]], *sizes)
+
     def n_groups(self) -> np.ndarray:
         return np.diff(self.docs)
 
@@ -294,12 +290,7 @@ class Alignment:
             every.append(some)
             counts.append(count)
         close()
-        if not every:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        pair, back = np.unique(np.concatenate(every), return_inverse=True)
-        out = np.zeros(len(pair), np.int64)
-        np.add.at(out, back, np.concatenate(counts))
-        return pair, out
+        return added(every, counts)
 
     def digests(self) -> list[str]:
         """Of every document: its groups as ``a1,a2|b1;a3|b2,b3`` in decimal ids, hashed; '' without tokens."""
@@ -326,12 +317,26 @@ def _strings(thousands: int) -> tuple[list[str], int]:
     return [f"{k}{mark}" for mark in ",|;" for k in range(size)], size
 
 
-def _align(path_a: str, path_b: str, buckets: int):
+def _row(batch: pa.RecordBatch, k: int) -> dict:
+    return {c: batch[c][k].as_py() for c in ("sizes", "a", "b")}
+
+
+def added(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of several lists, with the sums of their counts."""
+    if not pairs:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    pair, back = np.unique(np.concatenate(pairs), return_inverse=True)
+    out = np.zeros(len(pair), np.int64)
+    np.add.at(out, back, np.concatenate(counts))
+    return pair, out
+
+
+def _align(sizes: tuple[np.ndarray, np.ndarray], buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = lengths(path_a, path_b)
         for batch in batches:
             for k in range(batch.num_rows):
-                pair, count = Alignment(*(batch[c][k].as_py() for c in ("sizes", "a", "b")), *sizes).pairs()
+                found = [portion.pairs() for portion in Alignment.of_block(_row(batch, k), sizes)]
+                pair, count = added([p for p, _ in found], [c for _, c in found])
                 bucket = bucket_of(pair, buckets)
                 order = np.argsort(bucket, kind="stable")
                 pair, count, bucket = pair[order], count[order], bucket[order]
@@ -463,11 +468,10 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _report(path_a: str, path_b: str):
+def _report(sizes: tuple[np.ndarray, np.ndarray]):
     """Second pass: the pairs of a block come first, then its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = lengths(path_a, path_b)
         held: list[bytes] = []
         for batch in batches:
             for k in range(batch.num_rows):
@@ -477,18 +481,20 @@ def _report(path_a: str, path_b: str):
                 pair, count, best = gather(held, np.uint64, np.int64, np.bool_)
                 order = np.argsort(pair)
                 pair, count, best = pair[order], count[order], best[order]
-                held = []
-                found = Alignment(*(batch[c][k].as_py() for c in ("sizes", "a", "b")), *sizes)
-                total, n_best = np.zeros(len(found.n_a), np.int64), np.zeros(len(found.n_a), np.int64)
-                for doc, link, times in found.links():
-                    at = np.searchsorted(pair, link)
-                    np.add.at(total, doc, count[at] * times)
-                    np.add.at(n_best, doc, best[at] * times)
-                columns = [found.n_a, found.n_b, found.n_groups(), found.n_links(), n_best, total]
-                yield pa.RecordBatch.from_arrays(
-                    [batch["ids"][k].values, *(pa.array(c, pa.int64()) for c in columns), pa.array(found.digests(), pa.string())],
-                    [c.split()[0] for c in _RESULT.split(", ")],
-                )
+                held, done = [], 0
+                for found in Alignment.of_block(_row(batch, k), sizes):
+                    total, n_best = np.zeros(len(found.n_a), np.int64), np.zeros(len(found.n_a), np.int64)
+                    for doc, link, times in found.links():
+                        at = np.searchsorted(pair, link)
+                        np.add.at(total, doc, count[at] * times)
+                        np.add.at(n_best, doc, best[at] * times)
+                    columns = [found.n_a, found.n_b, found.n_groups(), found.n_links(), n_best, total]
+                    ids = batch["ids"][k].values.slice(done, len(total))
+                    done += len(total)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids, *(pa.array(c, pa.int64()) for c in columns), pa.array(found.digests(), pa.string())],
+                        [c.split()[0] for c in _RESULT.split(", ")],
+                    )
 
     return run
 
@@ -504,8 +510,9 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     encoded = keep(base.mapInArrow(_encode(path_a, path_b, block), _BLOCKS), "encoded")
+    sizes = tuple(x.astype(np.int32) for x in lengths(path_a, path_b))
     buckets, shares = blocks(spark, 1), max(1, -(-encoded.count() // FAN))
-    pairs = keep(encoded.select("block", "sizes", "a", "b").mapInArrow(_align(path_a, path_b, buckets), _PAIRS), "pairs")
+    pairs = keep(encoded.select("block", "sizes", "a", "b").mapInArrow(_align(sizes, buckets), _PAIRS), "pairs")
     hashes = keep(
         pairs.select("bucket", "pairs")
         .repartitionById(buckets, F.col("bucket"))
@@ -551,6 +558,6 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     return (
         streamed.repartitionById(2 * buckets, F.pmod("block", F.lit(2 * buckets)).cast("int"))
         .sortWithinPartitions("block", "kind")
-        .mapInArrow(_report(path_a, path_b), _RESULT)
+        .mapInArrow(_report(sizes), _RESULT)
         .withColumnRenamed("id", id_col)
     )

@@ -129,7 +129,7 @@ def test_links_in_any_portions(limit, monkeypatch):
         a += x.tolist()
         b += y
     one, two = np.array(sizes).T
-    made = Alignment(pack(one, two), pack(np.array(a, np.uint32)), pack(np.array(b, np.uint32)), width, width)
+    made = Alignment(one, two, np.array(a), np.array(b), width, width)
     whole = Counter()
     for doc, pair, times in made.links(10**9):
         for d, p, t in zip(doc.tolist(), pair.tolist(), times.tolist(), strict=True):
@@ -140,8 +140,11 @@ def test_links_in_any_portions(limit, monkeypatch):
             cut[d, p] += t
     assert cut == whole and sum(whole.values()) == made.n_links().sum()
     monkeypatch.setattr(Alignment.links, "__defaults__", (limit,))
-    pair, count = made.pairs()
-    assert dict(zip(pair.tolist(), count.tolist(), strict=True)) == Counter(p for _, p in whole)
+    row = {"sizes": pack(one, two), "a": pack(np.array(a, np.uint32)), "b": pack(np.array(b, np.uint32))}
+    for portions in ([made], list(Alignment.of_block(row, (width, width), 40))):
+        found = [p.pairs() for p in portions]
+        pair, count = token_alignment.added([p for p, _ in found], [c for _, c in found])
+        assert dict(zip(pair.tolist(), count.tolist(), strict=True)) == Counter(p for _, p in whole)
 
 
 def test_perfect_hash():
