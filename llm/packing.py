@@ -9,13 +9,13 @@ from an emptier bin to a fuller one, so that the sum of squared fills grows and
 the emptiest bins run dry. Bins that stay below ``reopen`` of a sequence are
 opened and packed once more together with those of ``MERGED`` shards.
 
-Token ids come from ``tiktoken``, whose ranks are the same vocabulary: it gives
-the same ids as ``tokenizers`` (tested) at a fifth of the time.
+Token ids come from ``tokenizers``; segments of text met before are looked up
+(``llm.segments``).
 """
 
 from __future__ import annotations
 
-import base64
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,32 +25,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.scratch import keep
+from llm.segments import TextIds
+from llm.words import chunks, text_bytes
 
 CAPACITY, END_ID = 1024, 2
+CHUNK = 1_000_000  # bytes of text encoded at once
 SHARD, MERGED = 4000, 100
 REOPEN = 0.98
 
-# Fixed values of the vocabulary: its word pattern and its special token.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SPECIAL = {"<|endoftext|>": 50256}
-
-
-def _encoding(path: str):
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
-
-
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(path).encode_to_numpy
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encoder = TextIds(path)
+
+        def encoded(texts: pa.Array) -> Iterator[np.ndarray]:
+            for first, last in chunks(text_bytes(texts)[1], CHUNK):
+                yield from encoder.encode([t or "" for t in texts.slice(first, last - first).to_pylist()])
+
         for batch in batches:
             where, out = [], {k: [] for k in ("piece", "start", "length", "crc", "ids")}
-            for k, text in enumerate(batch.column(1)):
-                text = text.as_py()
-                ids = np.append(encode(text, allowed_special="all"), end_id).astype("<u4") if text else np.array([end_id], "<u4")
+            for k, found in enumerate(encoded(batch.column(1))):
+                ids = np.append(found, end_id).astype("<u4")
                 first = len(ids) % capacity
                 cuts = [0, *range(first or capacity, len(ids) + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
@@ -131,7 +126,10 @@ class _Donors:
 
 
 def _improve(bins: list[list[int]], lengths: list[int], capacity: int) -> bool:
-    """One round over the bins, fullest first; receivers take from emptier bins only. True if anything moved."""
+    """One round over the bins, fullest first; receivers take from emptier bins only. True if anything moved.
+
+    An exchange counts only if what leaves finds room and the sum of squared fills grows; otherwise the bin looks for another.
+    """
     fill = [sum(lengths[k] for k in b) for b in bins]
     order = sorted(range(len(bins)), key=lambda b: -fill[b])
     donors = _Donors(capacity)
@@ -142,6 +140,7 @@ def _improve(bins: list[list[int]], lengths: list[int], capacity: int) -> bool:
     for b in order:
         for k in bins[b]:
             donors.drop(b, k, lengths[k])
+        barred: set[tuple] = set()  # (number that come, lengths that leave) found not to work
         while bins[b] and fill[b] < capacity:
             free = capacity - fill[b]
             own: dict[int, int] = {}
@@ -149,15 +148,17 @@ def _improve(bins: list[list[int]], lengths: list[int], capacity: int) -> bool:
                 own.setdefault(lengths[k], k)
             # (gain, what leaves this bin, lengths that come)
             best: tuple[int, list[int], list[int]] = (0, [], [])
-            if got := donors.longest(0, free):
+            if (1,) not in barred and (got := donors.longest(0, free)):
                 best = (got, [], [got])
             for size, k in own.items():
                 if best[0] == free:
                     break
                 got = donors.longest(size, min(size + free, capacity))
-                if got and got - size > best[0]:
+                if got and got - size > best[0] and (1, size) not in barred:
                     best = (got - size, [k], [got])
                 half = donors.longest(size // 2, size + free - 1)  # two come for one
+                if (2, size) in barred:
+                    continue
                 if half and (rest := donors.longest(0, size + free - half)) and half + rest - size > best[0]:
                     if rest != half or len(donors.at[half]) > 1:
                         best = (half + rest - size, [k], [half, rest])
@@ -169,7 +170,7 @@ def _improve(bins: list[list[int]], lengths: list[int], capacity: int) -> bool:
                     if x + y >= capacity:
                         break
                     got = donors.longest(x + y, min(x + y + free, capacity))
-                    if got and got - x - y > best[0]:
+                    if got and got - x - y > best[0] and (1, x, y) not in barred:
                         best = (got - x - y, [own[x], own[y]], [got])
             gain, leave, come = best
             if not gain:
@@ -183,14 +184,19 @@ def _improve(bins: list[list[int]], lengths: list[int], capacity: int) -> bool:
                 fill[other] -= size
                 taken.append((other, k))
             target = taken[0][0]
-            if len(taken) == 2 and leave and fill[target] + sum(lengths[k] for k in leave) > capacity:
+            if len(taken) == 2 and fill[target] + sum(lengths[k] for k in leave) > capacity:
                 target = taken[1][0]
-            if leave and fill[target] + sum(lengths[k] for k in leave) > capacity:
-                for other, k in taken:  # no room for what would leave: put everything back and stop here
+            gone = sum(lengths[k] for k in leave)
+            after = {other: fill[other] + gone * (other == target) for other, _ in taken}
+            before = {other: fill[other] + sum(lengths[k] for o, k in taken if o == other) for other in after}
+            grows = (fill[b] + gain) ** 2 - fill[b] ** 2 + sum(after[o] ** 2 - before[o] ** 2 for o in after) > 0
+            if after[target] > capacity or not grows:
+                for other, k in taken:  # put everything back and look for another exchange
                     bins[other].append(k)
                     fill[other] += lengths[k]
                     donors.add(other, k, lengths[k])
-                break
+                barred.add((len(come), *(lengths[k] for k in leave)))
+                continue
             for k in leave:
                 bins[b].remove(k)
                 bins[target].append(k)
@@ -202,16 +208,18 @@ def _improve(bins: list[list[int]], lengths: list[int], capacity: int) -> bool:
     return moved
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 20) -> list[list[int]]:
-    """Fill the fuller bins from the emptier ones until nothing improves; emptied bins go."""
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Fill the fuller bins from the emptier ones until nothing improves; emptied bins go.
+
+    Every change makes the sum of squared fills grow, so the search ends.
+    """
     done = [b for b in bins if sum(lengths[k] for k in b) >= capacity]
     rest = [b for b in bins if sum(lengths[k] for k in b) < capacity]
-    for _ in range(rounds):
+    moved = True
+    while moved:
         moved = _improve(rest, lengths, capacity)
         done += [b for b in rest if b and sum(lengths[k] for k in b) >= capacity]
         rest = [b for b in rest if b and sum(lengths[k] for k in b) < capacity]
-        if not moved:
-            break
     return done + rest
 
 

@@ -63,7 +63,7 @@ def urls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_sequences(_table(spark, folder, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.pack_sequences(_table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def pieces(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -187,7 +188,7 @@ def test_urls(spark):
 
 def test_packing(spark, documents, texts):
     tokens = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
-    rows = packing.pack_sequences(documents, queries.vocabulary("byte_bpe_50k.tiktoken"), shard=10, with_ids=True).collect()
+    rows = packing.pack_sequences(documents, queries.vocabulary("byte_bpe_50k.json"), shard=10, with_ids=True).collect()
     ids = {i: [*tokens.encode(t or "", add_special_tokens=False).ids, 2] for i, t in texts.items()}
     pieces, filled = {}, {}
     for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
@@ -205,7 +206,41 @@ def test_packing(spark, documents, texts):
         assert at <= 1024
     total = sum(map(len, ids.values()))
     assert len(filled) <= -(-total // 1024) + 1
-    assert packing.pack_sequences(documents.limit(0), queries.vocabulary("byte_bpe_50k.tiktoken")).collect() == []
+    assert packing.pack_sequences(documents.limit(0), queries.vocabulary("byte_bpe_50k.json")).collect() == []
+
+
+def test_segment_ids_are_those_of_the_library():
+    """On the whole table of 1000 documents and on texts that mix spaces, special tokens and scripts."""
+    import random
+
+    import pyarrow.parquet as pq
+
+    from llm.segments import TextIds
+
+    tokens, fast = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json")), TextIds(queries.vocabulary("byte_bpe_50k.json"))
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    rng = random.Random(6)
+    parts = ["word", "Don't", "x,", "\n", " ", "  ", "\t", "\u00a0", "é", "日本", "12", "<|endoftext|>", "...", "\x1c", " y", "🙂", "'s", "a\nb", ""]
+    for joint in (" ", ""):
+        texts += [joint.join(rng.choice(parts) for _ in range(rng.randrange(0, 14))) for _ in range(2000)]
+    for first in range(0, len(texts), 500):
+        some = texts[first : first + 500]
+        plain = [e.ids for e in tokens.encode_batch(some, add_special_tokens=False)]
+        assert [x.tolist() for x in fast.encode(some)] == plain
+
+
+def test_local_search_ends_with_fuller_bins():
+    import random
+
+    rng = random.Random(11)
+    for _ in range(150):
+        lengths = [rng.randrange(1, 60) for _ in range(rng.randrange(2, 60))]
+        bins = packing.best_fit(np.array(lengths), 100) if rng.random() < 0.5 else [[k] for k in range(len(lengths))]
+        was = sum(sum(lengths[k] for k in b) ** 2 for b in bins)
+        now = packing.local_search([list(b) for b in bins], lengths, 100)
+        assert sorted(k for b in now for k in b) == list(range(len(lengths)))
+        fills = [sum(lengths[k] for k in b) for b in now]
+        assert max(fills) <= 100 and sum(f * f for f in fills) >= was
 
 
 def test_local_search_empties_bins():
