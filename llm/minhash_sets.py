@@ -9,8 +9,6 @@ import pyarrow as pa
 
 from llm.words import mix, run_hashes, words
 
-ROUNDS = 64  # tries of the densification before it looks for the next filled bin in order
-
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Per chunk: its first row, all sets one after the other, where each begins.
@@ -41,7 +39,7 @@ def sketches(hashes: np.ndarray, begin: np.ndarray, bins: int) -> np.ndarray:
     One hash permutes the members: its high bits name the bin, and a bin keeps
     its least value. An empty bin copies a filled one chosen by a hash of (bin,
     try), the same for every set (optimal densification), so that two sets
-    agree in a bin with the probability of their likeness.
+    agree in a bin with the probability of their likeness. It goes on until every bin is filled.
     """
     rows = len(begin) - 1
     owner = np.repeat(np.arange(rows), np.diff(begin))
@@ -54,17 +52,18 @@ def sketches(hashes: np.ndarray, begin: np.ndarray, bins: int) -> np.ndarray:
     filled = out != top
     some = filled.any(axis=1)
     empty_row, empty_bin = np.nonzero(~filled & some[:, None])
-    for attempt in range(ROUNDS):
-        if not len(empty_row):
-            break
-        aim = mix(empty_bin.astype(np.uint64) * np.uint64(ROUNDS) + np.uint64(attempt + 1))
+    alone = filled.sum(axis=1)[empty_row] == 1  # any number of tries ends in the one filled bin
+    only = filled.argmax(axis=1)[empty_row[alone]]
+    out[empty_row[alone], empty_bin[alone]] = out[empty_row[alone], only]
+    empty_row, empty_bin = empty_row[~alone], empty_bin[~alone]
+    attempt = 0
+    while len(empty_row):
+        attempt += 1
+        aim = mix((empty_bin.astype(np.uint64) << np.uint64(32)) + np.uint64(attempt))
         aim = ((aim >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
         hit = filled[empty_row, aim]
         out[empty_row[hit], empty_bin[hit]] = out[empty_row[hit], aim[hit]]
         empty_row, empty_bin = empty_row[~hit], empty_bin[~hit]
-    for r, b in zip(empty_row, empty_bin, strict=True):  # very small sets: the next filled bin
-        full = np.flatnonzero(filled[r])
-        out[r, b] = out[r, full[np.searchsorted(full, b) % len(full)]]
     out[~some] = 0
     return out
 

@@ -100,8 +100,10 @@ def _weigh(asked: pa.Table, counted: pa.Table) -> pa.Table:
     held = every[at] == terms if len(every) else np.zeros(len(terms), bool)
     terms, ids, df = terms[held], ids[held], df[at[held]]
     order = np.lexsort((terms, ids))
-    terms, ids = terms[order], ids[order]
-    df = df[order].astype(np.int64)
+    terms, ids, df = terms[order], ids[order], df[order].astype(np.int64)
+    new = np.ones(len(terms), bool)  # a term counts once, also where several rows of a query hold it
+    new[1:] = (terms[1:] != terms[:-1]) | (ids[1:] != ids[:-1])
+    terms, ids, df = terms[new], ids[new], df[new]
     parts = [(q, pack(terms[r], df[r])) for q, r in by_group(ids)]
     return pa.table({"id": pa.array([q for q, _ in parts], pa.int64()), "part": pa.array([p for _, p in parts], pa.binary())})
 

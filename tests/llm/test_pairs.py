@@ -44,6 +44,25 @@ def test_representatives_keep_columns(documents, texts):
     assert {r.doc_id for r in left.collect()} == want and left.columns == documents.columns
 
 
+def test_small_sets_are_densified_like_large_ones():
+    """Sketches agree in as many bins as the sets are alike, with 1, 2 or few filled bins too; no bin stays empty."""
+    import numpy as np
+
+    from llm.minhash_sets import sketches
+
+    rng = np.random.default_rng(5)
+    for size in (1, 2, 3, 6, 12, 60):
+        shared, alike = [], []
+        for _ in range(300):
+            both = rng.integers(1, 2**63, size, dtype=np.uint64)
+            one, two = (np.append(both, rng.integers(1, 2**63, rng.integers(0, size + 1), dtype=np.uint64)) for _ in range(2))
+            out = sketches(np.concatenate([one, two]), np.array([0, len(one), len(one) + len(two)]), 240)
+            assert (out != 0xFFFFFFFFFFFFFFFF).all() and set(out[0].tolist()) <= set(sketches(one, np.array([0, len(one)]), 240)[0].tolist())
+            shared.append((out[0] == out[1]).mean())
+            alike.append(size / (len(one) + len(two) - size))
+        assert abs(np.mean(shared) - np.mean(alike)) < 0.04, size
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (8, 7), (7, 7), (9, 5)], "u long, v long")
     assert {(r.node, r.component) for r in components(links).collect()} == {
@@ -115,3 +134,9 @@ def test_search(documents, texts):
     assert sorted((r.query_id, r["rank"], r.doc_id) for r in got.collect()) == sorted(want)
     assert top_k(documents.limit(0), queries).collect() == []
     assert top_k(documents, queries.limit(0)).collect() == []
+
+
+def test_repeated_query_rows_count_their_terms_once(spark):
+    docs = spark.createDataFrame([(k, prose(k, 30) + (" rareword" if k == 3 else "")) for k in range(40)], "doc_id long, text string")
+    once = spark.createDataFrame([(1, "stone rareword river")], "doc_id long, text string")
+    assert sorted(map(tuple, top_k(docs, once).collect())) == sorted(map(tuple, top_k(docs, once.unionByName(once)).collect()))
