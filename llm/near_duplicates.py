@@ -7,10 +7,14 @@ comparisons and not n squared. Every candidate is confirmed on the full sets.
 
 A star alone can miss a link between two documents that are both unlike its
 centre. So after the components of the star links are known, buckets that
-still hold several components are compared once more: each document with those
-of other components, in blocks of ``BLOCK`` documents, again on full sets. Buckets
-that lie within one component, the usual case for large groups of copies, need
-no such work.
+still hold several components are looked at once more: the largest component of
+the bucket stays as it is, and each document outside of it becomes the centre of
+a star over the documents of other components, again on full sets. As two components
+cannot both be the largest, this meets every pair of documents of different components.
+A document stands in such a bucket once, and once more if it is a centre; only
+beyond ``BLOCK`` documents or centres a bucket is split and the parts are copied. Within a
+part, components that a link has joined are one from then on. Buckets that lie within
+one component, the usual case for large groups of copies, need no such work.
 
 With 40 bands of 6 bins two documents at 85 % miss every bucket with a
 probability of 6e-9.
@@ -32,7 +36,7 @@ from llm.scratch import keep
 from llm.streams import runs
 
 BANDS, ROWS = 40, 6
-BLOCK = 256
+BLOCK = 512
 
 
 def _sign(size: int, bands: int, rows: int):
@@ -107,38 +111,40 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return pairs.join(named("v"), "v").join(named("u"), "u").mapInArrow(_confirm(size, percent), "u long, v long")
 
 
-def _across(size: int, percent: int):
-    """Links between documents of different components within one block pair of a bucket."""
+def _meet(size: int, percent: int):
+    """Links from the centres of a part of a bucket to its documents of other components, one for each pair of components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["bucket", "one", "two"]):
-            ids, labels, at = (group[k].to_numpy() for k in ("id", "component", "block"))
-            one, two = group["one"][0].as_py(), group["two"][0].as_py()
+        for group in runs(batches, ["bucket", "part", "centres"]):
+            centre = group["centre"].to_numpy().astype(bool)
+            ids, labels, outside = (group[k].to_numpy() for k in ("id", "component", "outside"))
             sets = _sets(group["text"].combine_chunks(), size)
-            order = np.argsort([len(s) for s in sets], kind="stable")
-            lengths = np.array([len(sets[i]) for i in order])
-            flat = np.concatenate([sets[i] for i in order])
-            begin = np.concatenate([[0], np.cumsum(lengths)])
-            labels, ids, at = labels[order], ids[order], at[order]
+            lengths = np.array([len(x) for x in sets])
+            others = np.flatnonzero(~centre)
+            others = others[np.argsort(lengths[others], kind="stable")]
+            if not len(others):
+                continue
+            width = lengths[others]
+            flat, begin = np.concatenate([sets[i] for i in others]), np.concatenate([[0], np.cumsum(width)])
+            _, label = np.unique(labels, return_inverse=True)
             us, vs = [], []
-            for i in range(len(order)):
-                end = int(np.searchsorted(lengths * percent, lengths[i] * 100, side="right"))
-                if end <= i + 1:
-                    continue
-                other = np.arange(i + 1, end)
-                other = other[labels[other] != labels[i]]
-                if one != two:
-                    other = other[at[other] != at[i]]
-                if not len(other):
+            for u in np.flatnonzero(centre).tolist():
+                lo = int(np.searchsorted(width * 100, lengths[u] * percent))
+                hi = int(np.searchsorted(width * percent, lengths[u] * 100, side="right"))
+                some = others[lo:hi]
+                # of two centres the smaller id asks
+                ask = (label[some] != label[u]) & ~(outside[some].astype(bool) & (ids[some] < ids[u]))
+                if not ask.any():
                     continue
-                lo, hi = other[0], other[-1] + 1
-                mine = flat[begin[i] : begin[i + 1]]
                 span = flat[begin[lo] : begin[hi]]
-                spot = np.minimum(np.searchsorted(mine, span), len(mine) - 1)
-                same = np.add.reduceat((mine[spot] == span).astype(np.int64), begin[lo:hi] - begin[lo])[other - lo]
-                good = other[100 * same >= percent * (lengths[i] + lengths[other] - same)]
-                us += [ids[i]] * len(good)
-                vs += ids[good].tolist()
+                spot = np.minimum(np.searchsorted(sets[u], span), lengths[u] - 1)
+                same = np.add.reduceat((sets[u][spot] == span).astype(np.int64), begin[lo:hi] - begin[lo])
+                good = some[ask & (100 * same >= percent * (lengths[u] + width[lo:hi] - same))]
+                for k in good.tolist():
+                    if label[k] != label[u]:
+                        us.append(ids[u])
+                        vs.append(ids[k])
+                        label[label == label[k]] = label[u]
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
@@ -146,38 +152,43 @@ def _across(size: int, percent: int):
 
 
 def _rest(buckets: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links that no star showed: buckets with several components, compared between components."""
+    """Links that no star showed, in buckets with several components."""
     spread = buckets.join(labels, F.col("member") == F.col("node"), "left").select(
         "bucket", "member", F.coalesce("component", "member").alias("component")
     )
+    marks = [F.bit_xor(F.xxhash64("member")).alias("mark"), F.bit_xor(F.xxhash64(F.lit(1), "member")).alias("mark2")]
+    per_component = spread.groupBy("bucket", "component").agg(F.count("*").alias("n"), *marks)
     mixed = (
-        spread.groupBy("bucket")
+        per_component.groupBy("bucket")
         .agg(
-            F.count("*").alias("members"),
-            F.min("component").alias("least"),
-            F.max("component").alias("most"),
-            F.bit_xor(F.xxhash64("member")).alias("mark"),
-            F.bit_xor(F.xxhash64("member", F.lit(1))).alias("mark2"),
+            F.count("*").alias("components"),
+            F.sum("n").alias("members"),
+            F.max("n").alias("largest"),
+            F.max_by("component", F.struct("n", "component")).alias("main"),
+            F.bit_xor("mark").alias("mark"),
+            F.bit_xor("mark2").alias("mark2"),
         )
-        .filter("least <> most")
+        .filter("components > 1")
         .groupBy("members", "mark", "mark2")
-        .agg(F.min("bucket").alias("bucket"))  # the same documents meet in many bands; once is enough
-        .withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
+        .agg(F.min(F.struct("bucket", "main", "largest")).alias("one"))  # the same documents meet in many bands; once is enough
+        .select("one.*", "members")
+    )
+    parts = lambda n: F.ceil(n / BLOCK).cast("long")
+    known = spread.join(
+        mixed.select("bucket", "main", parts(F.col("members")).alias("parts"), parts(F.col("members") - F.col("largest")).alias("halves")),
+        "bucket",
+    ).withColumn("outside", F.col("component") != F.col("main"))
+    place = lambda n: F.pmod(F.xxhash64("member", "bucket"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    kept = ["bucket", "component", "outside", F.col("member").alias("id")]
+    dealt = known.select(*kept, F.lit(False).alias("centre"), place("parts").alias("part"), every("halves").alias("centres")).unionByName(
+        known.filter("outside").select(*kept, F.lit(True).alias("centre"), every("parts").alias("part"), place("halves").alias("centres"))
     )
-    dealt = (
-        spread.join(mixed.select("bucket", "parts"), "bucket")
-        .withColumn("block", F.pmod(F.xxhash64("member", "bucket"), F.col("parts").cast("long")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(
-            "bucket", "component", "block", F.col("member").alias("id"),
-            F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
-        )
-    )
     return (
         dealt.join(texts, "id")
-        .repartition("bucket", "one", "two")
-        .sortWithinPartitions("bucket", "one", "two", "id")
-        .mapInArrow(_across(size, percent), "u long, v long")
+        .repartition("bucket", "part", "centres")
+        .sortWithinPartitions("bucket", "part", "centres", "id")
+        .mapInArrow(_meet(size, percent), "u long, v long")
     )
 
 
@@ -190,7 +201,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty set and no link. Rows with a null id take part in no link: their
     component_id is null and they are kept. Rows that repeat an id share its
     component; of an id with several texts each text is signed, and links are
-    confirmed on one of them. Other columns of ``docs`` are not read.
+    confirmed on the least of them. Other columns of ``docs`` are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = keep(signatures(base, shingle, bands, rows), "signatures")
@@ -206,7 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = keep(entries.join(crowded, "bucket").distinct(), "buckets")
     stars = buckets.filter("centre <> member").select(F.col("centre").alias("u"), F.col("member").alias("v")).distinct()
     members = buckets.select(F.col("member").alias("id")).distinct()
-    texts = keep(base.join(members, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = keep(base.join(members, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
     links = keep(confirm(stars, texts, shingle, percent), "links")
     labels = keep(components(links), "labels")
     more = keep(_rest(buckets, labels, texts, shingle, percent), "rest")
