@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Ids are compared by their first characters as a join key, then in full.
-LONG_PREFIX = 8
-
 
 def time_slot(ts: Column, width_seconds: int) -> Column:
     """Number of the fixed-width slot a timestamp falls in."""
@@ -100,17 +97,19 @@ def latest_at_or_before(
 def prefix_join(ids: DataFrame, probes: DataFrame, id_column: str, prefix_column: str, equal: Sequence[str]) -> DataFrame:
     """Rows of ``ids`` and ``probes`` whose id starts with the prefix, case of the id ignored.
 
-    The equi-join is on ``equal`` and the first ``LONG_PREFIX`` characters, for
-    shorter prefixes on the first one; the whole prefix is a residual. So a
-    prefix may have any length, no row is repeated, and a garbled short prefix
-    does not widen the key of the others. Column names of both sides other than
-    ``equal`` must differ.
+    The probes' lengths are found first, as one value of the plan. Ids are read once and cut to each of these
+    lengths, and the join is on ``equal`` and the cut, so it meets matches only: a short or garbled
+    prefix brings no candidates for the others. Usual prefixes are of one length, then no id is repeated.
+    Column names of both sides other than ``equal`` must differ.
     """
-    size = F.length(prefix_column)
-    parts = []
-    for chars, asked in ((LONG_PREFIX, size >= LONG_PREFIX), (1, (size >= 1) & (size < LONG_PREFIX))):
-        left = ids.withColumns({"_text": F.lower(id_column), "_key": F.substring(F.lower(id_column), 1, chars)})
-        right = probes.where(asked).withColumn("_key", F.substring(prefix_column, 1, chars))
-        met = left.join(right, [*equal, "_key"]).where(F.col("_text").startswith(F.col(prefix_column)))
-        parts.append(met.drop("_text", "_key"))
-    return parts[0].unionByName(parts[1])
+    asked = probes.where(F.length(prefix_column) > 0).withColumn("_size", F.length(prefix_column))
+    sizes = asked.agg(F.array_sort(F.collect_set("_size")).alias("sizes")).scalar()
+    cut = (
+        ids.withColumn("_text", F.lower(id_column))
+        .withColumn("_size", F.explode(sizes))
+        .where(F.col("_size") <= F.length("_text"))
+        .withColumn("_key", F.substring(F.col("_text"), F.lit(1), F.col("_size")))
+        .drop("_text")
+    )
+    met = cut.join(asked.withColumn("_key", F.col(prefix_column)), [*equal, "_size", "_key"])
+    return met.drop("_size", "_key")

@@ -144,3 +144,18 @@ def test_percentile_property(spark, data):
         values = sorted(v for g, v in data if g == r.g)
         for p in (1, 50, 100):
             assert r[f"p{p}"] == values[max(1, math.ceil(len(values) * p / 100)) - 1]
+
+
+def test_a_short_prefix_meets_its_matches_only(spark):
+    """Two characters among long ones: the join's output is the matches, and the ids are scanned once."""
+    ids = spark.range(4000).select(F.sha2(F.col("id").cast("string"), 256).alias("id"), F.lit(1).alias("n"))
+    texts = [r.id for r in ids.limit(50).collect()]
+    prefixes = [t[:8] for t in texts] + [texts[0][:2], "zz", "", texts[1]]
+    probes = spark.createDataFrame([(1, p) for p in prefixes], "n int, p string")
+    all_ids = [r.id for r in ids.collect()]
+    want = sorted((i, p) for i in all_ids for p in prefixes if p and i.startswith(p))
+    got = joins.prefix_join(ids, probes, "id", "p", ["n"])
+    assert sorted((r.id, r.p) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # the generator is over 3 lengths, whatever the number of prefixes; no residual filter follows the join
+    assert plan.count("Range (0, 4000") == 1 and "StartsWith" not in plan
