@@ -84,7 +84,7 @@ def active_runs_gauge(active: DataFrame) -> DataFrame:
 
 
 def evaluate(metrics: DataFrame, rule: Rule, step_seconds: int = 15, until: Column | None = None) -> DataFrame:
-    """State of a rule at every evaluation step of each series.
+    """State of a rule at every evaluation step of each series, for a chart; ``alerts`` needs no steps.
 
     Columns: the series, ``step`` (steps since the epoch), ``holds`` and
     ``firing``. Evaluation runs from the first sample of a series to ``until``
@@ -153,13 +153,81 @@ def evaluate(metrics: DataFrame, rule: Rule, step_seconds: int = 15, until: Colu
     )
 
 
+def holding(metrics: DataFrame, rule: Rule, step_seconds: int = 15, until: Column | None = None) -> DataFrame:
+    """The longest spans of evaluation steps over which a rule's condition holds: (series, ``begin``, ``end``), both included.
+
+    The work goes by samples and not by steps: a sample decides a span of steps from its own on, touching spans are
+    joined, and between samples nothing is generated, however long a series is silent. Samples are
+    joined by chunks of time first, so a series with most of them is spread; of a chunk, spans that are a range apart at
+    least are left, so what meets per series is bounded by its time. Figures count as not negative.
+    """
+    series = list(rule.series)
+    in_range = rule.range_seconds // step_seconds
+    chunk = max(CHUNK_SECONDS // step_seconds, in_range)
+    gauge = rule.condition == "above_180"
+    value = F.col(rule.value)
+    measured = F.max_by(value, F.struct("ts", value)) if gauge else F.sum(value)
+    sampled = (
+        metrics.where(value.isNotNull())
+        .withColumn("step", _step_number(F.col("ts"), step_seconds))
+        .groupBy(*series, "step")
+        .agg(measured.alias("v"))
+    )
+    # where evaluation begins and ends
+    last = F.max("step") if until is None else F.greatest(F.max("step"), _step_number(until, step_seconds))
+    extent = sampled.groupBy(*series).agg(F.min("step").alias("first"), last.alias("last"))
+    # steps that a sample decides: up to the next one for a gauge, over the whole range for a sum
+    own = F.floor(F.col("step") / chunk)
+    by_step = Window.partitionBy(*series, "chunk").orderBy("step")
+    reach = F.col("step") + (in_range - 1)
+    if gauge:
+        # the beginning of the next chunk comes along, as it may end the last sample's span
+        placed = sampled.withColumn("chunk", F.explode(F.array_distinct(F.array(own, F.floor((F.col("step") - in_range) / chunk)))))
+        seen = placed.withColumn("_next", F.lead("step").over(by_step)).where(own == F.col("chunk"))
+        spans = seen.where(F.col("v") > LAG_LIMIT_SECONDS).withColumn("end", F.least(reach, F.col("_next") - 1))
+    else:
+        spans = sampled.where("v > 0").withColumns({"chunk": own, "end": reach})
+    spans = _joined(spans.select(*series, "chunk", F.col("step").alias("begin"), "end"), [*series, "chunk"])
+    spans = _joined(spans.select(*series, "begin", "end"), series)
+    bounded = _beside(spans, extent, series, "inner").select(*series, "begin", F.least("end", "last").alias("end"), "last")
+    if rule.condition != "none":
+        return bounded.select(*series, "begin", "end")
+    # the condition holds where nothing was counted: before, between and after the spans
+    after = F.lead("begin").over(Window.partitionBy(*series).orderBy("begin"))
+    gaps = bounded.select(*series, (F.col("end") + 1).alias("begin"), F.coalesce(after - 1, F.col("last")).alias("end"))
+    head = spans.groupBy(*series).agg(F.min("begin").alias("_busy"))
+    heads = _beside(extent, head, series, "left").select(
+        *series, F.col("first").alias("begin"), F.coalesce(F.col("_busy") - 1, F.col("last")).alias("end")
+    )
+    return gaps.unionByName(heads).where("begin <= end")
+
+
+def _beside(left: DataFrame, right: DataFrame, series: list[str], how: str) -> DataFrame:
+    """Rows of equal series; a missing name is a name, as it is when grouping."""
+    right = right.withColumnsRenamed({c: f"_right_{c}" for c in series})
+    equal = F.lit(True)
+    for c in series:
+        equal &= F.col(c).eqNullSafe(F.col(f"_right_{c}"))
+    return left.join(right, equal, how)
+
+
+def _joined(spans: DataFrame, group: list[str]) -> DataFrame:
+    """Spans that overlap or touch as one (gaps and islands)."""
+    before = Window.partitionBy(*group).orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*group).orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.coalesce(F.col("begin") > F.max("end").over(before) + 1, F.lit(True))
+    numbered = spans.withColumn("_opens", opens.cast("int")).withColumn("_island", F.sum("_opens").over(upto))
+    return numbered.groupBy(*group, "_island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("_island")
+
+
 def alerts(metrics: DataFrame, rule: Rule, step_seconds: int = 15, until: Column | None = None) -> DataFrame:
-    """The times at which a rule starts to fire."""
-    state = evaluate(metrics, rule, step_seconds, until).where("firing AND NOT _before")
+    """The times at which a rule starts to fire: its condition has held for the rule's time, within one span."""
+    held = rule.for_seconds // step_seconds
+    fired = holding(metrics, rule, step_seconds, until).where(F.col("end") - F.col("begin") >= held)
     dtype = metrics.schema["ts"].dataType
-    return state.select(
+    return fired.select(
         F.lit(rule.name).alias("alert"),
         F.lit(rule.severity).alias("severity"),
         *rule.series,
-        F.timestamp_micros(F.col("step") * F.lit(step_seconds * 1_000_000)).cast(dtype).alias("fired_at"),
+        F.timestamp_micros((F.col("begin") + held) * F.lit(step_seconds * 1_000_000)).cast(dtype).alias("fired_at"),
     )
