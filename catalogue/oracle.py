@@ -7,7 +7,7 @@ the plainest way (lateral top-1, literal joins), not in the way Spark runs it.
 
 from __future__ import annotations
 
-from catalogue.queries import COMPARE_AT, OFFSET_DRAW, SAMPLE_SEED
+from catalogue.queries import COMPARE_AT, OFFSET_DRAW, READ_SINCE, READ_UNTIL, SAMPLE_SEED
 
 
 def hx(e: str) -> str:
@@ -593,6 +593,24 @@ def _with(needs: tuple[str, ...]) -> list[str]:
     return order
 
 
+_SINCE, _UNTIL = (f"TIMESTAMP '{t:%Y-%m-%d}'" for t in (READ_SINCE, READ_UNTIL))
+QUERIES |= {
+    f"{k[:3]}b_{k[4:]}_typed": QUERIES[k] for k in ("a01_slow_mean", "a02_slow_total", "a03_full_scans", "a18_failed_txns", "a19_write_hotspots")
+} | {
+    "a23b_latency_sketched": (("ev",), """
+  SELECT event_type AS op, count(*) AS ops, round(avg(cents), 6) AS mean, max(cents) AS max,
+    true AS p50_near, true AS p90_near, true AS p95_near, true AS p99_near, true AS users_near FROM ev GROUP BY 1"""),
+    "s01_read_contention": (("contention",), f"""
+  SELECT * FROM contention WHERE database_name = 'schedules' AND collection_ts >= {_SINCE} AND collection_ts < {_UNTIL}"""),
+    "s02_read_insights": (("insights",), f"SELECT * FROM insights WHERE query <> 'SELECT _' AND start_time >= {_SINCE}"),
+    "s03_read_stmt_stats": (("stmt_stats",), f"""
+  SELECT aggregated_ts, fingerprint_id, transaction_fingerprint_id, plan_hash, app_name, metadata, statistics, sampled_plan,
+    aggregation_interval, array_to_string(recs, '|') AS index_recommendations FROM stmt_stats WHERE aggregated_ts < {_UNTIL}"""),
+    "s04_read_txn_stats": (("txn_stats",), """
+  SELECT aggregated_ts, fingerprint_id, app_name, metadata, statistics, aggregation_interval FROM txn_stats"""),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (needs, body) in QUERIES.items():

@@ -6,23 +6,26 @@ whole microseconds.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.functions.values import interval_micros
+from runlens.functions.values import interval_micros, typed_statistics
 from runlens.operators import sampling
-from runlens.plans import backfill, index_report, ingest, metrics, reports, retention, root_cause, runs
+from runlens.plans import backfill, index_report, ingest, metrics, reports, retention, root_cause, runs, sketches
 from runlens.session import materialise, shared_folder
+from runlens.sources.tables import binary_fingerprints, read_stream_table
 from runlens.sources.workload_views import WorkloadViews
 
 # Reports look back over all of the data.
 EVERYTHING = 24 * 400
 RUN_NOW_BEFORE_END = timedelta(hours=12)
 COMPARE_AT = "2024-01-16 00:00:00"
+READ_SINCE, READ_UNTIL = (datetime(2024, 1, d, tzinfo=timezone.utc) for d in (5, 20))
 OFFSET_DRAW = 0.37
 SAMPLE_SEED = 7
 
@@ -282,6 +285,29 @@ def e17_root_cause(v):
     return _inspected(v)
 
 
+def _through_reader(v, stream, **bounds):
+    """A stream in its storage form, written as files and read by the reader."""
+    files = f"{shared_folder(v.spark)}/source-{stream}-{uuid.uuid4().hex}"
+    binary_fingerprints(getattr(v, stream)(), stream).write.parquet(files)
+    return read_stream_table(v.spark, stream, files, **bounds)
+
+
+def s01_read_contention(v):
+    return _through_reader(v, "contention", since=READ_SINCE, until=READ_UNTIL, database="schedules")
+
+
+def s02_read_insights(v):
+    return _through_reader(v, "insights", since=READ_SINCE)
+
+
+def s03_read_stmt_stats(v):
+    return _through_reader(v, "stmt_stats", until=READ_UNTIL)
+
+
+def s04_read_txn_stats(v):
+    return _through_reader(v, "txn_stats")
+
+
 def s11_report(v):
     return root_cause.report(_inspected(v), ("exception_id",))
 
@@ -312,6 +338,34 @@ def a03_full_scans(v):
     return reports.full_scans(v.stmt_stats(), v.latest(), EVERYTHING)
 
 
+# The same reports over statistics whose documents were typed when they were written.
+
+def _typed(v, stream):
+    rows = typed_statistics(getattr(v, stream)(), stream).drop("metadata", "statistics")
+    return materialise(rows, f"typed-{stream}", shared_folder(v.spark))
+
+
+def a01b_slow_mean_typed(v):
+    return reports.slow_by_mean(_typed(v, "stmt_stats"), v.latest(), EVERYTHING)
+
+
+def a02b_slow_total_typed(v):
+    return reports.slow_by_total(_typed(v, "stmt_stats"), v.latest(), EVERYTHING)
+
+
+def a03b_full_scans_typed(v):
+    return reports.full_scans(_typed(v, "stmt_stats"), v.latest(), EVERYTHING)
+
+
+def a18b_failed_txns_typed(v):
+    rates = reports.failed_transactions(_typed(v, "txn_stats"), _typed(v, "stmt_stats"), v.latest(), EVERYTHING)
+    return rates.withColumn("failed_txn_ratio", F.round("failed_txn_ratio", 6))
+
+
+def a19b_write_hotspots_typed(v):
+    return reports.write_hotspots(_typed(v, "stmt_stats"), v.latest(), EVERYTHING)
+
+
 def a04_insights(v):
     return reports.flagged_insights(v.insights(), v.latest(), EVERYTHING)
 
@@ -386,6 +440,22 @@ def a23_latency(v):
     return reports.latency_summary(ops, thread="user_id", elapsed_seconds=3600.0)
 
 
+def a23b_latency_sketched(v):
+    """Percentiles and user counts from hourly sketches, and whether they are within the stated errors of the exact ones."""
+    ops = v.events().select("ts", F.col("event_type").alias("op"), F.col("cents").alias("latency"), "user_id")
+    found = sketches.summary(sketches.hourly(ops, ["op"], "ts", "latency", "user_id"), ["op"])
+    percents, error = (50, 90, 95, 99), sketches.RANK_ERROR
+    below = [F.count_if(F.col("latency") < F.col(f"p{p}")).alias(f"_below{p}") for p in percents]
+    upto = [F.count_if(F.col("latency") <= F.col(f"p{p}")).alias(f"_upto{p}") for p in percents]
+    exact = ops.join(found, "op").groupBy("op").agg(F.count_distinct("user_id").alias("_users"), *below, *upto)
+    near = [
+        ((F.col(f"_below{p}") <= F.col("n") * (p / 100 + error)) & (F.col(f"_upto{p}") >= F.col("n") * (p / 100 - error))).alias(f"p{p}_near")
+        for p in percents
+    ]
+    users = (F.abs(F.col("members") - F.col("_users")) <= F.col("_users") * sketches.COUNT_ERROR).alias("users_near")
+    return found.join(exact, "op").select("op", F.col("n").alias("ops"), F.round("mean", 6).alias("mean"), "max", *near, users)
+
+
 def a24_run_compare(v):
     half = F.when(F.col("aggregated_ts") < F.lit(COMPARE_AT).cast("timestamp_ntz"), "before").otherwise("after")
     return reports.compare_runs(v.stmt_stats().withColumn("test_run", half), "before", "after")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,6 +80,28 @@ def statistics(col: str | Column = "statistics") -> Column:
     return F.from_json(col, S.STATISTICS)
 
 
+def metadata_of(df: DataFrame, transactions: bool = False) -> Column:
+    """The metadata of statistics rows: the typed column ``m`` where the table has it, else the parsed document."""
+    if "m" in df.columns:
+        return F.col("m")
+    return transaction_metadata() if transactions else statement_metadata()
+
+
+def statistics_of(df: DataFrame) -> Column:
+    """The figures of statistics rows: the typed column ``s`` where the table has it, else the parsed document."""
+    return F.col("s") if "s" in df.columns else statistics()
+
+
+def typed_statistics(df: DataFrame, stream: str) -> DataFrame:
+    """Statistics rows with their documents as typed columns ``m`` and ``s``, parsed once.
+
+    Written as Parquet, each figure is a column of its own: reports read the ones they use, and
+    filters on them reach the files.
+    """
+    transactions = stream == "txn_stats"
+    return df.withColumns({"m": metadata_of(df, transactions), "s": statistics_of(df)})
+
+
 def same(a: Column, b: Column) -> Column:
     """Equality with NULL never matching, as one boolean without NULL."""
     return F.coalesce(a == b, F.lit(False))

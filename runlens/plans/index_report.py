@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import patterns as P
-from runlens.functions.values import exact_sum, statement_metadata, statistics
+from runlens.functions.values import exact_sum, metadata_of, statistics_of
 from runlens.plans.reports import Now, recent
 
 
@@ -35,7 +35,7 @@ def recommended(stats: DataFrame, now: Now = None, weights: Weights = Weights())
     return (
         recent(stats, "aggregated_ts", now, weights.lookback_hours)
         .where(F.size("index_recommendations") > 0)
-        .withColumns({"m": statement_metadata(), "s": statistics()})
+        .withColumns({"m": metadata_of(stats), "s": statistics_of(stats)})
         .where(sampled >= weights.min_executions)
         .select(
             "fingerprint_id",

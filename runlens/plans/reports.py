@@ -21,9 +21,8 @@ from runlens.functions.values import (
     hours,
     instant,
     interval_ms,
-    statement_metadata,
-    statistics,
-    transaction_metadata,
+    metadata_of,
+    statistics_of,
 )
 from runlens.operators.ranking import exact_percentiles, top
 
@@ -39,16 +38,17 @@ def _not_internal() -> Column:
 
 
 def user_statements(stats: DataFrame, now: Now, lookback_hours: int) -> DataFrame:
-    """Recent statistics of user statements, with parsed ``m`` and ``s``.
+    """Recent statistics of user statements, with ``m`` and ``s``.
 
-    The filter looks for its one JSON path; the documents are parsed once,
-    for the rows that are left.
+    A typed table has these columns. Otherwise the filter looks for its one JSON path, and the
+    documents are parsed once, for the rows that are left.
     """
-    db = F.coalesce(F.get_json_object("metadata", "$.db"), F.lit(""))
+    named = F.col("m.db") if "m" in stats.columns else F.get_json_object("metadata", "$.db")
+    db = F.coalesce(named, F.lit(""))
     return (
         recent(stats, "aggregated_ts", now, lookback_hours)
         .where(_not_internal() & ~db.isin(*S.SYSTEM_DATABASES))
-        .withColumns({"m": statement_metadata(), "s": statistics()})
+        .withColumns({"m": metadata_of(stats), "s": statistics_of(stats)})
     )
 
 
@@ -109,7 +109,8 @@ def full_scans(stats: DataFrame, now: Now = None, lookback_hours: int = 3, k: in
         _ms("s.statistics.runLat.mean").alias("mean_run_ms"),
         F.col("index_recommendations"),
     ]
-    scanning = stats.where(F.get_json_object("metadata", "$.fullScan") == "true")
+    scans = F.col("m.fullScan") if "m" in stats.columns else F.get_json_object("metadata", "$.fullScan") == "true"
+    scanning = stats.where(scans)
     return _top_statements(user_statements(scanning, now, lookback_hours), columns, "total_rows_read", k)
 
 
@@ -119,8 +120,8 @@ def slow_performers(stats: DataFrame, test_run: str | None, app_name: str | None
         stats = stats.where(F.col("test_run") == test_run)
     if app_name is not None:
         stats = stats.where(F.col("app_name") == app_name)
-    by_query = stats.groupBy(statement_metadata()["query"].alias("query")).agg(
-        F.max(F.round(statistics()["statistics"]["runLat"]["mean"] * 1000, 2)).alias("avg_ms")
+    by_query = stats.groupBy(metadata_of(stats)["query"].alias("query")).agg(
+        F.max(F.round(statistics_of(stats)["statistics"]["runLat"]["mean"] * 1000, 2)).alias("avg_ms")
     )
     return top(by_query.select("avg_ms", "query"), [F.col("avg_ms").desc_nulls_last(), F.col("query")], k)
 
@@ -223,7 +224,7 @@ def top_waiting(
         .agg(F.count(F.lit(1)).alias("n"), F.sum("contention_duration").alias("waited"))
     )
     texts = stats.groupBy("fingerprint_id").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(statement_metadata()["query"]).alias("sample_query")
+        F.count(F.lit(1)).alias("copies"), F.min(metadata_of(stats)["query"]).alias("sample_query")
     )
     times = F.lit(1) if dedupe_fingerprints else F.coalesce("copies", F.lit(1))
     joined = waits.join(texts, waits["waiting_stmt_fingerprint_id"] == texts["fingerprint_id"], "left").select(
@@ -276,9 +277,9 @@ def failed_transactions(
         .where(_not_internal())
         .select(
             F.col("fingerprint_id").alias("txn_fingerprint_id"),
-            F.array_size(transaction_metadata()["stmtFingerprintIDs"]).cast("bigint").alias("num_stmt"),
+            F.array_size(metadata_of(txn_stats, True)["stmtFingerprintIDs"]).cast("bigint").alias("num_stmt"),
             "app_name",
-            statistics()["statistics"]["cnt"].cast("bigint").alias("tx_execs"),
+            statistics_of(txn_stats)["statistics"]["cnt"].cast("bigint").alias("tx_execs"),
         )
     )
     ratio = F.try_divide(
@@ -361,7 +362,7 @@ def compare_runs(stats: DataFrame, base: str, other: str) -> DataFrame:
 
     One aggregation over both runs does the work of a full outer join.
     """
-    s = statistics()["statistics"]
+    s = statistics_of(stats)["statistics"]
     slim = stats.where(F.col("test_run").isin(base, other)).select(
         "test_run",
         "app_name",

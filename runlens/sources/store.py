@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens import schemas as S
-from runlens.functions.values import days, instant
+from runlens.functions.values import days, instant, typed_statistics
 from runlens.operators.merging import KEY_DIGEST
 from runlens.plans.metrics import METRICS
 from runlens.plans.retention import unexpired
@@ -50,8 +50,16 @@ def time_column(table: str) -> str | None:
     return S.EVENT_TIME.get(table.removeprefix("pending_"))
 
 
+def typed_fields(table: str) -> list[T.StructField]:
+    """The typed documents that the statistics tables hold beside the texts."""
+    if table not in S.AGG_STREAMS:
+        return []
+    metadata = S.TRANSACTION_METADATA if table == "txn_stats" else S.STATEMENT_METADATA
+    return [T.StructField(n, T.StructType.fromDDL(d)) for n, d in (("m", metadata), ("s", S.STATISTICS))]
+
+
 def table_schema(table: str) -> T.StructType:
-    """Columns of a table with its partition columns, ``write`` in front of them."""
+    """Columns of a table with its typed documents and partition columns, ``write`` in front of these."""
     types = {"test_run": T.StringType(), "batch_id": T.LongType(), "bucket": T.LongType(), "slot": T.LongType()}
     if table.endswith("_keys"):
         base = KEY_DIGEST
@@ -60,7 +68,7 @@ def table_schema(table: str) -> T.StructType:
     else:
         base = S.STREAM_SCHEMAS[table.removeprefix("pending_")]
     more = [T.StructField("write", T.StringType()), *(T.StructField(c, types[c]) for c in partitions(table))]
-    return T.StructType([*base.fields, *more])
+    return T.StructType([*base.fields, *typed_fields(table), *more])
 
 
 def micros(ts: datetime) -> int:
@@ -130,10 +138,13 @@ class Store:
         since: datetime | None = None,
         until: datetime | None = None,
         commit: Commit | None = None,
+        typed: bool = False,
     ) -> DataFrame:
         """The committed rows of a table, as of now or of a commit.
 
         ``runs`` and a span of time [since, until) choose the parts by what the commit knows of them, and cut the rows.
+        ``typed``: statistics with the typed columns ``m`` and ``s`` that were made when they were written, in
+        place of the documents; the reports take either.
         """
         commit = commit or self.commits.latest(STREAM_OF[table])
         lo = None if since is None and until is None else (micros(since) if since else -(1 << 63))
@@ -144,7 +155,7 @@ class Store:
             df = df.where(F.col(ts) >= instant(since))
         if until is not None:
             df = df.where(F.col(ts) < instant(until))
-        hidden = ("write", *partitions(table))
+        hidden = ("write", *partitions(table), *(("metadata", "statistics") if typed else ("m", "s")))
         names = ["test_run", *[n for n in table_schema(table).names if n not in hidden]]
         return df.select(*names, *(["batch_id"] if with_batch else []))
 
@@ -159,6 +170,8 @@ class Store:
         columns, ts = partitions(table), time_column(table)
         names = [n for n in table_schema(table).names if n != "write"]
         path = self.path(table, f"write={label}")
+        if table in S.AGG_STREAMS:
+            df = typed_statistics(df.drop("m", "s"), table)
         df.select(*names).write.partitionBy(*columns).parquet(path)
         stamp = F.unix_micros(F.col(ts).cast("timestamp")) if ts else F.lit(None).cast("bigint")
         written = self.spark.read.schema(table_schema(table)).option("basePath", self.path(table)).parquet(path)

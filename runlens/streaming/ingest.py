@@ -309,7 +309,7 @@ class Ingest:
             hit = [p for p in near if (p.test_run, p.number, p.write) in where]
         numbered = fresh.withColumn("batch_id", F.lit(batch.number).cast("bigint"))
         if hit:
-            numbered = ingest.merged_statistics(numbered, store.read_parts(stream, hit).drop("write"), stream)
+            numbered = ingest.merged_statistics(numbered, store.read_parts(stream, hit).drop("write", "m", "s"), stream)
         batch.apply(store.write(stream, numbered, batch.label), hit)
         return {r[0]: r[1] for r in counted}
 

@@ -231,9 +231,56 @@ def test_alerts_against_stepwise_evaluation(spark, rule, gauge, holds):
     assert got.count() > 0
 
 
+@pytest.mark.parametrize("rule", metrics.RULES)
+def test_a_silent_series_generates_no_steps(spark, rule):
+    """90 days without a sample: the same alerts as stepwise, from the samples alone; a missing name is a series."""
+    day = 86_400
+    rows = [dict(ts=R.at(t), test_run=run, rows=0, errors=1, lag_seconds=500.0, backfilled=0)
+            for run in ("r", None) for t in (5, 20, 40, 900, 90 * day, 90 * day + 15)]
+    m = samples(spark, rows)
+    until = F.lit(R.at(91 * day))
+    got = metrics.alerts(m, rule, 15, until)
+    state = metrics.evaluate(m, rule, 15, until).where("firing AND NOT _before")
+    steps = state.select(*rule.series, F.timestamp_micros(F.col("step") * 15_000_000).alias("fired_at"))
+    want = R.rows_of(steps)
+    if "test_run" in rule.series:
+        named = steps.where("test_run = 'r'")
+        want = R.rows_of(named) + R.rows_of(named.withColumn("test_run", F.lit(None)))
+    assert R.rows_of(got.select(*rule.series, "fired_at")) == sorted(want, key=repr)
+    assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_metric_totals(spark):
     m = samples(spark, [dict(ts=R.at(1), rows=5, duration_ms=7, backfilled=2), dict(ts=R.at(2), rows=1, errors=1, duration_ms=None)])
     assert R.rows_of(metrics.stream_totals(m)) == [("contention", 6, 1, 1, 7)]
     assert R.rows_of(metrics.backfilled_per_run(m)) == [("r", 2)]
     hist = {r.le_ms: r.batches for r in metrics.duration_histogram(m, (5, 10)).collect()}
     assert hist == {5: 0, 10: 1, None: 1}
+
+
+def test_sketches_of_hours_answer_any_period(spark):
+    """Merged hours are within the stated errors of the exact figures, over all hours and over some."""
+    import random
+
+    from runlens.plans import sketches
+
+    rng = random.Random(3)
+    rows = [(R.at(rng.randrange(0, 40_000)), rng.choice("ab"), int(rng.lognormvariate(5, 2)), rng.randrange(3000)) for _ in range(30_000)]
+    rows += [(R.at(10), "c", None, None), (R.at(20), "d", 7, 1)]
+    df = spark.createDataFrame(rows, "ts timestamp, op string, v long, user long")
+    hours = sketches.hourly(df, ["op"], "ts", "v", "user").cache()
+    assert hours.count() < 30
+    for lo, hi in ((0, 1 << 40), (7200, 14_400)):
+        some = hours.where(F.col("hour").between(F.lit(R.at(lo)), F.lit(R.at(min(hi, 86_400))) - F.expr("INTERVAL 1 SECOND")))
+        for r in sketches.summary(some, ["op"]).collect():
+            mine = sorted(v for ts, op, v, _ in rows if op == r.op and v is not None and R.at(lo) <= ts < R.at(min(hi, 86_400)))
+            users = {u for ts, op, v, u in rows if op == r.op and u is not None and R.at(lo) <= ts < R.at(min(hi, 86_400))}
+            assert r.n == len(mine) and r.max == max(mine, default=None)
+            assert abs(r.members - len(users)) <= max(1, sketches.COUNT_ERROR * len(users))
+            for p in (50, 90, 95, 99):
+                at = r[f"p{p}"]
+                if mine:
+                    below, upto = sum(v < at for v in mine), sum(v <= at for v in mine)
+                    assert below <= len(mine) * (p / 100 + sketches.RANK_ERROR) and upto >= len(mine) * (p / 100 - sketches.RANK_ERROR)
+                else:
+                    assert at is None

@@ -315,3 +315,24 @@ def test_compaction_bounds_the_folders_and_keeps_the_rows(spark, tmp_path):
     assert numbers() == [0, 3, 6, 7] and was == 8
     ingest_at(spark, store, registry, 4000).run_once("contention", src)
     assert len(R.rows_of(store.read("contention"))) == 24
+
+
+def test_statistics_are_typed_when_they_are_written(spark, tmp_path):
+    """Reports over the typed columns equal those over the documents and read no JSON; upserts keep them in step."""
+    from runlens.plans import reports
+
+    registry = R.runs(spark, "r1", end=7200)
+    store = Store(spark, f"{tmp_path}/s")
+    rows = [{"fingerprint_id": R.fp(k), "statistics": R.statement_doc(cnt=10 + k, run=0.01 * k)} for k in range(5)]
+    ingest_at(spark, store, registry, 905).run_once("stmt_stats", R.stmt_stats(spark, rows))
+    newer = R.stmt_stats(spark, [{"fingerprint_id": R.fp(1), "statistics": R.statement_doc(cnt=99, run=0.5)}])
+    ingest_at(spark, store, registry, 1905, agg_mode="hour_aligned").run_once("stmt_stats", newer)
+    typed, plain = store.read("stmt_stats", typed=True), store.read("stmt_stats")
+    assert "statistics" not in typed.columns and "s" not in plain.columns
+    for report in (reports.slow_by_mean, reports.slow_by_total, reports.write_hotspots):
+        got = report(typed, R.at(1000))
+        assert R.rows_of(got) == R.rows_of(report(plain, R.at(1000)))
+        assert "from_json" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert reports.slow_by_mean(typed, R.at(1000), k=1).first()["execs"] == 99
+    filtered = typed.where("s.statistics.cnt > 50")
+    assert "PushedFilters: [IsNotNull(s.statistics.cnt), GreaterThan(s.statistics.cnt" in filtered._jdf.queryExecution().executedPlan().toString()
