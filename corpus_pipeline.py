@@ -19,14 +19,27 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without a language: null texts and texts that have no letter."""
+    """Reject documents that are in none of the learned languages and set ``lang`` of the others to the one found.
+
+    Rejected are null texts and texts that have no letter, and ambiguous ones unless their own label agrees with what was found. So a
+    missing or wrong label is put right and a doubtful text of unknown origin goes. Without a labelled row outside of the held-out
+    part nothing is learned, and all rows pass as they are. Rows that repeat an id are judged each by its text.
+    """
     model = language_id.train(docs.filter(~held_out()))
-    judged = language_id.predict(docs, model)
-    return judged.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(docs.columns)
+    if not model.languages:
+        return docs
+    own = {c: f"_own_{c}" for c in docs.columns if c in ("lang_pred", "score", "ambiguous")}
+    judged = language_id.predict(docs.withColumnsRenamed(own), model)
+    sure = ~F.col("ambiguous") | F.coalesce(F.col("lang") == F.col("lang_pred"), F.lit(False))
+    kept = judged.filter((F.col("lang_pred") != language_id.UNDETERMINED) & sure).withColumn("lang", F.col("lang_pred"))
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, 80 % alike or more."""
+    """One document of each group stays: five-word shingles, 80 % alike or more.
+
+    Texts without words and rows with a null id stay; rows that repeat the id of a document that stays do too.
+    """
     return near_duplicates.representatives(docs, shingle=5, percent=80).select(docs.columns)
 
 
@@ -39,8 +52,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 1024 ids."""
-    return packing.pack_sequences(docs, vocabulary("byte_bpe_50k.tiktoken"))
+    """Token sequences of at most 1024 ids. Null and empty texts give the end id alone; repeated rows are packed each."""
+    return packing.pack_sequences(docs, vocabulary("byte_bpe_50k.json"))
 
 
 STAGES = [
