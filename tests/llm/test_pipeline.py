@@ -1,6 +1,8 @@
 """The pipeline over a small table, stage by stage."""
 
 import corpus_pipeline
+from llm import language_id
+from llm.queries import held_out
 from tests.llm import brute
 
 
@@ -28,3 +30,24 @@ def test_stages(spark, documents, tmp_path):
     assert seen == [n for n, _ in corpus_pipeline.STAGES]
     last = corpus_pipeline.run(spark, str(tmp_path))
     assert {(r.doc_id, r.piece, r.ids_crc32) for r in last.collect()} == {(r.doc_id, r.piece, r.ids_crc32) for r in rows}
+
+
+def test_without_labels_all_rows_pass(spark):
+    rows = [(k, f"text number {k} of some", None, 1.5) for k in range(20)] + [(20, None, None, 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    assert sorted(map(str, corpus_pipeline.identify_language(spark, docs, "").collect())) == sorted(map(str, docs.collect()))
+
+
+def test_documents_are_routed_by_their_language(spark):
+    """A wrong and a missing label are put right; a doubtful text without label goes, one whose label agrees stays."""
+    one, two = "the house and the garden with water ", "der Vogel und das kleine Fenster nicht "
+    rows = [(k, (one if k % 2 else two) * 5 + f" {k}", "en" if k % 2 else "de", float(k)) for k in range(60)]
+    rows += [(100, one * 4, "de", 0.0), (101, two * 4, None, 0.0), (102, "12 34", "en", 0.0), (103, "e.", None, 0.0), (104, "e.", "en", 0.0), (105, "e.", "de", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    judged = {r.doc_id: r for r in language_id.predict(docs, language_id.train(docs.filter(~held_out()))).collect()}
+    assert judged[103].ambiguous and judged[103].lang_pred == judged[104].lang_pred == judged[105].lang_pred
+    kept = {r.doc_id: (r.lang, r.score) for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert kept[100] == ("en", 0.0) and kept[101] == ("de", 0.0) and 102 not in kept and 103 not in kept
+    agrees = 104 if judged[103].lang_pred == "en" else 105
+    assert agrees in kept and (209 - agrees) not in kept
+    assert all(kept[k] == ("en" if k % 2 else "de", float(k)) for k in range(60))
