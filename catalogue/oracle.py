@@ -597,6 +597,7 @@ _SINCE, _UNTIL = (f"TIMESTAMP '{t:%Y-%m-%d}'" for t in (READ_SINCE, READ_UNTIL))
 QUERIES |= {
     f"{k[:3]}b_{k[4:]}_typed": QUERIES[k] for k in ("a01_slow_mean", "a02_slow_total", "a03_full_scans", "a18_failed_txns", "a19_write_hotspots")
 } | {
+    "e05b_stage1_streamed": QUERIES["e05_stage1"],
     "a23b_latency_sketched": (("ev",), """
   SELECT event_type AS op, count(*) AS ops, round(avg(cents), 6) AS mean, max(cents) AS max,
     true AS p50_near, true AS p90_near, true AS p95_near, true AS p99_near, true AS users_near FROM ev GROUP BY 1"""),

@@ -20,6 +20,7 @@ from runlens.plans import backfill, index_report, ingest, metrics, reports, rete
 from runlens.session import materialise, shared_folder
 from runlens.sources.tables import binary_fingerprints, read_stream_table
 from runlens.sources.workload_views import WorkloadViews
+from runlens.streaming import root_cause as streamed_root_cause
 
 # Reports look back over all of the data.
 EVERYTHING = 24 * 400
@@ -237,6 +238,24 @@ def e05_stage1(v):
     return root_cause.by_contention_event(_parsed(v), p["contention"], p["insights"])
 
 
+def e05b_stage1_streamed(v):
+    """The same stage over streams: files of both sides read once, with a closing row each that lets their time go on."""
+    p, folder = v.persisted(), f"{shared_folder(v.spark)}/stage1-{uuid.uuid4().hex}"
+    events = p["contention"].withColumn("collection_ts", F.col("collection_ts").cast("timestamp"))
+    closing = events.limit(1).withColumns({"test_run": F.lit(""), "collection_ts": F.timestamp_seconds(F.lit(4_000_000_000))})
+    errors = v.exceptions()
+    last = errors.where("exception_str LIKE '%conflicting txn%'").limit(1)
+    last = last.withColumns({"test_run": F.lit(""), "exception_str": F.regexp_replace("exception_str", r"ts=\d+", "ts=4000000000")})
+    sides = []
+    for name, df in (("events", events.unionByName(closing)), ("errors", errors.unionByName(last))):
+        df.write.parquet(f"{folder}/{name}")
+        sides.append(v.spark.readStream.schema(df.schema).parquet(f"{folder}/{name}"))
+    found = streamed_root_cause.by_contention_event(sides[1], sides[0], p["insights"])
+    to = found.writeStream.format("parquet").option("path", f"{folder}/found").option("checkpointLocation", f"{folder}/checkpoint")
+    to.trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.schema(found.schema).parquet(f"{folder}/found")
+
+
 def e07_stage2(v):
     p = v.persisted()
     return root_cause.by_failed_insight(root_cause.involved_transactions(_parsed(v), p["txn_id_map"]), p["insights"])

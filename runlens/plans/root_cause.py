@@ -80,16 +80,21 @@ def by_contention_event(parsed: DataFrame, contention: DataFrame, insights: Data
     first = first_per_group(
         hit, ["exception_id"], [F.col(c) for c in ("collection_ts", "waiting_txn_id", "blocking_txn_id")]
     )
-    # Of the matching insights only the application matters, that of the first;
-    # insights of other statements do not take part.
+    # insights of other statements do not take part
     asked = ["test_run", "txn_fingerprint_id", "stmt_fingerprint_id"]
     wanted = first.select(
         "test_run",
         F.col("waiting_txn_fingerprint_id").alias("txn_fingerprint_id"),
         F.col("waiting_stmt_fingerprint_id").alias("stmt_fingerprint_id"),
     ).distinct()
+    return with_application(first, insights.join(wanted, asked, "left_semi"))
+
+
+def with_application(events: DataFrame, insights: DataFrame) -> DataFrame:
+    """Contention events of exceptions with the application: of the matching insights only that of the first matters."""
+    asked = ["test_run", "txn_fingerprint_id", "stmt_fingerprint_id"]
     apps = first_per_group(
-        insights.select(*asked, "app_name", "start_time", "stmt_id").join(wanted, asked, "left_semi"),
+        insights.select(*asked, "app_name", "start_time", "stmt_id"),
         asked,
         [F.col("start_time"), F.col("stmt_id"), F.col("app_name")],
     ).select(
@@ -98,7 +103,7 @@ def by_contention_event(parsed: DataFrame, contention: DataFrame, insights: Data
         F.col("stmt_fingerprint_id").alias("waiting_stmt_fingerprint_id"),
         F.col("app_name").alias("insight_app"),
     )
-    return first.join(
+    return events.join(
         apps, ["test_run", "waiting_txn_fingerprint_id", "waiting_stmt_fingerprint_id"], "left"
     ).select(
         "exception_id",
