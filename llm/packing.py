@@ -9,13 +9,13 @@ from an emptier bin to a fuller one, so that the sum of squared fills grows and
 the emptiest bins run dry. Bins that stay below ``reopen`` of a sequence are
 opened and packed once more together with those of ``MERGED`` shards.
 
-Token ids come from ``tokenizers``; segments of text met before are looked up
-(``llm.segments``).
+Token ids come from ``tiktoken``, whose ranks are the same vocabulary: it gives the same ids as ``tokenizers`` with
+its own file (tested on whole tables) in a fraction of the time.
 """
 
 from __future__ import annotations
 
-import os
+import base64
 import zlib
 from collections.abc import Iterator
 
@@ -25,27 +25,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.scratch import keep
-from llm.segments import TextIds
-from llm.words import chunks, text_bytes
 
 CAPACITY, END_ID = 1024, 2
-CHUNK = 1_000_000  # bytes of text encoded at once
 SHARD, MERGED = 4000, 100
 REOPEN = 0.98
 
-def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = TextIds(path)
+# Fixed values of the vocabulary: its word pattern and its special token.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SPECIAL = {"<|endoftext|>": 50256}
+
+
+def _encoding(path: str):
+    import tiktoken
 
-        def encoded(texts: pa.Array) -> Iterator[np.ndarray]:
-            for first, last in chunks(text_bytes(texts)[1], CHUNK):
-                yield from encoder.encode([t or "" for t in texts.slice(first, last - first).to_pylist()])
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
+
+def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoding(path).encode_to_numpy
         for batch in batches:
             where, out = [], {k: [] for k in ("piece", "start", "length", "crc", "ids")}
-            for k, found in enumerate(encoded(batch.column(1))):
-                ids = np.append(found, end_id).astype("<u4")
+            for k, text in enumerate(batch.column(1)):
+                text = text.as_py()
+                ids = np.append(encode(text, allowed_special="all"), end_id).astype("<u4") if text else np.array([end_id], "<u4")
                 first = len(ids) % capacity
                 cuts = [0, *range(first or capacity, len(ids) + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):

@@ -1,16 +1,13 @@
-"""Encodes many texts with a byte-level file of ``tokenizers``, looking up the parts it has met before.
+"""Parts of texts that byte-level vocabularies encode apart from each other.
 
 A text is cut at every space between two other characters. The pattern of such vocabularies always ends a
 token before such a space, so the ids of a text are those of its segments, each with that space in front.
-New segments are encoded many at a time, as one text, and told apart by the bytes of their tokens.
 """
 
 from __future__ import annotations
 
 import re
 
-import numpy as np
-
 SEGMENTS = 300_000  # segments whose ids a task remembers
 TOGETHER = 2_000  # new segments encoded as one text
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
@@ -32,46 +29,3 @@ def byte_level(entries: list[str]) -> list[bytes]:
     others = [b for b in range(256) if b not in printable]
     of_char = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
     return [bytes(of_char[c] for c in e) if all(c in of_char for c in e) else e.encode() for e in entries]
-
-
-class TextIds:
-    """Ids of whole texts, as ``tokenizers`` gives them with ``add_special_tokens=False``: strings of special tokens are
-    those tokens."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        self.plain = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        entries = [tokenizer.id_to_token(k) for k in range(tokenizer.get_vocab_size())]
-        self.sizes = np.array([len(x) for x in byte_level(entries)], np.int64)
-        self.seen: dict[str, bytes] = {}
-
-    def _learn(self, segs: list[str]) -> None:
-        ids = np.array(self.plain([" " + " ".join(segs)])[0], np.uint32)
-        ends, at = np.cumsum([1 + len(s.encode()) for s in segs]), np.cumsum(self.sizes[ids])
-        last = np.searchsorted(at, ends)
-        if len(at) == 0 or at[-1] != ends[-1] or (at[last] != ends).any():
-            raise ValueError("the vocabulary is not byte-level, or a token goes on beyond its segment")
-        raw, cuts = ids.tobytes(), [0, *((last + 1) * 4).tolist()]
-        self.seen.update(zip(segs, [raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of every text; a text's first segment has no space in front and is encoded apart."""
-        parts = [segments(t) for t in texts]
-        if len(self.seen) > SEGMENTS:
-            self.seen = {}
-        heads = self.plain([p[0] for p in parts])
-        new = list({s for segs in parts for s in segs[1:]} - self.seen.keys())
-        closed = [s for s in new if not open_ended(s)]
-        for k in range(0, len(closed), TOGETHER):
-            self._learn(closed[k : k + TOGETHER])
-        if len(closed) < len(new):
-            for s in new:
-                if open_ended(s):
-                    self._learn([s])
-        out = []
-        for head, segs in zip(heads, parts, strict=True):
-            rest = np.frombuffer(b"".join(map(self.seen.__getitem__, segs[1:])), np.uint32)
-            out.append(np.concatenate([np.array(head, np.uint32), rest]))
-        return out
