@@ -83,7 +83,9 @@ def newest_statistics(tagged: DataFrame, stream: str) -> DataFrame:
     whole = F.lit(True)
     for k in keys:
         whole &= F.col(k).isNotNull()
-    return first_per_group(tagged.where(whole), keys, _newest_first()).unionByName(tagged.where(~whole))
+    # rows with a NULL in the key are groups of their own, so the source is read once
+    own = F.when(~whole, F.monotonically_increasing_id())
+    return first_per_group(tagged.withColumn("_own", own), [*keys, "_own"], _newest_first()).drop("_own")
 
 
 def merged_statistics(tagged: DataFrame, target: DataFrame, stream: str) -> DataFrame:
