@@ -17,7 +17,7 @@ number of documents; blocks of a bucket are split, so no task reads all document
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from llm.packed import by_group, gather, pack, spread, unpack
 from llm.perfect_hash import PerfectHash
 from llm.scratch import blocks, keep
-from llm.segments import SEGMENTS, TOGETHER, byte_level, open_ended, segments
+from llm.segments import LETTERS, PUNCTUATED, PUNCTUATION, SEGMENTS, TOGETHER, byte_level, open_ended, segments
 from llm.words import chunks, text_bytes
 
 BLOCK = 4_000_000  # bytes of text in a block
@@ -37,6 +37,7 @@ CHUNK = 1_000_000  # bytes encoded at once
 TOKENS = 500_000  # tokens of both sides aligned at once
 LINKS = 250_000  # links expanded at once
 FAN = 64
+_WORD = "x"
 _STEP = (1 << 32) + 1
 _BLOCKS = "block long, ids array<long>, sizes binary, a binary, b binary"
 _PAIRS = "bucket int, block long, pairs binary"
@@ -47,22 +48,23 @@ _RESULT = (
 
 @lru_cache(maxsize=4)
 def first_tokenizer(path: str):
-    """A ``tokenizers`` file with byte-level entries: encoder and the bytes of every id."""
+    """A ``tokenizers`` file with byte-level entries: encoder, the bytes of every id, and those of ids found in texts."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     known = byte_level([tokenizer.id_to_token(k) for k in range(tokenizer.get_vocab_size())])
+    special = tokenizer.get_added_tokens_decoder()
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def encode(text: str) -> list[int]:
+        return tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
 
-    return encode, known
+    return encode, known, [x for k, x in enumerate(known) if k not in special]
 
 
 @lru_cache(maxsize=4)
 def second_tokenizer(path: str):
-    """A ``sentencepiece`` model: encoder and the bytes of every id."""
+    """A ``sentencepiece`` model: encoder, the bytes of every id, and those of ids found in texts."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -70,7 +72,7 @@ def second_tokenizer(path: str):
     for k in range(model.get_piece_size()):
         piece = model.id_to_piece(k)
         known.append(bytes([int(piece[3:5], 16)]) if model.is_byte(k) else piece.replace("▁", " ").encode())
-    return lambda texts: model.encode(texts, num_threads=1), known
+    return model.encode, known, [x for k, x in enumerate(known) if not model.is_control(k) and not model.is_unknown(k)]
 
 
 @lru_cache(maxsize=4)
@@ -82,70 +84,136 @@ def lengths(path_a: str, path_b: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Encodes texts on either side; the ids of segments met before are looked up, as bytes of 32-bit numbers.
+    """Encodes texts on either side; the ids of segments met before are looked up.
 
     That no piece of the second tokenizer holds a space after another character is checked; then its tokens end at a
-    segment's end too. Otherwise whole texts are encoded.
+    segment's end too. Otherwise whole texts are encoded. Where no entry of either side holds punctuation after a letter,
+    a word and the punctuation at its end are encoded apart, the latter after ``_WORD``.
     """
 
     def __init__(self, path_a: str, path_b: str):
-        (self.encode_a, self.bytes_a), (self.encode_b, self.bytes_b) = first_tokenizer(path_a), second_tokenizer(path_b)
+        (self.encode_a, self.bytes_a, plain_a), (self.encode_b, self.bytes_b, plain_b) = first_tokenizer(path_a), second_tokenizer(path_b)
         self.apart = all(b" " not in known.lstrip(b" ") for known in self.bytes_b)
+        self.endings = not any(PUNCTUATED.search(known) for known in (*plain_a, *plain_b))
         self.sizes = lengths(path_a, path_b)
-        self.seen_a: dict[str, bytes] = {}
-        self.seen_b: dict[str, bytes] = {}
-        self.unlike: set[str] = set()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.seen: dict[str, int] = {}  # numbers of segments
+        self.open: dict[str, int] = {}  # of those open-ended
+        self.unlike: set[int] = set()
+        self.ids = [np.zeros(0, np.uint32), np.zeros(0, np.uint32)]  # of all segments, by number
+        self.ends = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
 
     def whole(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of either side; None where the bytes of one are not those of a space and the text."""
-        a, b = self.encode_a([text])[0], self.encode_b([text])[0]
+        a, b = self.encode_a(text), self.encode_b(text)
         expected = b" " + text.encode()
         same = b"".join(map(self.bytes_a.__getitem__, a)) == expected and b"".join(map(self.bytes_b.__getitem__, b)) == expected
         return (np.array(a, np.uint32), np.array(b, np.uint32)) if same else None
 
-    def _learn(self, segs: list[str]) -> None:
-        """Segments are encoded as one text and cut where they end; in halves if a side does not give that back."""
+    def _cut(self, segs: list[str], first: int) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+        """(ids, counts) of either side. Segments are encoded as one text and cut where they end; in halves if a side does
+        not give that back."""
         found = self.whole(" ".join(segs))
         if found:
-            ends = np.cumsum([1 + len(s.encode()) for s in segs])
-            for ids, sizes, seen in zip(found, self.sizes, (self.seen_a, self.seen_b), strict=True):
+            ends, out = np.cumsum([1 + len(s.encode()) for s in segs]), []
+            for ids, sizes in zip(found, self.sizes, strict=True):
                 at = np.cumsum(sizes[ids])
                 last = np.searchsorted(at, ends)
                 if (at[last] != ends).any():
                     raise ValueError("a token goes on beyond its segment")
-                raw, cuts = ids.tobytes(), [0, *((last + 1) * 4).tolist()]
-                seen.update(zip(segs, [raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+                out.append((ids, np.diff(last, prepend=-1)))
+            yield out
         elif len(segs) == 1:
-            self.unlike.add(segs[0])
-            self.seen_a[segs[0]] = self.seen_b[segs[0]] = b""
+            self.unlike.add(first)
+            yield [(np.zeros(0, np.uint32), np.zeros(1, np.int64))] * 2
         else:
             half = len(segs) // 2
-            self._learn(segs[:half])
-            self._learn(segs[half:])
+            yield from self._cut(segs[:half], first)
+            yield from self._cut(segs[half:], first + half)
+
+    def _number(self, segs: list[str], numbers: dict[str, int], found: Iterable[list[tuple[np.ndarray, np.ndarray]]]) -> None:
+        first = len(self.seen) + len(self.open)
+        numbers.update(zip(segs, range(first, first + len(segs)), strict=True))
+        for side, parts in enumerate(zip(*found, strict=True)):
+            self.ids[side] = np.concatenate([self.ids[side], *(ids for ids, _ in parts)])
+            counts = np.concatenate([n for _, n in parts])
+            self.ends[side] = np.concatenate([self.ends[side], self.ends[side][-1] + np.cumsum(counts)])
+
+    def _learn(self, segs: list[str], numbers: dict[str, int], together: int) -> None:
+        first = len(self.seen) + len(self.open)
+        starts = range(0, len(segs), together)
+        self._number(segs, numbers, [x for k in starts for x in self._cut(segs[k : k + together], first + k)])
+
+    def _learn_closed(self, segs: set[str]) -> None:
+        """New segments; a word and punctuation after it are put together from both."""
+        alone, split = segs, []
+        if self.endings:
+            for s in segs:
+                word = s.rstrip(PUNCTUATION)
+                if word and len(word) < len(s) and word[-1] in LETTERS and word != _WORD:
+                    split.append((s, word, _WORD + s[len(word) :]))
+            both = {_WORD, *(w for _, w, _ in split), *(e for _, _, e in split)}
+            alone = (segs.difference(s for s, _, _ in split) | both) - self.seen.keys()
+        self._learn(list(alone), self.seen, TOGETHER)
+        if split:
+            first = len(self.seen) + len(self.open)
+            at = np.array([[self.seen[w], self.seen[e]] for _, w, e in split]).ravel()
+            found = []
+            for side in range(2):
+                skip = np.zeros(len(at), np.int64)
+                skip[1::2] = np.diff(self.ends[side])[self.seen[_WORD]]
+                ids, ends = self._take(side, at, skip)
+                found.append((ids, np.diff(np.append(0, ends[1::2]))))
+            if self.unlike:
+                unlike = np.isin(at, list(self.unlike)).reshape(-1, 2).any(axis=1)
+                self.unlike.update((first + np.flatnonzero(unlike)).tolist())
+            self._number([s for s, _, _ in split], self.seen, [found])
+
+    def _take(self, side: int, numbers: np.ndarray, skip: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of numbered segments but for the first ``skip`` of each, and where each one's end."""
+        begin = self.ends[side][numbers] + skip
+        counts = np.maximum(self.ends[side][numbers + 1] - begin, 0)
+        ends = np.cumsum(counts)
+        return self.ids[side][np.repeat(begin - ends + counts, counts) + np.arange(counts.sum())], ends
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of every text; none where a side does not give the text back."""
         nothing = (np.zeros(0, np.uint32), np.zeros(0, np.uint32))
         if not self.apart:
             return [(self.whole(t) or nothing) if t else nothing for t in texts]
-        parts = [segments(t) if t else [] for t in texts]
-        if len(self.seen_a) > SEGMENTS:
-            self.seen_a, self.seen_b, self.unlike = {}, {}, set()
-        new = list({s for segs in parts for s in segs} - self.seen_a.keys())
-        closed = [s for s in new if not open_ended(s)]
-        for k in range(0, len(closed), TOGETHER):
-            self._learn(closed[k : k + TOGETHER])
-        if len(closed) < len(new):
-            for s in new:
-                if open_ended(s):
-                    self._learn([s])
-        out = []
-        for text, segs in zip(texts, parts, strict=True):
-            if self.unlike and not self.unlike.isdisjoint(segs):
-                out.append(self.whole(text) or nothing)
-                continue
-            both = (b"".join(map(seen.__getitem__, segs)) for seen in (self.seen_a, self.seen_b))
-            out.append(tuple(np.frombuffer(ids, np.uint32) for ids in both))
+        if len(self.seen) + len(self.open) > SEGMENTS:
+            self._forget()
+        # parts between all spaces are a text's segments if none of them is empty or open-ended
+        parts = [t.split(" ") if t else [] for t in texts]
+        new = set().union(*parts) - self.seen.keys()
+        odd = {s for s in new if not s or open_ended(s)}
+        again = {k for k, segs in enumerate(parts) if not odd.isdisjoint(segs)} if odd else set()
+        if again:
+            for k in again:
+                parts[k] = segments(texts[k])
+            new = (new - odd).union(*(parts[k] for k in again)) - self.seen.keys()
+            opened = {s for s in new if open_ended(s)}
+            new -= opened
+            self._learn(list(opened - self.open.keys()), self.open, 1)
+        if new:
+            self._learn_closed(new)
+        found: list[int] = []
+        for k, segs in enumerate(parts):
+            found += [self.seen[s] if s in self.seen else self.open[s] for s in segs] if k in again else map(self.seen.__getitem__, segs)
+        numbers = np.array(found, np.int64)
+        cuts = np.append(0, np.cumsum([len(segs) for segs in parts], dtype=np.int64))
+        sides = []
+        for side in range(2):
+            ids, ends = self._take(side, numbers)
+            at = np.append(0, ends)[cuts].tolist()
+            sides.append([ids[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])
+        out = list(zip(*sides, strict=True))
+        if self.unlike:
+            unlike = np.append(0, np.cumsum(np.isin(numbers, list(self.unlike))))[cuts]
+            for k in np.flatnonzero(np.diff(unlike)).tolist():
+                out[k] = self.whole(texts[k]) or nothing
         return out
 
 

@@ -169,3 +169,37 @@ def test_segments_give_the_ids_of_whole_texts():
     for text, (a, b) in zip(texts, encoder.encode(texts), strict=True):
         whole = encoder.whole(text) if text else None
         assert (a.tolist(), b.tolist()) == (([], []) if whole is None else (whole[0].tolist(), whole[1].tolist())), text
+
+
+def test_words_with_punctuation_give_the_ids_of_whole_texts():
+    import random
+
+    rng = random.Random(9)
+    words = ["word", "x", "é", "Straße", "naïve", "ÿ", "É", "ª", "×", "x²", "日本", "don't", "a_b", "12", "ﬁ", "a\nb", "ý", "Ünï", ""]
+    marks = [",", ".", "...", "!?", "'", "'s", "\n.", "_", "__", "-", "</s>", "<|endoftext|>", "]);", "\"", "()", "²", "́", "▁", ""]
+    texts = [" ".join(rng.choice(words) + rng.choice(marks) + rng.choice(marks) for _ in range(rng.randrange(1, 9))) for _ in range(4000)]
+    encoder = token_alignment.Encoder(A, B)
+    assert encoder.endings
+    for k in range(0, len(texts), 500):
+        for text, (a, b) in zip(texts[k : k + 500], encoder.encode(texts[k : k + 500]), strict=True):
+            whole = encoder.whole(text) if text else None
+            assert (a.tolist(), b.tolist()) == (([], []) if whole is None else (whole[0].tolist(), whole[1].tolist())), text
+    encoder.endings = False
+    encoder._forget()
+    for text, (a, b) in zip(texts, encoder.encode(texts), strict=True):
+        whole = encoder.whole(text) if text else None
+        assert (a.tolist(), b.tolist()) == (([], []) if whole is None else (whole[0].tolist(), whole[1].tolist())), text
+
+
+def test_known_words_with_known_endings_are_not_encoded_again():
+    encoder = token_alignment.Encoder(A, B)
+    encoder.encode(["alpha beta gamma, one. two"])
+    text = "alpha, beta. two. one, alpha beta, gamma."
+    whole = encoder.whole(text)
+
+    def encoded(_):
+        raise AssertionError("encoded again")
+
+    encoder.encode_a = encoder.encode_b = encoded
+    ((a, b),) = encoder.encode([text])
+    assert (a.tolist(), b.tolist()) == (whole[0].tolist(), whole[1].tolist())
