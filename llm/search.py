@@ -1,13 +1,14 @@
 """Exact top-k search by BM25: inverted index per shard with block-max pruning.
 
-Documents are dealt to shards of bounded size by a hash. A shard's task builds
-its inverted index once, reads the queries as a stream and prunes: the postings
-of rare terms are added up exactly; for frequent terms only block maxima (over
-``BLOCK`` documents) are added first, for many queries in one matrix product. A
-document is scored in full only if its exact part and its block's maxima
-together reach the threshold, the k-th best score so far: the pivot test of
-block-max WAND, on all documents of a shard at once. Document frequencies, count and mean length are those of the
-whole table, so scores are equal in every shard and the merge is exact.
+Documents are dealt to shards of bounded size by a hash. A task has some shards and reads the queries once, in blocks
+that share their terms. One shard after the other is indexed and meets all blocks; the k best scores of a query so far
+are its threshold in the next shard. The postings of rare terms are added up; for frequent terms block maxima (over
+``BLOCK`` documents, like ones side by side) are added first, for many queries in one matrix product. Blocks that cannot
+reach the threshold with the best of their rare parts are skipped (the pivot test of block-max WAND, on all documents
+of a shard at once); for the others a second product gives the frequent part of each document. These sums are of single
+precision and their largest error is allowed for: whatever may reach the threshold is scored in full from its own terms.
+Document frequencies, count and mean length are those of the whole table, so scores are equal in every shard and the
+merge is exact.
 
 A term is a run of letters and digits (and all non-ASCII), A-Z folded. A query
 is the set of terms of its text; each counts once. Score: sum over common terms of
@@ -18,21 +19,27 @@ rank; ties go to the smaller id.
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Iterator
+from typing import IO
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.packed import by_group, gather, pack, spread
+from llm.packed import by_group, gather, pack, spread, unpack
 from llm.scratch import blocks, keep
-from llm.words import PUNCTUATION, words
+from llm.words import PUNCTUATION, mix, words
 
 K1, B = 1.2, 0.75
-SHARD, BLOCK, QUERIES = 12_000, 4, 64
+SHARD, BLOCK, QUERIES = 16_000, 16, 64
+SHARDS = 16  # searched by one task at most; fewer where cores would stay idle
+ASKED, ASKED_BYTES = 4_000, 6_000_000  # queries of a block, by number and by bytes of their texts
 FREQUENT = 1 / 16
-_SLACK = 1e-5
+HELD = 100_000  # queries whose best documents a task remembers before it hands them on
+_SLACK, _TINY = 1e-5, 1e-30
 
 
 def postings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,37 +51,39 @@ def postings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (term[1:] != term[:-1])
         at = np.flatnonzero(new)
-        rows.append(row[at] + w.first)
+        rows.append((row[at] + w.first).astype(np.int32))
         terms.append(term[at])
-        counts.append(np.diff(np.append(at, len(row))))
+        counts.append(np.diff(np.append(at, len(row))).astype(np.int32))
         sizes.append(np.diff(w.begin))
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in (rows, terms, counts, sizes))
 
 
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = size = 0
-    for batch in batches:
-        rows += batch.num_rows
-        size += sum(len(w.row) for w in words(batch.column(0), breaks=PUNCTUATION))
-    yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([size])], ["n", "terms"])
-
-
 def _frequencies(groups: int):
-    """Terms of a batch with the number of its documents that hold them, packed by term range."""
+    """Terms of a batch with the number of its documents that hold them, packed by term range.
+
+    Range -1 holds the number of its documents and that of their terms.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, terms, _, _ = postings(batch.column(0))
+            _, terms, _, sizes = postings(batch.column(0))
             every, count = np.unique(terms, return_counts=True)
             group = spread(every, groups)
-            parts = [(g, pack(every[r], count[r])) for g, r in by_group(group)]
+            parts = [(-1, pack(np.array([batch.num_rows]), np.array([sizes.sum()])))]
+            parts += [(g, pack(every[r], count[r])) for g, r in by_group(group)]
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["grp", "part"])
 
     return run
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, terms = gather(batch.column(0).to_pylist(), np.int64, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([int(terms.sum())])], ["n", "terms"])
+
+
 def _asked(groups: int):
     """Terms of each query, packed by term range; queries without terms vanish."""
 
@@ -90,127 +99,293 @@ def _asked(groups: int):
     return run
 
 
-def _weigh(asked: pa.Table, counted: pa.Table) -> pa.Table:
-    """Of one term range: each query's terms with their document frequency."""
-    terms, ids = gather(asked["part"].to_pylist(), np.uint64, np.int64)
-    seen, count = gather(counted["part"].to_pylist(), np.uint64, np.int64)
-    every, back = np.unique(seen, return_inverse=True)
-    df = np.bincount(back, count, len(every)) if len(every) else np.zeros(0)
-    at = np.minimum(np.searchsorted(every, terms), max(len(every) - 1, 0))
-    held = every[at] == terms if len(every) else np.zeros(len(terms), bool)
-    terms, ids, df = terms[held], ids[held], df[at[held]]
-    order = np.lexsort((terms, ids))
-    terms, ids, df = terms[order], ids[order], df[order].astype(np.int64)
-    new = np.ones(len(terms), bool)  # a term counts once, also where several rows of a query hold it
-    new[1:] = (terms[1:] != terms[:-1]) | (ids[1:] != ids[:-1])
-    terms, ids, df = terms[new], ids[new], df[new]
-    parts = [(q, pack(terms[r], df[r])) for q, r in by_group(ids)]
-    return pa.table({"id": pa.array([q for q, _ in parts], pa.int64()), "part": pa.array([p for _, p in parts], pa.binary())})
+def _weigh(count: int):
+    """Of one term range: each query's terms with their document frequency, packed by block of queries."""
+
+    def run(asked: pa.Table, counted: pa.Table) -> pa.Table:
+        terms, ids = gather(asked["part"].to_pylist(), np.uint64, np.int64)
+        seen, times = gather(counted["part"].to_pylist(), np.uint64, np.int64)
+        every, back = np.unique(seen, return_inverse=True)
+        df = np.bincount(back, times, len(every)) if len(every) else np.zeros(0)
+        at = np.minimum(np.searchsorted(every, terms), max(len(every) - 1, 0))
+        held = every[at] == terms if len(every) else np.zeros(len(terms), bool)
+        terms, ids, df = terms[held], ids[held], df[at[held]]
+        block = (mix(ids.view(np.uint64)) % np.uint64(count)).astype(np.int64)
+        order = np.lexsort((terms, ids, block))
+        block, terms, ids, df = block[order], terms[order], ids[order], df[order].astype(np.int64)
+        new = np.ones(len(terms), bool)  # a term counts once, also where several rows of a query hold it
+        new[1:] = (terms[1:] != terms[:-1]) | (ids[1:] != ids[:-1])
+        block, terms, ids, df = block[new], terms[new], ids[new], df[new]
+        parts = [(q, pack(ids[r], terms[r], df[r])) for q, r in by_group(block)]
+        return pa.table({"block": pa.array([q for q, _ in parts], pa.int64()), "part": pa.array([p for _, p in parts], pa.binary())})
+
+    return run
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block of queries: its terms with their frequencies, its queries with their sizes, and the place of each query's terms."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            ids, terms, df = gather(batch["parts"][row].as_py(), np.int64, np.uint64, np.int64)
+            every, first, at = np.unique(terms, return_index=True, return_inverse=True)
+            order = np.lexsort((at, ids))
+            queries, sizes = np.unique(ids, return_counts=True)
+            parts = [pack(every, df[first]), pack(queries, sizes), pack(at[order].astype(np.int32))]
+            block = batch["block"][row].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([parts], pa.list_(pa.binary()))], ["block", "parts"])
+
+
+class Best:
+    """The k best (score, id) of a query so far; of equal scores the smaller id is better."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.scores, self.ids = np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        scores, ids = np.append(self.scores, scores), np.append(self.ids, ids)
+        order = np.lexsort((ids, -scores))[: self.k]
+        self.scores, self.ids = scores[order], ids[order]
+
+    @property
+    def least(self) -> float:
+        """What a score must reach to be among them."""
+        return float(self.scores[-1]) if len(self.scores) == self.k else 0.0
 
 
 class Index:
-    """Inverted index of one shard; documents are numbered in the order of their ids."""
+    """Inverted index of one shard; documents are numbered so that like ones stand together."""
 
     def __init__(self, ids: np.ndarray, texts: pa.Array, mean: float, block: int = BLOCK, frequent: float = FREQUENT):
         rows, terms, tf, sizes = postings(texts)
-        self.ids = ids
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[rows] / mean)) if len(rows) else np.zeros(0)
-        order = np.argsort(terms, kind="stable")
-        self.rows, self.impact = rows[order].astype(np.int32), impact[order]
-        self.terms, begin = np.unique(terms[order], return_index=True)
-        self.begin = np.append(begin, len(order))
+        impact = _impact(tf, K1 * (1 - B + B * sizes / mean)[rows]) if len(rows) else np.zeros(0)
+        by_term = np.argsort(terms, kind="stable")
+        terms = terms[by_term]
+        new = np.ones(len(terms), bool)
+        new[1:] = terms[1:] != terms[:-1]
+        begin = np.flatnonzero(new)
+        self.terms, self.begin = terms[begin], np.append(begin, len(terms))
         often = np.flatnonzero(np.diff(self.begin) > frequent * len(ids))
         self.place = np.full(len(self.terms), -1)
         self.place[often] = np.arange(len(often))
+        # the terms of each document, with their impacts
+        self.held = np.empty(len(rows), np.int32)
+        self.held[by_term] = np.cumsum(new) - 1
+        self.impact, self.first = impact, np.searchsorted(rows, np.arange(len(ids) + 1))
         # frequent terms: the impacts of each document, and the largest ones of each block
-        self.dense = np.zeros((len(ids), len(often)))
+        rows, impact = rows[by_term], impact[by_term].astype(np.float32)
+        del by_term
+        dense = np.zeros((len(ids), len(often)), np.float32)
         for k, t in enumerate(often.tolist()):
             run = slice(self.begin[t], self.begin[t + 1])
-            self.dense[self.rows[run], k] = self.impact[run]
-        self.most = np.maximum.reduceat(self.dense, np.arange(0, len(ids), block), axis=0) if len(ids) else self.dense
-        self.of_block = np.arange(len(ids)) // block
-
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query (terms, idf) the best k documents (numbers, rounded scores), best first.
-
+            dense[rows[run], k] = impact[run]
+        self.order = _by_likeness(dense)
+        self.ids, self.dense = ids[self.order], dense[self.order]
+        del dense
+        self.edges = np.arange(0, len(ids), block)
+        self.most = np.maximum.reduceat(self.dense, self.edges, axis=0) if len(ids) else self.dense
+        # the other terms: the document and the rounded impact of a posting side by side, so that a list of them is copied at once;
+        # long lists, which most queries read, stand together
+        number = np.empty(len(ids), np.int32)
+        number[self.order] = np.arange(len(ids))
+        size = np.diff(self.begin)
+        size[often] = 0
+        lists = np.argsort(-size, kind="stable")
+        where, _ = _spans(self.begin[lists], self.begin[lists] + size[lists])
+        self.stop = np.empty(len(size), np.int64)
+        self.stop[lists] = np.cumsum(size[lists])
+        self.begin = self.stop - size
+        self.pairs = np.empty((len(where), 2), np.int32)
+        self.pairs[:, 0], self.pairs[:, 1] = number[rows[where]], impact.view(np.int32)[where]
+        self.weighed = np.zeros(len(self.terms), bool)
+
+    def _weigh(self, at: np.ndarray, idf: np.ndarray) -> None:
+        """Turn the rounded impacts of terms into scores. A term has one idf in all queries, so this is done once."""
+        fresh = ~self.weighed[at]
+        at, idf = at[fresh], idf[fresh]
+        self.weighed[at] = True
+        rounded = self.pairs.view(np.float32)
+        for first in range(0, len(at), 4096):
+            some = at[first : first + 4096]
+            where, size = _spans(self.begin[some], self.stop[some])
+            rounded[where, 1] *= np.repeat(idf[first : first + 4096], size).astype(np.float32)
+
+    def search(self, terms: np.ndarray, idf: np.ndarray, sizes: np.ndarray, entries: np.ndarray, best: list[Best]) -> int:
+        """Bring ``best``, one for each query, up to date with this shard; returns how many documents were scored in full.
+
+        ``terms`` are those of all queries, each with its ``idf``; a query has the next ``sizes`` of ``entries``, places in ``terms``.
         Documents without a common term never rank.
         """
-        weights, rare = np.zeros((len(queries), self.dense.shape[1])), []
-        for q, (terms, idf) in enumerate(queries):
-            at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
-            held = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-            at, idf = at[held], idf[held]
-            place = self.place[at]
-            weights[q, place[place >= 0]] = idf[place >= 0]
-            rare.append((at[place < 0], idf[place < 0]))
+        if not len(self.terms) or not len(terms):
+            return 0
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        held = self.terms[at] == terms
+        place = np.where(held, self.place[at], -1)
+        rare = held & (place < 0)
+        self._weigh(at[rare], idf[rare])
+        starts, stops, ends = self.begin[at], self.stop[at], np.cumsum(sizes)
+        asked = [entries[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        often, seldom = [e[place[e] >= 0] for e in asked], [e[rare[e]] for e in asked]
+        weights = np.zeros((len(asked), self.dense.shape[1]), np.float32)
+        for row, e in zip(weights, often, strict=True):
+            row[place[e]] = idf[e]
         bounds = weights @ self.most.T
-        return [self._best(*rare[q], weights[q], bounds[q], k) for q in range(len(queries))]
-
-    def _best(self, rare: np.ndarray, idf: np.ndarray, weight: np.ndarray, most: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        k = min(k, len(self.ids))
-        if not k:
-            return np.zeros(0, np.int64), np.zeros(0)
-        part = np.zeros(len(self.ids))
-        if len(rare):
-            size = self.begin[rare + 1] - self.begin[rare]
-            ends = np.cumsum(size)
-            where = np.arange(ends[-1]) + np.repeat(self.begin[rare] - (ends - size), size)
-            part = np.bincount(self.rows[where], self.impact[where] * np.repeat(idf, size), len(self.ids))
-        bound = part + most[self.of_block]
-        score = lambda docs: part[docs] + self.dense[docs] @ weight
-        # the documents of the best bounds give a first threshold; whatever cannot reach it is out
-        some = min(len(self.ids), max(k, 64))
-        least = np.sort(score(np.argpartition(-bound, some - 1)[:some]))[-k]
-        left = np.flatnonzero((bound >= least - _SLACK) & (bound > 0))
-        left = left[np.argsort(-bound[left], kind="stable")]
-        docs, scores, done = np.zeros(0, np.int64), np.zeros(0), 0
-        while done < len(left) and (len(docs) < k or bound[left[done]] >= least - _SLACK):
-            more = left[done : done + 256]
-            docs, scores = np.append(docs, more), np.append(scores, score(more))
-            done += len(more)
-            if len(docs) > k:
-                least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k])
-                stay = scores >= least - _SLACK
-                docs, scores = docs[stay], scores[stay]
-        scores = np.round(scores, 6)
-        order = np.lexsort((docs, -scores))[:k]
-        order = order[scores[order] > 0]
-        return docs[order], scores[order]
+        # queries that are best served by the same block are like each other and are done together
+        order = np.argsort(bounds.argmax(axis=1), kind="stable")
+        lists, done = self.pairs.view(np.int64)[:, 0], 0
+        for first in range(0, len(order), QUERIES):
+            some = order[first : first + QUERIES].tolist()
+            part = np.zeros((len(some), len(self.ids)), np.float32)
+            for row, q in zip(part, some, strict=True):
+                e = seldom[q]
+                if len(e):
+                    pairs = np.concatenate([lists[a:b] for a, b in zip(starts[e].tolist(), stops[e].tolist(), strict=True)])
+                    row[:] = np.bincount(pairs.view(np.int32)[::2], pairs.view(np.float32)[1::2], len(row))
+            for j, docs in self._reach(part, weights[some], bounds[some], [best[q] for q in some]):
+                q = some[j]
+                e = asked[q][held[asked[q]]]
+                scores = self._score(self.order[docs].tolist(), at[e].astype(np.int32), idf[e])
+                scores = np.round(scores, 6)
+                best[q].add(scores[scores > 0], self.ids[docs[scores > 0]])
+                done += len(docs)
+        return done
+
+    def _reach(self, part: np.ndarray, weights: np.ndarray, bounds: np.ndarray, best: list[Best]) -> Iterator[tuple[int, np.ndarray]]:
+        """The documents that can be among the best of each query by what rare terms give: blocks by their maxima, then documents."""
+        # sums of positive products in single precision are right to this share of them
+        near = 2.0**-23 * (weights.shape[1] + 8)
+        least = np.array([b.least for b in best])
+        cut = np.maximum(least * (1 - near) - _SLACK, _TINY)
+        need = (bounds * (1 + near) + np.maximum.reduceat(part, self.edges, axis=1) >= cut[:, None]).any(axis=0)
+        found = []
+        for a, b in _runs(need, 4):
+            docs = slice(int(self.edges[a]), int(self.edges[b]) if b < len(self.edges) else len(self.ids))
+            about = weights @ self.dense[docs].T
+            about += part[:, docs]
+            found.append((docs.start, about))
+        for j in np.flatnonzero(least == 0).tolist():  # nothing found before: the k-th best here is a first threshold
+            every = np.concatenate([about[j] for _, about in found] or [part[j, :0]])
+            k = best[j].k
+            if len(every) >= k:
+                cut[j] = max(np.partition(every, len(every) - k)[len(every) - k] * (1 - 3 * near) - _SLACK, _TINY)
+        hits = [(*np.nonzero(about >= cut.astype(np.float32)[:, None]), a) for a, about in found]
+        q, doc = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in ([q for q, _, _ in hits], [doc + a for _, doc, a in hits]))
+        order = np.argsort(q, kind="stable")
+        for j, r in by_group(q[order]):
+            yield j, doc[order[r]]
+
+    def _score(self, rows: list[int], terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Scores in full; ``terms`` ascend, and so do those of a document."""
+        scores = np.zeros(len(rows))
+        for place, row in enumerate(rows):
+            run = slice(self.first[row], self.first[row + 1])
+            held, impact = self.held[run], self.impact[run]
+            if len(held):
+                at = np.minimum(np.searchsorted(held, terms), len(held) - 1)
+                both = np.flatnonzero(held[at] == terms)
+                scores[place] = impact[at[both]] @ idf[both]
+        return scores
+
+
+def _impact(tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    return tf * (K1 + 1) / (tf + norm)
+
+
+def _spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of some ranges, one range after the other, and the sizes of the ranges."""
+    size = stops - starts
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - size), size), size
+
+
+def _runs(there: np.ndarray, gap: int) -> Iterator[tuple[int, int]]:
+    """Ranges that hold all true places; those with less than ``gap`` places between them are one."""
+    at = np.flatnonzero(there)
+    if len(at):
+        cuts = np.flatnonzero(np.diff(at) > gap)
+        yield from zip(at[np.append(0, cuts + 1)].tolist(), (at[np.append(cuts, len(at) - 1)] + 1).tolist(), strict=True)
+
+
+def _by_likeness(dense: np.ndarray, least: int = 256, rounds: int = 6) -> np.ndarray:
+    """An order of rows in which like ones stand together: halves along the direction in which rows differ most, again and again."""
+    there, order = (dense > 0).astype(np.float32), np.arange(len(dense))
+    todo = [(0, len(dense))]
+    while todo:
+        a, b = todo.pop()
+        if b - a <= least or not there.shape[1]:
+            continue
+        some = there[order[a:b]]
+        some -= some.mean(axis=0)
+        axis = np.linspace(-1, 1, there.shape[1], dtype=np.float32)
+        for _ in range(rounds):
+            axis = (some @ axis) @ some
+            axis /= max(float(np.abs(axis).max()), 1e-30)
+        order[a:b] = order[a:b][np.argsort(some @ axis, kind="stable")]
+        todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
+    return order
 
 
 def _search(k: int, n: int, mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, index, held = None, None, []
-
-        def build() -> Index:
-            table = pa.Table.from_batches(held)
-            return Index(table["id"].to_numpy(), table["text"].combine_chunks(), mean)
-
-        for batch in batches:
-            for group in _pieces(batch):
-                if group["shard"][0].as_py() != shard:
-                    shard, index, held = group["shard"][0].as_py(), None, []
-                if group["kind"][0].as_py() == 0:
+        shard, held = None, []
+        found: dict[int, Best] = {}
+
+        def search(blocks: IO[bytes]) -> None:
+            index = _index(held, mean)
+            blocks.seek(0)
+            for known, asked, entries in _load(blocks):
+                terms, df = unpack(known, np.uint64, np.int64)
+                queries, sizes = unpack(asked, np.int64, np.int64)
+                (entries,) = unpack(entries, np.int32)
+                best = [found.setdefault(q, Best(k)) for q in queries.tolist()]
+                index.search(terms, np.log(1 + (n - df + 0.5) / (df + 0.5)), sizes, entries, best)
+
+        def out() -> pa.RecordBatch:
+            queries = np.repeat(np.array(list(found), np.int64), [len(b.ids) for b in found.values()])
+            ids, scores = (np.concatenate([getattr(b, x) for b in found.values()]) for x in ("ids", "scores"))
+            return pa.RecordBatch.from_arrays([pa.array(queries), pa.array(ids), pa.array(scores)], ["query_id", "id", "score"])
+
+        # all blocks of queries come first; they wait in a file and meet one shard after the other
+        with tempfile.TemporaryFile() as blocks:
+            for batch in batches:
+                for group in _pieces(batch):
+                    if group["kind"][0].as_py() == 0:
+                        for row in range(group.num_rows):
+                            pickle.dump(group["parts"][row].as_py(), blocks)
+                        continue
+                    if group["shard"][0].as_py() != shard:
+                        if held:
+                            search(blocks)
+                        shard = group["shard"][0].as_py()
+                        if len(found) >= HELD:
+                            yield out()
+                            found.clear()
                     held.append(group)
-                    continue
-                if not held:
-                    continue
-                index = index or build()
-                out: list[tuple] = []
-                queries, asked = group["id"].to_pylist(), []
-                for parts in group["parts"].to_pylist():
-                    terms, df = gather(parts, np.uint64, np.int64)
-                    asked.append((terms, np.log(1 + (n - df + 0.5) / (df + 0.5))))
-                for first in range(0, len(asked), QUERIES):
-                    found = index.search(asked[first : first + QUERIES], k)
-                    for query, (docs, scores) in zip(queries[first : first + QUERIES], found, strict=True):
-                        out += zip([query] * len(docs), index.ids[docs].tolist(), scores.tolist(), strict=True)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["query_id", "id", "score"])
+            if held:
+                search(blocks)
+        if found:
+            yield out()
 
     return run
 
 
+def _index(held: list[pa.RecordBatch], mean: float) -> Index:
+    """The index of some rows, which are let go."""
+    table = pa.Table.from_batches(held).select(["id", "text"])
+    held.clear()
+    ids, texts = table["id"].to_numpy(), table["text"].combine_chunks()
+    del table
+    return Index(ids, texts, mean)
+
+
+def _load(file: IO[bytes]) -> Iterator[list[bytes]]:
+    while True:
+        try:
+            yield pickle.load(file)
+        except EOFError:
+            return
+
+
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Runs of rows of one shard and kind."""
     key = batch["shard"].to_numpy().astype(np.int64) * 2 + batch["kind"].to_numpy()
@@ -229,25 +404,32 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     spark = docs.sparkSession
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")  # noqa: E731,E501
     base, asked, groups = pick(docs), pick(queries), blocks(spark)
-    total = base.select("text").mapInArrow(_totals, "n long, terms long").agg(F.sum("n").alias("n"), F.sum("terms").alias("terms")).first()
+    counted = keep(base.select("text").mapInArrow(_frequencies(groups), "grp int, part binary"), "term-counts")
+    totals = counted.filter("grp = -1").select("part").mapInArrow(_totals, "n long, terms long")
+    total = totals.agg(F.sum("n").alias("n"), F.sum("terms").alias("terms")).first()
     n, mean = total["n"] or 0, max((total["terms"] or 0) / max(total["n"] or 0, 1), 1.0)
     shards = max(1, -(-n // shard))
-    counted = base.select("text").mapInArrow(_frequencies(groups), "grp int, part binary")
+    # every task reads all queries once, for all of its shards
+    tasks = max(-(-shards // SHARDS), min(shards, 2 * spark.sparkContext.defaultParallelism))
+    size = asked.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    many = max(1, -(-size["n"] // ASKED), -(-(size["bytes"] or 0) // ASKED_BYTES))
     wanted = asked.mapInArrow(_asked(groups), "grp int, part binary")
-    weighed = wanted.groupBy("grp").cogroup(counted.groupBy("grp")).applyInArrow(_weigh, "id long, part binary")
-    ready = keep(weighed.groupBy("id").agg(F.collect_list("part").alias("parts")), "query-terms")
+    weighed = wanted.groupBy("grp").cogroup(counted.filter("grp >= 0").groupBy("grp")).applyInArrow(_weigh(many), "block long, part binary")
+    gathered = weighed.groupBy("block").agg(F.collect_list("part").alias("parts"))
+    ready = keep(gathered.mapInArrow(_blocks, "block long, parts array<binary>"), "query-terms")
+    number = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
     streamed = base.select(
-        F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"),
-        F.lit(0).alias("kind"), "id", "text", F.lit(None).cast("array<binary>").alias("parts"),
+        F.pmod(number, F.lit(tasks)).alias("task"), F.lit(1).alias("kind"), number.alias("shard"),
+        "id", "text", F.lit(None).cast("array<binary>").alias("parts"),
     ).unionByName(
         ready.select(
-            F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-            F.lit(1).alias("kind"), "id", F.lit(None).cast("string").alias("text"), "parts",
+            F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"),
+            F.lit(0).alias("kind"), F.lit(-1).alias("shard"), F.col("block").alias("id"), F.lit(None).cast("string").alias("text"), "parts",
         )
     )
     found = (
-        streamed.repartition(F.col("shard"))
-        .sortWithinPartitions("shard", "kind", "id", "text")
+        streamed.repartitionById(tasks, F.col("task"))
+        .sortWithinPartitions("kind", "shard", "id", "text")
         .mapInArrow(_search(k, n, mean), "query_id long, id long, score double")
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
