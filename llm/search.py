@@ -2,7 +2,8 @@
 
 Documents are dealt to shards of bounded size by a hash. A task has some shards and reads the queries once, in blocks
 that share their terms. One shard after the other is indexed and meets all blocks; the k best scores of a query so far
-are its threshold in the next shard. The postings of rare terms are added up; for frequent terms block maxima (over
+are its threshold in the next shard. Documents of a shard that fall into groups without much in common, such as
+languages, get an index each. The postings of rare terms are added up; for frequent terms block maxima (over
 ``BLOCK`` documents, like ones side by side) are added first, for many queries in one matrix product. Blocks that cannot
 reach the threshold with the best of their rare parts are skipped (the pivot test of block-max WAND, on all documents
 of a shard at once); for the others a second product gives the frequent part of each document. These sums are of single
@@ -34,10 +35,11 @@ from llm.scratch import blocks, keep
 from llm.words import PUNCTUATION, mix, words
 
 K1, B = 1.2, 0.75
-SHARD, BLOCK, QUERIES = 16_000, 16, 64
+SHARD, BLOCK, QUERIES = 16_000, 16, 128
 SHARDS = 16  # searched by one task at most; fewer where cores would stay idle
 ASKED, ASKED_BYTES = 4_000, 6_000_000  # queries of a block, by number and by bytes of their texts
-FREQUENT = 1 / 16
+FREQUENT, LONG = 1 / 10, 100
+PART, APART = 1_000, 0.8  # documents of an index at least; share of the variance between two that stand apart
 HELD = 100_000  # queries whose best documents a task remembers before it hands them on
 _SLACK, _TINY = 1e-5, 1e-30
 
@@ -153,24 +155,50 @@ class Best:
         return float(self.scores[-1]) if len(self.scores) == self.k else 0.0
 
 
+def indexes(ids: np.ndarray, texts: pa.Array, mean: float, part: int = PART) -> list[Index]:
+    """The inverted indexes of one shard: one for each group of like documents that stands apart, of at least ``part`` documents."""
+    rows, terms, tf, sizes = postings(texts)
+    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes / mean)[rows]) if len(rows) else np.zeros(0)
+    del tf
+    by_term = np.argsort(terms, kind="stable")
+    terms = terms[by_term]
+    new = np.ones(len(terms), bool)
+    new[1:] = terms[1:] != terms[:-1]
+    held = np.empty(len(rows), np.int32)
+    held[by_term] = np.cumsum(new) - 1
+    terms = terms[new]
+    often = np.bincount(held, minlength=len(terms)) > FREQUENT / 2 * len(ids)
+    place = np.where(often, np.cumsum(often) - 1, -1)[held]
+    there = np.zeros((len(ids), int(often.sum())), np.float32)
+    there[rows[place >= 0], place[place >= 0]] = 1
+    groups = _groups(there, part)
+    del place, there
+    out = []
+    for group in groups:
+        member = np.zeros(len(ids), bool)
+        member[group] = True
+        use = member[rows]
+        number, where = np.cumsum(member, dtype=np.int32) - 1, np.cumsum(use) - 1
+        out.append(Index(ids[member], number[rows[use]], terms, held[use], impact[use], where[by_term[use[by_term]]]))
+    return out
+
+
 class Index:
-    """Inverted index of one shard; documents are numbered so that like ones stand together."""
-
-    def __init__(self, ids: np.ndarray, texts: pa.Array, mean: float, block: int = BLOCK, frequent: float = FREQUENT):
-        rows, terms, tf, sizes = postings(texts)
-        impact = _impact(tf, K1 * (1 - B + B * sizes / mean)[rows]) if len(rows) else np.zeros(0)
-        by_term = np.argsort(terms, kind="stable")
-        terms = terms[by_term]
-        new = np.ones(len(terms), bool)
-        new[1:] = terms[1:] != terms[:-1]
-        begin = np.flatnonzero(new)
-        self.terms, self.begin = terms[begin], np.append(begin, len(terms))
+    """Inverted index of like documents; they are numbered so that those most alike stand together.
+
+    ``rows``, ``held`` and ``impact``: the document of each posting, its place in ``terms`` and its impact, by document and term;
+    ``by_term``: the order of postings by term and document.
+    """
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, terms: np.ndarray, held: np.ndarray, impact: np.ndarray, by_term: np.ndarray,
+                 block: int = BLOCK, frequent: float = FREQUENT):
+        df = np.bincount(held, minlength=len(terms))
+        self.terms, self.begin = terms[df > 0], np.append(0, np.cumsum(df[df > 0]))
         often = np.flatnonzero(np.diff(self.begin) > frequent * len(ids))
         self.place = np.full(len(self.terms), -1)
         self.place[often] = np.arange(len(often))
         # the terms of each document, with their impacts
-        self.held = np.empty(len(rows), np.int32)
-        self.held[by_term] = np.cumsum(new) - 1
+        self.held = (np.cumsum(df > 0, dtype=np.int32) - 1)[held]
         self.impact, self.first = impact, np.searchsorted(rows, np.arange(len(ids) + 1))
         # frequent terms: the impacts of each document, and the largest ones of each block
         rows, impact = rows[by_term], impact[by_term].astype(np.float32)
@@ -223,29 +251,40 @@ class Index:
         place = np.where(held, self.place[at], -1)
         rare = held & (place < 0)
         self._weigh(at[rare], idf[rare])
-        starts, stops, ends = self.begin[at], self.stop[at], np.cumsum(sizes)
-        asked = [entries[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
-        often, seldom = [e[place[e] >= 0] for e in asked], [e[rare[e]] for e in asked]
-        weights = np.zeros((len(asked), self.dense.shape[1]), np.float32)
-        for row, e in zip(weights, often, strict=True):
-            row[place[e]] = idf[e]
+        starts, stops = self.begin[at], self.stop[at]
+        ends = np.cumsum(sizes)
+        weights = np.zeros((len(sizes), self.dense.shape[1]), np.float32)
+        often = np.flatnonzero(place[entries] >= 0)
+        weights[np.repeat(np.arange(len(sizes)), sizes)[often], place[entries[often]]] = idf[entries[often]]
         bounds = weights @ self.most.T
         # queries that are best served by the same block are like each other and are done together
         order = np.argsort(bounds.argmax(axis=1), kind="stable")
+        where, size = _spans((ends - sizes)[order], ends[order])
+        asked, of = entries[where], np.repeat(np.arange(len(order)), size)
+        asked, of = asked[rare[asked]], of[rare[asked]]
+        long = (stops - starts > LONG)[asked]
+        short, of_short, long, of_long = asked[~long], of[~long], asked[long], of[long]
+        short_cuts = np.searchsorted(of_short, np.arange(0, len(order) + QUERIES, QUERIES)).tolist()
+        long_cuts = np.searchsorted(of_long, np.arange(len(order) + 1)).tolist()
         lists, done = self.pairs.view(np.int64)[:, 0], 0
-        for first in range(0, len(order), QUERIES):
+        for chunk, first in enumerate(range(0, len(order), QUERIES)):
             some = order[first : first + QUERIES].tolist()
-            part = np.zeros((len(some), len(self.ids)), np.float32)
-            for row, q in zip(part, some, strict=True):
-                e = seldom[q]
+            # short lists of all these queries at once, long ones query by query
+            run = slice(short_cuts[chunk], short_cuts[chunk + 1])
+            where, size = _spans(starts[short[run]], stops[short[run]])
+            pairs = lists[where].view(np.int32).reshape(-1, 2)
+            cell = np.repeat((of_short[run] - first) * len(self.ids), size) + pairs[:, 0]
+            part = np.bincount(cell, pairs.view(np.float32)[:, 1], len(some) * len(self.ids)).astype(np.float32).reshape(len(some), -1)
+            for j, row in enumerate(part):
+                e = long[long_cuts[first + j] : long_cuts[first + j + 1]]
                 if len(e):
                     pairs = np.concatenate([lists[a:b] for a, b in zip(starts[e].tolist(), stops[e].tolist(), strict=True)])
-                    row[:] = np.bincount(pairs.view(np.int32)[::2], pairs.view(np.float32)[1::2], len(row))
+                    row += np.bincount(pairs.view(np.int32)[::2], pairs.view(np.float32)[1::2], len(row))
             for j, docs in self._reach(part, weights[some], bounds[some], [best[q] for q in some]):
                 q = some[j]
-                e = asked[q][held[asked[q]]]
-                scores = self._score(self.order[docs].tolist(), at[e].astype(np.int32), idf[e])
-                scores = np.round(scores, 6)
+                e = entries[ends[q] - sizes[q] : ends[q]]
+                e = e[held[e]]
+                scores = np.round(self._score(self.order[docs].tolist(), at[e].astype(np.int32), idf[e]), 6)
                 best[q].add(scores[scores > 0], self.ids[docs[scores > 0]])
                 done += len(docs)
         return done
@@ -263,11 +302,11 @@ class Index:
             about = weights @ self.dense[docs].T
             about += part[:, docs]
             found.append((docs.start, about))
-        for j in np.flatnonzero(least == 0).tolist():  # nothing found before: the k-th best here is a first threshold
-            every = np.concatenate([about[j] for _, about in found] or [part[j, :0]])
-            k = best[j].k
-            if len(every) >= k:
-                cut[j] = max(np.partition(every, len(every) - k)[len(every) - k] * (1 - 3 * near) - _SLACK, _TINY)
+        # where much is left, as if nothing was found before, the k-th best here is a threshold too
+        left = sum(((about >= cut.astype(np.float32)[:, None]).sum(axis=1) for _, about in found), np.zeros(len(best), np.int64))
+        for j in np.flatnonzero(left > 2 * np.array([b.k for b in best])).tolist():
+            every, k = np.concatenate([about[j] for _, about in found]), best[j].k
+            cut[j] = max(cut[j], np.partition(every, len(every) - k)[len(every) - k] * (1 - 3 * near) - _SLACK)
         hits = [(*np.nonzero(about >= cut.astype(np.float32)[:, None]), a) for a, about in found]
         q, doc = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in ([q for q, _, _ in hits], [doc + a for _, doc, a in hits]))
         order = np.argsort(q, kind="stable")
@@ -287,10 +326,6 @@ class Index:
         return scores
 
 
-def _impact(tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
-    return tf * (K1 + 1) / (tf + norm)
-
-
 def _spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All places of some ranges, one range after the other, and the sizes of the ranges."""
     size = stops - starts
@@ -325,20 +360,50 @@ def _by_likeness(dense: np.ndarray, least: int = 256, rounds: int = 6) -> np.nda
     return order
 
 
+def _groups(there: np.ndarray, least: int, rounds: int = 12) -> list[np.ndarray]:
+    """Rows parted where they fall into two heaps along the direction in which they differ most; no group is smaller than ``least``."""
+    there = there / np.sqrt(np.maximum(there.sum(axis=1, keepdims=True), 1))
+    todo, done = [np.arange(len(there))], []
+    while todo:
+        rows = todo.pop()
+        if len(rows) < 2 * least or not there.shape[1]:
+            done.append(rows)
+            continue
+        some = there[rows]
+        some -= some.mean(axis=0)
+        axis = np.linspace(-1, 1, there.shape[1], dtype=np.float32)
+        for _ in range(rounds):
+            axis = (some @ axis) @ some
+            axis /= max(float(np.abs(axis).max()), _TINY)
+        along = (some @ axis).astype(np.float64)
+        order = np.argsort(along, kind="stable")
+        sums, left = np.cumsum(along[order])[:-1], np.arange(1, len(rows))
+        # the share of the variance that lies between both sides; 0.64 for a bell, 0.75 for a level heap
+        between = sums**2 / (left * (len(rows) - left)) / max(float(along @ along), _TINY) * len(rows)
+        between[: least - 1] = between[len(rows) - least :] = 0
+        cut = int(between.argmax())
+        if between[cut] > APART:
+            todo += [rows[order[: cut + 1]], rows[order[cut + 1 :]]]
+        else:
+            done.append(rows)
+    return done
+
+
 def _search(k: int, n: int, mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
         found: dict[int, Best] = {}
 
         def search(blocks: IO[bytes]) -> None:
-            index = _index(held, mean)
+            parts = _indexes(held, mean)
             blocks.seek(0)
             for known, asked, entries in _load(blocks):
                 terms, df = unpack(known, np.uint64, np.int64)
                 queries, sizes = unpack(asked, np.int64, np.int64)
                 (entries,) = unpack(entries, np.int32)
                 best = [found.setdefault(q, Best(k)) for q in queries.tolist()]
-                index.search(terms, np.log(1 + (n - df + 0.5) / (df + 0.5)), sizes, entries, best)
+                for index in parts:
+                    index.search(terms, np.log(1 + (n - df + 0.5) / (df + 0.5)), sizes, entries, best)
 
         def out() -> pa.RecordBatch:
             queries = np.repeat(np.array(list(found), np.int64), [len(b.ids) for b in found.values()])
@@ -369,13 +434,13 @@ def _search(k: int, n: int, mean: float):
     return run
 
 
-def _index(held: list[pa.RecordBatch], mean: float) -> Index:
-    """The index of some rows, which are let go."""
+def _indexes(held: list[pa.RecordBatch], mean: float) -> list[Index]:
+    """The indexes of some rows, which are let go."""
     table = pa.Table.from_batches(held).select(["id", "text"])
     held.clear()
     ids, texts = table["id"].to_numpy(), table["text"].combine_chunks()
     del table
-    return Index(ids, texts, mean)
+    return indexes(ids, texts, mean)
 
 
 def _load(file: IO[bytes]) -> Iterator[list[bytes]]:

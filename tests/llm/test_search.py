@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm import search
-from llm.search import Best, Index, postings, top_k
+from llm.search import Best, indexes, postings, top_k
 from tests.llm import brute
 from tests.llm.conftest import prose
 
@@ -56,7 +56,8 @@ def test_several_shards_a_task(spark, mixed, shard):
     assert sorted((r.query_id, r["rank"], r.doc_id) for r in got) == sorted(want)
 
 
-def test_few_documents_are_scored_in_full(mixed):
+@pytest.mark.parametrize("least", [20, 1000])
+def test_few_documents_are_scored_in_full(mixed, least):
     """Over two shards, with thresholds that go on; all scores equal those of brute force."""
     rows = [(i, t) for i, t in mixed if t]
     mean = sum(len(t.split()) for _, t in rows) / len(rows)
@@ -67,14 +68,33 @@ def test_few_documents_are_scored_in_full(mixed):
     lengths = np.array([len(set(t.split())) for _, t in queries])
     best, scored = [Best(4) for _ in queries], 0
     for part in (rows[::2], rows[1::2]):
-        index = Index(np.array([i for i, _ in part]), pa.array([t for _, t in part]), mean)
-        scored += index.search(every, idf, lengths, at.astype(np.int32), best)
+        found = indexes(np.array([i for i, _ in part]), pa.array([t for _, t in part]), mean, part=least)
+        assert sum(len(x.ids) for x in found) == len(part) and (len(found) > 1) == (least < 100)
+        scored += sum(x.search(every, idf, lengths, at.astype(np.int32), best) for x in found)
     want = brute.bm25(rows, queries, 4)
     assert [(q, r + 1, i) for (q, _), b in zip(queries, best, strict=True) for r, i in enumerate(b.ids.tolist())] == want
     assert all(math.isclose(x, round(x, 6)) for b in best for x in b.scores) and len(best[3].ids) == 0
     assert scored < len(rows) // 4
 
 
+def test_long_and_short_lists_give_the_same(mixed, monkeypatch):
+    texts = pa.array([t for _, t in mixed])
+    _, terms, _, _ = postings(texts)
+    every, df = np.unique(terms, return_counts=True)
+    rows, asked, _, _ = postings(texts.slice(0, 60))
+    entries, sizes = np.searchsorted(every, asked).astype(np.int32), np.bincount(rows, minlength=60)
+    idf = np.log(1 + (len(mixed) - df + 0.5) / (df + 0.5))
+    seen = []
+    for long, frequent in ((0, 0.1), (5, 0.9), (10**9, 0.3)):
+        monkeypatch.setattr(search, "LONG", long)
+        monkeypatch.setattr(search.Index.__init__, "__defaults__", (4, frequent))
+        best = [Best(5) for _ in sizes]
+        for index in indexes(np.arange(len(mixed)), texts, 30.0, part=50):
+            index.search(every, idf, sizes, entries, best)
+        seen.append([(b.ids.tolist(), b.scores.tolist()) for b in best])
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_likeness_keeps_every_document_and_parts_languages():
     rng = np.random.default_rng(5)
     kind = rng.integers(0, 2, 1000)
