@@ -35,7 +35,7 @@ from llm.scratch import blocks, keep
 from llm.words import PUNCTUATION, mix, words
 
 K1, B = 1.2, 0.75
-SHARD, BLOCK, QUERIES = 16_000, 16, 128
+SHARD, BLOCK, QUERIES = 12_000, 16, 128
 SHARDS = 16  # searched by one task at most; fewer where cores would stay idle
 ASKED, ASKED_BYTES = 4_000, 6_000_000  # queries of a block, by number and by bytes of their texts
 FREQUENT, LONG = 1 / 10, 100
@@ -160,25 +160,26 @@ def indexes(ids: np.ndarray, texts: pa.Array, mean: float, part: int = PART) ->
     rows, terms, tf, sizes = postings(texts)
     impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes / mean)[rows]) if len(rows) else np.zeros(0)
     del tf
-    by_term = np.argsort(terms, kind="stable")
+    by_term = np.argsort(terms, kind="stable").astype(np.int32)
     terms = terms[by_term]
     new = np.ones(len(terms), bool)
     new[1:] = terms[1:] != terms[:-1]
     held = np.empty(len(rows), np.int32)
-    held[by_term] = np.cumsum(new) - 1
+    held[by_term] = np.cumsum(new, dtype=np.int32) - np.int32(1)
     terms = terms[new]
     often = np.bincount(held, minlength=len(terms)) > FREQUENT / 2 * len(ids)
-    place = np.where(often, np.cumsum(often) - 1, -1)[held]
     there = np.zeros((len(ids), int(often.sum())), np.float32)
-    there[rows[place >= 0], place[place >= 0]] = 1
+    common = np.flatnonzero(often[held])
+    there[rows[common], (np.cumsum(often) - 1)[held[common]]] = 1
+    del common
     groups = _groups(there, part)
-    del place, there
+    del there
     out = []
     for group in groups:
         member = np.zeros(len(ids), bool)
         member[group] = True
         use = member[rows]
-        number, where = np.cumsum(member, dtype=np.int32) - 1, np.cumsum(use) - 1
+        number, where = (np.cumsum(x, dtype=np.int32) - np.int32(1) for x in (member, use))
         out.append(Index(ids[member], number[rows[use]], terms, held[use], impact[use], where[by_term[use[by_term]]]))
     return out
 
@@ -198,7 +199,7 @@ class Index:
         self.place = np.full(len(self.terms), -1)
         self.place[often] = np.arange(len(often))
         # the terms of each document, with their impacts
-        self.held = (np.cumsum(df > 0, dtype=np.int32) - 1)[held]
+        self.held = (np.cumsum(df > 0, dtype=np.int32) - np.int32(1))[held]
         self.impact, self.first = impact, np.searchsorted(rows, np.arange(len(ids) + 1))
         # frequent terms: the impacts of each document, and the largest ones of each block
         rows, impact = rows[by_term], impact[by_term].astype(np.float32)
@@ -219,7 +220,7 @@ class Index:
         size = np.diff(self.begin)
         size[often] = 0
         lists = np.argsort(-size, kind="stable")
-        where, _ = _spans(self.begin[lists], self.begin[lists] + size[lists])
+        where = _spans(self.begin[lists], self.begin[lists] + size[lists])[0].astype(np.int32)
         self.stop = np.empty(len(size), np.int64)
         self.stop[lists] = np.cumsum(size[lists])
         self.begin = self.stop - size
@@ -361,8 +362,11 @@ def _by_likeness(dense: np.ndarray, least: int = 256, rounds: int = 6) -> np.nda
 
 
 def _groups(there: np.ndarray, least: int, rounds: int = 12) -> list[np.ndarray]:
-    """Rows parted where they fall into two heaps along the direction in which they differ most; no group is smaller than ``least``."""
-    there = there / np.sqrt(np.maximum(there.sum(axis=1, keepdims=True), 1))
+    """Rows parted where they fall into two heaps along the direction in which they differ most; no group is smaller than ``least``.
+
+    ``there`` is brought to rows of length one.
+    """
+    there /= np.sqrt(np.maximum(there.sum(axis=1, keepdims=True), 1))
     todo, done = [np.arange(len(there))], []
     while todo:
         rows = todo.pop()
